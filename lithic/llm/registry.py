@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from lithic.llm import chat, exact_dedup, mixing, packing, simhash
+from lithic.llm import chat, embedding_dedup, exact_dedup, mixing, packing, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op4_chat_format": chat.op4_chat_format,
+        "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_simhash": simhash.op7_simhash,
         "op8_mixing": mixing.op8_mixing,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_packing": packing.op10_packing,
     }
 
