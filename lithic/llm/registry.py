@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lithic.llm import chat, embedding_dedup, exact_dedup, mixing, packing, quality, simhash, toxicity
+from lithic.llm import chat, embedding_dedup, exact_dedup, lm_score, mixing, packing, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op3_lm_score": lm_score.op3_lm_score,
         "op4_chat_format": chat.op4_chat_format,
         "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
