@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that separates words: these six bytes and no others.
@@ -69,3 +69,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def in_fold(doc_id, modulus: int, remainder: int):
     """Whether crc32 of the id's text leaves `remainder`."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, with_key) -> DataFrame:
+    """The rows of `docs` that `decided` (doc_id, key, kept; one row per row of `docs`) keeps.
+
+    Rows go by an anti-join with the ids of dropped rows. An id that is null or repeats does not tell
+    rows apart; its rows go by id and key (`with_key` adds __key to rows) and one of each stays, the longest text.
+    """
+    decided = stage(decided.select("doc_id", "key", "kept"), "decided")
+    odd = small(stage(decided.groupBy("doc_id").count().where("doc_id is null or count > 1").select(F.col("doc_id").alias("__id")), "odd"))
+    dropped = small(stage(decided.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct(), "dropped"))
+    same = docs["doc_id"].eqNullSafe(odd["__id"])
+    plain = docs.join(dropped, docs["doc_id"] == dropped["__id"], "left_anti").join(odd, same, "left_anti")
+    kept = decided.where("kept").select(F.col("doc_id").alias("__kid"), F.col("key").alias("__kkey")).distinct()
+    keyed = with_key(docs.join(odd, same, "left_semi"))
+    keyed = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__kid"]) & (keyed["__key"] == kept["__kkey"]), "left_semi")
+    rank = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.length("text").desc(), "text"))
+    return plain.unionByName(keyed.withColumn("__rank", rank).where("__rank = 1").select(*docs.columns))

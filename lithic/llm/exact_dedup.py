@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm.common import SPACE, small, stage, table
+from lithic.llm.common import SPACE, keep_rows, small, stage, table
 
 #: Distinct fingerprints that one merge task holds on average.
 BLOCK_ENTRIES = 65_536
@@ -160,6 +160,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text and others) that `exact_groups` keeps."""
+    key = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "").cast("binary"), 256)
+    return keep_rows(docs, exact_groups(docs).withColumnRenamed("text_sha256", "key"), lambda rows: rows.withColumn("__key", key))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithic.llm.common import WORD_PATTERN, small, stage, table
@@ -34,42 +34,34 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], cap: int) -> Dat
     return levelled.withColumn("target", F.least(F.col("most").cast("double"), F.max("level").over(everything) * F.col("weight"))).drop("level", "most")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How many words a mix takes of each document.
+def _key(docs: DataFrame, id_col: str, source_col: str) -> dict:
+    """Columns that place a document in the mix: its source, null apart, and 60 hash bits of its id."""
+    digest = F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary"))
+    return {
+        "no_source": docs[source_col].isNull().cast("int"),
+        "source": F.coalesce(docs[source_col], F.lit("")),
+        "hash": F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"),
+    }
 
-    Each source gets whole passes over all its documents while they fit into its target and one
-    partial pass: the documents whose 60-bit hash of the id lies below a threshold. Six histograms
-    of 1024 buckets find the threshold, each over the boundary bucket of the one before, so nothing
-    is sorted and a larger budget takes a superset. The documents with the very hash on the boundary
-    are taken if that comes nearer to the target.
 
-    Returns doc_id, source, size, source_size, target, copies, taken; one row per input row.
-    Null or empty text: size 0, taken 0 times. Null source: a source of its own, placed last. Rows
-    that repeat an id share its hash and its fate. A null id hashes as the empty text. No rows: no
-    rows. Other columns are ignored.
+def plan_mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
+    """The plan of a mix of documents (no_source, source, size, hash), one row per source.
+
+    `passes` whole passes over the source and, in part, the documents with a hash below `edge`; those
+    with that very hash too if `edge_in`. Each level is a histogram over the boundary bucket of the
+    one before.
     """
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    sized = stage(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).isNull().cast("int").alias("no_source"),
-            F.coalesce(F.col(source_col), F.lit("")).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("hash"),
-        ),
-        "sized",
-    )
-    key = ["no_source", "source"]
-    totals = sized.groupBy(*key).agg(F.sum("size").alias("source_size"))
-    targets = source_targets(totals, weights, cap)
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    state = targets.withColumn("passes", passes).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size"))
-    state = small(stage(state.withColumn("prefix", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long")).withColumn("mass", F.lit(0).cast("long")), "targets"))
-    carried = ["source_size", "target", "passes", "budget"]
+    key, carried = ["no_source", "source"], ["budget"]
+    targets = source_targets(sized.groupBy(*key).agg(F.sum("size").alias("source_size")), weights, cap)
+    targets = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    targets = stage(targets.withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size")), "targets")
+    zero = F.lit(0).cast("long")
+    state = small(targets.select(*key, "budget", zero.alias("prefix"), zero.alias("below"), zero.alias("mass")))
     for level in range(1, LEVELS + 1):
         bucket, parent = F.shiftright("hash", BITS * (LEVELS - level)), F.shiftright("hash", BITS * (LEVELS - level + 1))
         # A source without words has no boundary: it drops out here and takes no document in part.
-        histogram = sized.where("size > 0").withColumn("parent", parent).withColumn("bucket", bucket).join(state.withColumnRenamed("prefix", "parent"), [*key, "parent"]).groupBy(*key, "bucket").agg(F.sum("size").alias("m"), F.first("below").alias("below"), *(F.first(c).alias(c) for c in carried))
+        placed = sized.where("size > 0").withColumn("prefix", parent).withColumn("bucket", bucket)
+        histogram = placed.join(state, [*key, "prefix"]).groupBy(*key, "bucket").agg(F.sum("size").alias("m"), *(F.first(c).alias(c) for c in ["below", *carried]))
         running = F.col("below") + F.sum("m").over(Window.partitionBy(*key).orderBy("bucket"))
         reached = histogram.withColumn("running", running).where("running > budget")
         state = reached.groupBy(*key).agg(
@@ -80,29 +72,51 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
         )
         state = small(stage(state, "level"))
     ends = state.select(*key, F.col("prefix").alias("edge"), (F.col("mass") < 2 * (F.col("budget") - F.col("below"))).alias("edge_in"))
-    plan = small(stage(targets.withColumn("passes", passes).join(ends, key, "left"), "thresholds"))
-    part = F.coalesce((F.col("hash") < F.col("edge")) | ((F.col("hash") == F.col("edge")) & F.col("edge_in")), F.lit(False))
-    copies = F.when(F.col("size") > 0, F.col("passes") + part.cast("long")).otherwise(0)
-    return sized.join(plan, key).select(
-        "doc_id",
-        F.when(F.col("no_source") == 0, F.col("source")).alias("source"),
-        "size",
-        "source_size",
-        "target",
-        copies.cast("long").alias("copies"),
-        (copies * F.col("size")).cast("long").alias("taken"),
+    return small(stage(targets.select(*key, "source_size", "target", "passes").join(ends, key, "left"), "plan"))
+
+
+def copies(hash_: Column, has_words: Column, plan: DataFrame) -> Column:
+    """How often the plan takes a document."""
+    part = F.coalesce((hash_ < plan["edge"]) | ((hash_ == plan["edge"]) & plan["edge_in"]), F.lit(False))
+    return F.when(has_words, plan["passes"] + part.cast("long")).otherwise(0).cast("long")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """How many words a mix takes of each document.
+
+    Each source gets whole passes over all its documents while they fit into its target and one
+    partial pass: the documents whose 60-bit hash of the id lies below a threshold. Six histograms
+    of 1024 buckets find the threshold, each over the boundary bucket of the one before, so nothing
+    is sorted and a larger budget takes a superset. The documents with the very hash on the boundary
+    are taken if that comes nearer to the target.
+
+    Returns doc_id, size, source_size, target, taken, source, copies; one row per input row. Null or
+    empty text: size 0, taken 0 times. Null source: a source of its own, placed last. Rows that
+    repeat an id share its hash and its fate. A null id hashes as the empty text. No rows: no rows.
+    Other columns are ignored.
+    """
+    sized = stage(docs.select(docs[id_col].alias("doc_id"), word_count(docs[text_col]).alias("size"), *(c.alias(k) for k, c in _key(docs, id_col, source_col).items())), "sized")
+    plan = plan_mix(sized, weights, cap)
+    n = copies(sized["hash"], sized["size"] > 0, plan)
+    joined = sized.join(plan, (sized["no_source"] == plan["no_source"]) & (sized["source"] == plan["source"]))
+    return joined.select(
+        "doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), F.when(sized["no_source"] == 0, sized["source"]).alias("source"), n.alias("copies")
     )
 
 
-def take_copies(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """`docs`, each row as often as its mix says."""
-    counts = mix.select(F.col("doc_id").alias("__id"), F.col("copies").alias("__n")).where("__n > 0").groupBy("__id").agg(F.max("__n").alias("__n"))
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts["__id"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+def take_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `docs`, each as often as `mix_sources` takes it. Texts stay where they are."""
+    sized = stage(docs.select(word_count(docs[text_col]).alias("size"), *(c.alias(k) for k, c in _key(docs, id_col, source_col).items())), "sized")
+    plan = plan_mix(sized, weights, cap)
+    key = _key(docs, id_col, source_col)
+    n = copies(key["hash"], F.coalesce(docs[text_col].rlike(WORD_PATTERN), F.lit(False)), plan)
+    joined = docs.join(plan, (key["no_source"] == plan["no_source"]) & (key["source"] == plan["source"]))
+    times = F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>"))
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(times).alias("__copy")).drop("__copy")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return mix_sources(table(spark, sf_dir, "documents"))
 
 
 ORACLE = r"""

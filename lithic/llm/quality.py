@@ -165,5 +165,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
     return ready.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, remainder: int = 2, threshold: float = THRESHOLD, per_label: int = PER_LABEL) -> DataFrame:
+    """The rows of `docs` that score at least `threshold`, as they are."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels.select("doc_id", label), label, lambda i: ~in_fold(i, modulus, remainder), per_label))
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            yield b.filter(pa.array(score_texts(model.value, texts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

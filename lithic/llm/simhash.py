@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
-from lithic.llm.common import small, stage, table
+from lithic.llm.common import keep_rows, small, stage, table
 from lithic.llm.components import connected_components
 
 SEED = 42
@@ -230,5 +230,19 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, id_co
     )
 
 
+def drop_near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4) -> DataFrame:
+    """The rows of `docs` (doc_id, text and others) that `near_duplicates` keeps: one of each component."""
+
+    def with_key(rows):
+        def run(batches):
+            for b in batches:
+                found = [f"{simhash(t, shingle):016x}" for t in b.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "__key"])
+
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__key", T.StringType())]))
+
+    return keep_rows(docs, near_duplicates(docs, threshold, shingle).withColumnRenamed("fingerprint", "key"), with_key)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
