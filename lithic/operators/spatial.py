@@ -8,6 +8,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lithic.functions.core import small_side
 
@@ -161,7 +162,7 @@ def balanced_folds(groups: DataFrame, group: str, k: int) -> DataFrame:
         fold = min(range(k), key=lambda i: (filled[i], i))
         filled[fold] += r["n"]
         out.append((r[group], r["n"], fold))
-    return groups.sparkSession.createDataFrame(out, groups.select(group).schema.add("n", "long").add("fold", "int"))
+    return groups.sparkSession.createDataFrame(out, groups.select(group).schema.add("n", T.LongType()).add("fold", T.IntegerType()))
 
 
 def kmeans_atoms(points: DataFrame, columns: list[str], k: int, seed: int = 1) -> DataFrame:
@@ -228,7 +229,7 @@ def spatial_k_fold(points: DataFrame, targets: DataFrame, columns: list[str], k:
         for c in np.argsort(-totals, kind="stable"):
             fold[c] = filled.argmin()
             filled[fold[c]] += totals[c]
-        rows = spark.createDataFrame([(r[group], int(fold[x])) for r, x in zip(summary, label)], points.select(group).schema.add("fold", "int"))
+        rows = spark.createDataFrame([(r[group], int(fold[x])) for r, x in zip(summary, label)], points.select(group).schema.add("fold", T.IntegerType()))
         dealt = points.join(small_side(rows), group)
         parts = [nearest(dealt.where(F.col("fold") == f), dealt.where(F.col("fold") != f), columns, cell, id_col, id_col) for f in range(k) if filled[f] and filled.sum() > filled[f]]
         if not parts:

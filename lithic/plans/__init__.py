@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lithic.plans import drillholes
+from lithic.plans import drillholes, ensembles, grids
 
-MODULES = (drillholes,)
+MODULES = (drillholes, grids, ensembles)
 
 
 def queries() -> dict:
