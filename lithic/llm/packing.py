@@ -17,7 +17,7 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 CAPACITY = 4096
 #: White-space separated chunks whose ids a task remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 def tokenizer_path() -> str:
@@ -26,22 +26,44 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class ChunkIds(dict):
-    """Ids of a text without white space, as little-endian unsigned 32-bit bytes, tokenized when first met.
+    """Ids of a text without white space, as little-endian unsigned 32-bit bytes, worked out when first met.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    chunks in order.
+    chunks in order. Nor does it join letters or digits with ASCII punctuation, so a chunk that ends
+    in punctuation is two. A chunk of a-z passes through its normalizer as it is and needs only its
+    model; all else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+
+    def of(self, text: bytes | None) -> bytes:
+        """Ids of a whole text. A-Z may be made small beforehand unless a mark that combines with a letter
+        (U+0300 to U+033F start with this byte) or a special token could be meant."""
+        text = text or b""
+        if b"\xcc" not in text and b"<|" not in text:
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.split()))
+
+    def _ids(self, chunk: bytes) -> bytes:
+        if chunk.isalpha() and chunk.islower():
+            return np.array([t.id for t in self.model.tokenize(chunk.decode())], "<u4").tobytes()
+        body = chunk.rstrip(PUNCTUATION)
+        if body and len(body) < len(chunk) and b"<|" not in chunk and (body[-1:].isalnum() or (body[-1] > 127 and body.decode()[-1].isalpha())):
+            return self[body] + self[chunk[len(body) :]]
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
+        ids = self._ids(chunk)
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
@@ -56,7 +78,7 @@ def _pieces(path: str, capacity: int, end: int):
         for b in batches:
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                data = b"".join([ids[c] for c in (text or b"").split()]) + last
+                data = ids.of(text) + last
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     n = len(part) // 4
