@@ -114,7 +114,7 @@ def _featured(batches):
 def learn(docs: DataFrame, labels: DataFrame, label: str, learning, per_label: int = PER_LABEL):
     """A model from at most `per_label` rows of each label, taken in the order of a hash of the id.
 
-    None if no label is known; a plain share if there is only one label.
+    None if no label is known; that label if there is only one.
     """
     known = labels.where(F.col(label).isNotNull() & learning(F.col("doc_id"))).groupBy("doc_id").agg(F.round(F.avg(label)).cast("int").alias("label"))
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -126,6 +126,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, learning, per_label: i
         picked = some if picked is None else picked.union(some)
     rows = docs.join(F.broadcast(picked), "doc_id").select(F.col("text").cast("binary").alias("text"), "label")
     rows = rows.mapInArrow(_featured, "label int, x binary").collect()
+    there = {r["label"] for r in rows}
+    if len(there) < 2:
+        return float(there.pop()) if there else None
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
     y = np.array([r["label"] for r in rows], np.float32)
     del rows
