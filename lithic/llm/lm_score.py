@@ -71,6 +71,8 @@ def count_words(texts: DataFrame) -> DataFrame:
 def classes_of(words: list[bytes], seed: int = 5) -> np.ndarray:
     """Class and slot of each word (most frequent first): words spelled alike share a cluster, and a
     cluster is cut into classes of SLOTS words by frequency."""
+    if not words:
+        return np.zeros((0, 2), np.int64)
     x = np.zeros((len(words), 256), np.float32)
     for i, w in enumerate(words):
         w = b"^" + w + b"$"
@@ -78,10 +80,10 @@ def classes_of(words: list[bytes], seed: int = 5) -> np.ndarray:
             x[i, zlib.crc32(w[a : a + 2]) & 255] += 1
     x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
     k = min(SPELLINGS, len(words))
-    centres = x[np.random.default_rng(seed).choice(len(words), k, replace=False)] if k else x
+    centres = x[np.random.default_rng(seed).choice(len(words), k, replace=False)]
     for _ in range(12):
         near = (x @ centres.T).argmax(1)
-        centres = np.stack([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(k)]) if k else centres
+        centres = np.stack([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(k)])
         centres = centres / (np.linalg.norm(centres, axis=1, keepdims=True) + 1e-9)
     out, opened = np.zeros((len(words), 2), np.int64), 1  # class 0 holds the buckets
     for c in range(k):
@@ -114,10 +116,11 @@ class Layout:
         return cls(place[:, 0], place[:, 1], class_off, slot_off)
 
 
-def contexts(s: np.ndarray) -> np.ndarray:
-    """Feature rows of every position: the word before, the one before that, the third back, and the pair before."""
+def contexts(s: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Feature rows of positions (all by default): the word before, the one before that, the third back, and the pair before."""
     padded = np.concatenate([np.full(3, START), s]).astype(np.int64)
-    one, two, three = padded[2:-1], padded[1:-2], padded[:-3]
+    at = np.arange(len(s)) if at is None else at
+    one, two, three = padded[at + 2], padded[at + 1], padded[at]
     width = SYMBOLS + 1
     pair = ((one * 0x9E3779B1 + two * 0x85EBCA6B) >> 7) % PAIR_ROWS
     return np.stack([one, width + two, 2 * width + three, 3 * width + pair], 1)
@@ -145,6 +148,29 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _summed(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, how often each occurs, and the sum of the gradients where it does.
+
+    Most rows occur a few times in a batch: their gradients are added layer by layer, and only the
+    few frequent rows are summed one by one, which is several times as fast as `add.reduceat`.
+    """
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    times = np.diff(np.append(first, len(flat)))
+    spread = g[order // rows.shape[1]]
+    total = spread[first].copy()
+    many, k = np.flatnonzero(times > 1), 1
+    while len(many) and k < 8:
+        total[many] += spread[first[many] + k]
+        k += 1
+        many = many[times[many] > k]
+    for i in many.tolist():
+        total[i] += spread[first[i] + k : first[i] + times[i]].sum(0)
+    return flat[first], times, total
+
+
 class Model:
     """Parameters of the class-factored softmax: P(class | features) * P(word | class, features)."""
 
@@ -175,11 +201,7 @@ class Model:
         for weights, seen, at, off, hit in ((self.w1, self.seen1, rows, self.layout.class_off, c), (self.w2, self.seen2, word_rows(rows, c), self.layout.slot_off[c], k)):
             g = np.exp(_log_softmax(_logits(weights, at) + off))
             g[n, hit] -= 1
-            flat = at.ravel()
-            order = np.argsort(flat, kind="stable")
-            which, first = np.unique(flat[order], return_index=True)
-            total = np.add.reduceat(g[order // at.shape[1]], first, axis=0)
-            times = np.diff(np.append(first, len(flat)))
+            which, times, total = _summed(at, g)
             seen[which] += times
             weights[which] -= (rate / (np.sqrt(seen[which]) * np.sqrt(times)))[:, None] * total
 
@@ -206,7 +228,7 @@ def _gradients(model, round_: int, stride: int):
                 s = np.frombuffer(data, "<u2").astype(np.int64)
                 pick = np.arange((uid * 7 + round_ * (stride // ROUNDS or 1)) % stride, len(s), stride)
                 if len(pick):
-                    rows.append(contexts(s)[pick])
+                    rows.append(contexts(s, pick))
                     symbols.append(s[pick])
                     n += len(pick)
                 if n >= 16 * BATCH:
