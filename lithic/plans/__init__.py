@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lithic.plans import drillholes, ensembles, grids
+from lithic.plans import drillholes, ensembles, grids, traces
 
-MODULES = (drillholes, grids, ensembles)
+MODULES = (drillholes, grids, ensembles, traces)
 
 
 def queries() -> dict:
