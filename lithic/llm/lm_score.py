@@ -45,6 +45,23 @@ def bucket_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % BUCKETS
 
 
+class Buckets(dict):
+    """Symbols of word endings, by word."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        self[word] = found = WORDS + bucket_of(word)
+        return found
+
+
+def slices(batches, rows: int = 1_000):
+    """Batches cut to few rows, to bound what a task holds at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _counted(batches):
     held: Counter = Counter()
 
@@ -142,9 +159,19 @@ def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _log_at(z: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Log softmax of each row at one column. Overwrites z."""
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    hit = z[np.arange(len(z)), column]
+    np.exp(z, out=z)
+    return hit - np.log(z.sum(1))
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Overwrites z."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
     return z
 
 
@@ -189,17 +216,21 @@ class Model:
         out, rows = np.empty(len(symbols)), contexts(symbols)
         for at in range(0, len(symbols), BATCH):
             s, r = symbols[at : at + BATCH].astype(np.int64), rows[at : at + BATCH]
-            c, k, n = self.layout.cls[s], self.layout.slot[s], np.arange(len(s))
-            p = _log_softmax(_logits(self.w1, r) + self.layout.class_off)
-            q = _log_softmax(_logits(self.w2, word_rows(r, c)) + self.layout.slot_off[c])
-            out[at : at + BATCH] = p[n, c] + q[n, k]
+            c, k = self.layout.cls[s], self.layout.slot[s]
+            z = _logits(self.w1, r)
+            z += self.layout.class_off
+            y = _logits(self.w2, word_rows(r, c))
+            y += self.layout.slot_off[c]
+            out[at : at + BATCH] = _log_at(z, c) + _log_at(y, k)
         return out
 
     def update(self, rows: np.ndarray, symbols: np.ndarray, rate: float = RATE) -> None:
         """One gradient step over a batch of positions; a row's steps shrink with the square root of its visits."""
         c, k, n = self.layout.cls[symbols], self.layout.slot[symbols], np.arange(len(symbols))
         for weights, seen, at, off, hit in ((self.w1, self.seen1, rows, self.layout.class_off, c), (self.w2, self.seen2, word_rows(rows, c), self.layout.slot_off[c], k)):
-            g = np.exp(_log_softmax(_logits(weights, at) + off))
+            g = _logits(weights, at)
+            g += off
+            g = _softmax(g)
             g[n, hit] -= 1
             which, times, total = _summed(at, g)
             seen[which] += times
@@ -291,18 +322,24 @@ def _encoded(head):
     def run(batches):
         words, logs, symbol = head.value
         place = dict(zip(words, range(len(words))))
-        logs, symbol = np.append(logs, 0.0), np.append(symbol, 0)
-        for b in batches:
-            out = []
-            for doc, held, text in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text").to_pylist()):
+        logs, symbol, bucket_at = np.append(logs, 0.0), np.append(symbol, 0), Buckets()
+        for b in slices(batches):
+            out, rare_words, rare_counts, ends = [], [], [], [0]
+            for text in b.column("text").to_pylist():
                 tokens = words_of(text)
                 at = np.fromiter(map(place.get, tokens, repeat(-1)), np.int64, len(tokens))
-                s = symbol[at]
-                rare = [tokens[i] for i in np.flatnonzero(at < 0).tolist()]
-                s[at < 0] = [WORDS + bucket_of(w) for w in rare]
+                s, missing = symbol[at], np.flatnonzero(at < 0)
+                rare = [tokens[i] for i in missing.tolist()]
+                s[missing] = list(map(bucket_at.__getitem__, rare))
                 tail = Counter(rare)
-                out.append((doc, held, len(tokens), len(tokens) - len(rare), float(logs[at].sum()), float(logs[at[s >= WORDS]].sum()), s.astype("<u2").tobytes(), [{"word": w, "n": n} for w, n in tail.items()]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), ENCODED.types)], schema=ENCODED) if out else pa.RecordBatch.from_pylist([], ENCODED)
+                rare_words.extend(tail)
+                rare_counts.extend(tail.values())
+                ends.append(len(rare_words))
+                out.append((len(tokens), len(tokens) - len(rare), float(logs[at].sum()), float(logs[at[s >= WORDS]].sum()), s.astype("<u2").tobytes()))
+            rare_items = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "n"])
+            columns = list(zip(*out)) or [()] * 5
+            plain = [pa.array(c, t) for c, t in zip(columns, ENCODED.types[2:7])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *plain, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare_items)], schema=ENCODED)
 
     return run
 
@@ -334,7 +371,8 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, head: int
         if total + n > head:
             break
         total, lowest = total + n, at
-    top = sorted(((r["c"], bytes(r["word"])) for r in counts.where(level >= lowest).collect()), key=lambda x: (-x[0], x[1]))
+    top = counts.where(level >= lowest).toArrow()
+    top = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist()), key=lambda x: (-x[0], x[1]))
     words = [w for _, w in top]
     layout = Layout.of(words[:WORDS])
     symbol = np.array([i if i < WORDS else WORDS + bucket_of(w) for i, w in enumerate(words)], np.int64)
@@ -350,6 +388,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, head: int
     log_mass = np.log10(np.maximum(mass, 1))
 
     found = context.broadcast((words, logs, symbol))
+    del words, logs, symbol, top
     encoded = stage(texts.mapInArrow(_encoded(found), _ENCODED).withColumn("uid", F.monotonically_increasing_id()), "encoded")
     model = context.broadcast((train(encoded.where("not held_out"), layout, rounds, stride), log_mass))
 
