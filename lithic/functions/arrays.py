@@ -71,5 +71,5 @@ def simplex(z: Column) -> Column:
     down = F.reverse(s)
     tops = F.transform(down, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("k"), array_sum(F.slice(down, F.lit(1), i + 1)).alias("c")))
     held = F.filter(tops, lambda t: 1 + t["k"] * t["x"] > t["c"])
-    tau = F.transform(F.slice(held, -1, 1), lambda t: (t["c"] - 1) / t["k"])[0]
+    tau = F.get(F.transform(F.slice(held, -1, 1), lambda t: (t["c"] - 1) / t["k"]), F.lit(0))
     return F.when(n > 0, F.transform(z, lambda x: F.greatest(x - tau, F.lit(0.0))))
