@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lithic.functions.arrays import array_mean, array_sum
+from lithic.functions.arrays import array_mean, array_sum, let
 
 
 def parts(*columns: Column | str) -> Column:
@@ -14,8 +14,7 @@ def parts(*columns: Column | str) -> Column:
 
 def close(p: Column) -> Column:
     """Parts divided by their sum."""
-    s = array_sum(p)
-    return F.transform(p, lambda x: x / s)
+    return let(array_sum(p), lambda s: F.transform(p, lambda x: x / s))
 
 
 def is_closed(p: Column, tolerance: float = 1e-10) -> Column:
@@ -25,15 +24,12 @@ def is_closed(p: Column, tolerance: float = 1e-10) -> Column:
 
 def clr(p: Column) -> Column:
     """Centred log ratios."""
-    logs = F.transform(p, lambda x: F.log(x))
-    m = array_mean(logs)
-    return F.transform(logs, lambda x: x - m)
+    return let(F.transform(p, lambda x: F.log(x)), lambda logs: let(array_mean(logs), lambda m: F.transform(logs, lambda x: x - m)))
 
 
 def clr_inverse(z: Column) -> Column:
     """Softmax, the inverse of `clr`."""
-    top = F.array_max(z)
-    return close(F.transform(z, lambda x: F.exp(x - top)))
+    return close(let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top))))
 
 
 def aitchison(a: Column, b: Column) -> Column:

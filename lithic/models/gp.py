@@ -128,6 +128,7 @@ class GP(_Predictor):
         self.gram = np.linalg.inv(h.T @ self.solved_h) if h.shape[1] else np.zeros((0, 0))
         self.beta = self.gram @ (self.solved_h.T @ y)
         self.alpha = solve(y - h @ self.beta)
+        self.inverse = np.linalg.inv(self.chol)
         self._residual = y - h @ self.beta
         return self
 
@@ -157,7 +158,7 @@ class GP(_Predictor):
             return {"mean": np.zeros(0), "variance": np.zeros(0), "explained": np.zeros(0), "sims": np.zeros((0, n_sim))}
         k, h = self._cross(x), self._basis(x)
         mean = k @ self.alpha + h @ self.beta
-        v = np.linalg.solve(self.chol, k.T)
+        v = self.inverse @ k.T
         prior = self.amplitude * self.covariance.diagonal(x)
         explained = (v**2).sum(0)
         r = h - k @ self.solved_h
@@ -213,6 +214,8 @@ class SparseGP(_Predictor):
         half = np.linalg.solve(self.luu, a * kk * a)
         inner = np.linalg.solve(self.luu, half.T) / s2
         self.lb = np.linalg.cholesky(np.eye(m) + inner)
+        self.first = np.linalg.inv(self.luu)
+        self.second = np.linalg.inv(self.lb)
         self.c = np.linalg.solve(self.lb, np.linalg.solve(self.luu, a * ky)) / s2
         self.bound = float(
             -0.5 * n * np.log(2 * np.pi * s2) - np.log(np.diag(self.lb)).sum() - 0.5 * yy / s2 + 0.5 * s2 * (self.c @ self.c) / s2 - 0.5 / s2 * (a * trace - s2 * np.trace(inner))
@@ -235,8 +238,8 @@ class SparseGP(_Predictor):
     def raw(self, x, n_sim, normals):
         if not len(x):
             return {"mean": np.zeros(0), "variance": np.zeros(0), "explained": np.zeros(0), "sims": np.zeros((0, n_sim))}
-        k = np.linalg.solve(self.luu, self.amplitude * self.covariance(self.inducing, x))
-        w = np.linalg.solve(self.lb, k)
+        k = self.first @ (self.amplitude * self.covariance(self.inducing, x))
+        w = self.second @ k
         mean = w.T @ self.c
         prior = self.amplitude * self.covariance.diagonal(x)
         var = np.maximum(prior - (k**2).sum(0) + (w**2).sum(0), 0)
@@ -328,7 +331,8 @@ class StructuralField(GP):
         y = np.concatenate([np.zeros(len(t)), np.ones(len(n))])
         k = self.covariance.d2(self.dx, self.dx, self.dd, self.dd) + np.eye(len(y)) * self.noise
         self.chol = np.linalg.cholesky(k)
-        self.alpha = np.linalg.solve(self.chol.T, np.linalg.solve(self.chol, y))
+        self.inverse = np.linalg.inv(self.chol)
+        self.alpha = self.inverse.T @ (self.inverse @ y)
         self.gram, self.beta, self.solved_h = np.zeros((0, 0)), np.zeros(0), np.zeros((len(y), 0))
         return self
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,11 +66,44 @@ def cutoff_range(df: DataFrame, sims: str, n: int) -> list[float]:
     return np.linspace(low, high, n).tolist()
 
 
+def _binned(levels: list[float]):
+    """Per task and (realization, highest cut-off cleared): mass and metal. One row each, however many blocks there are."""
+    cuts = np.array(levels)
+
+    def run(batches):
+        mass, metal, wide = np.zeros((0, len(cuts) + 1)), np.zeros((0, len(cuts) + 1)), len(cuts) + 1
+        for b in batches:
+            col = b.column("v")
+            n = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            v = col.flatten().to_numpy(zero_copy_only=False).astype(float)
+            row = np.repeat(np.arange(len(n)), n)
+            sim = np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)
+            w = b.column("w").to_numpy(zero_copy_only=False).astype(float)[row]
+            d = b.column("d")
+            if d.null_count < len(d):
+                w = w * d.flatten().to_numpy(zero_copy_only=False).astype(float)
+            good = np.isfinite(v) & np.isfinite(w)
+            k = np.searchsorted(cuts, v, "right")
+            good &= k > 0
+            top = int(n.max(initial=0))
+            if top > len(mass):
+                grow = np.zeros((top - len(mass), wide))
+                mass, metal = np.concatenate([mass, grow]), np.concatenate([metal, grow])
+            at = (sim * wide + k)[good]
+            w, v = w[good], v[good]
+            mass += np.bincount(at, w, mass.size).reshape(mass.shape)
+            metal += np.bincount(at, w * v, mass.size).reshape(mass.shape)
+        s, k = np.nonzero(mass)
+        yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(mass[s, k]), pa.array(metal[s, k])], ["sim", "k", "w", "m"])
+
+    return run
+
+
 def grade_tonnage(df: DataFrame, sims: str, cutoffs: list[float] | int = 30, volume: float | str = 1.0, density: float | str | None = None, uncertainty: str | None = None, max_uncertainty: float | None = None) -> DataFrame:
     """For each cut-off and realization: tonnage of what clears it, its metal and mean grade.
 
-    A value is filed under the highest cut-off that it clears, in one pass with partial sums per
-    (cut-off, realization); curves are running totals from the top. `density` is a number, a column, or
+    A value is filed under the highest cut-off that it clears, in one pass with partial sums per task,
+    cut-off and realization, so that no row is exploded; curves are running totals from the top. `density` is a number, a column, or
     an array column with a value per realization. Values that are missing clear nothing.
     """
     if max_uncertainty is not None:
@@ -80,12 +115,8 @@ def grade_tonnage(df: DataFrame, sims: str, cutoffs: list[float] | int = 30, vol
     paired = isinstance(density, str) and df.schema[density].dataType.typeName() == "array"
     if density is not None and not paired:
         mass = mass * (F.col(density) if isinstance(density, str) else float(density))
-    flat = df.select(F.posexplode(sims).alias("sim", "v"), mass.alias("w"), *([F.col(density).alias("__d")] if paired else []))
-    flat = flat.withColumn("v", F.nanvl(F.col("v").cast("double"), F.lit(None)))
-    if paired:
-        flat = flat.withColumn("w", F.col("w") * F.try_element_at("__d", F.col("sim") + 1))
-    cleared = sum((F.when(F.col("v") >= c, 1).otherwise(0) for c in levels), F.lit(0))
-    binned = flat.withColumn("k", cleared).where("k > 0").groupBy("sim", "k").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("v")).alias("m"))
+    ready = df.select(F.transform(sims, lambda x: x.cast("double")).alias("v"), mass.cast("double").alias("w"), (F.transform(density, lambda x: x.cast("double")) if paired else F.lit(None).cast("array<double>")).alias("d"))
+    binned = ready.mapInArrow(_binned(levels), "sim int, k int, w double, m double").groupBy("sim", "k").agg(F.sum("w").alias("w"), F.sum("m").alias("m"))
     # At most (cut-offs) rows per realization: each goes to every cut-off it clears.
     spread = binned.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     curves = spread.groupBy("sim", "i").agg(F.sum("w").alias("tonnage"), F.sum("m").alias("metal"))

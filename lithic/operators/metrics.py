@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithic.functions.arrays import array_mean, array_var, clean, crps, interval_score, sorted_quantile
+from lithic.functions.arrays import array_mean, array_var, clean, crps, interval_score, let, sorted_quantile
 from lithic.functions.composition import aitchison
 
 #: Probabilities whose central intervals `coverage` looks at by default.
@@ -38,8 +38,8 @@ def mean_interval_score(truth: str, sims: str, alpha: float = 0.05) -> Column:
 def bias_variance(truth: str, sims: str) -> tuple[Column, Column]:
     """Mean squared bias of the ensemble mean, and mean population variance."""
     v = clean(F.col(sims))
-    d = array_mean(v) - F.col(truth)
-    return F.avg(d * d), F.avg(array_var(v))
+    miss = let(array_mean(v) - F.col(truth), lambda d: d * d)
+    return F.avg(miss), F.avg(array_var(v))
 
 
 def coverage(df: DataFrame, truth: str, sims: str, probabilities: list[float] | None = None, by: list[str] = ()) -> DataFrame:
