@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +19,34 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side of a join is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 
+#: Rows of text that a Python task holds at once.
+TEXT_ROWS = 1_000
+
 _written: list[tuple] = []
 
 
+def tidy() -> None:
+    """Give memory back to the system: a Python worker serves later tasks too, beside another one and the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def task(run, rows: int | None = TEXT_ROWS):
+    """`run` over batches of at most `rows` rows, leaving a tidy worker behind."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches if rows is None else (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)))
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

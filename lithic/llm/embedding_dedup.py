@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
-from lithic.llm.common import small, stage, table
+from lithic.llm.common import small, stage, table, task
 from lithic.llm.components import connected_components
 
 #: Vectors that the rotations are learned from (every vector is indexed), their rounds, and the
@@ -199,7 +199,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     spark = vectors.sparkSession
     kind = "<f4" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "<f8"
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
-    rows = stage(given.mapInArrow(_keyed, "vec_id long, key binary, vec binary").withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    rows = stage(given.mapInArrow(task(_keyed, None), "vec_id long, key binary, vec binary").withColumn("uid", F.monotonically_increasing_id()), "vectors")
     first = F.min(F.struct(F.col("vec_id").isNull().alias("no_id"), "vec_id", "uid")).alias("first")
     classes = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.first("vec").alias("vec"), first)
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -209,7 +209,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         bits, tables = layout(count, threshold, recall)
         picked = [bytes(r[0]) for r in classes.orderBy(F.xxhash64("key")).limit(sample).select("vec").collect()]
         model = spark.sparkContext.broadcast(learn_rotations(_units(picked, kind, width), -(-bits * tables // width)))
-        entries = classes.select("cid", "n", "vec").mapInArrow(_tables(model, kind, width, bits, tables), "t int, bucket long, dim int, cid long, n long, codes binary, vec binary")
+        entries = classes.select("cid", "n", "vec").mapInArrow(task(_tables(model, kind, width, bits, tables), None), "t int, bucket long, dim int, cid long, n long, codes binary, vec binary")
         place = ["t", "bucket", "dim"]
         crowded = small(stage(entries.groupBy(*place).count().where(F.col("count") > bucket_rows), "crowded"))
         parts = F.coalesce(F.ceil(F.col("count") / bucket_rows), F.lit(1)).cast("long")
@@ -218,7 +218,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         cell = (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).alias("cell")
         dealt = dealt.select(*place, cell, "mine", (F.least("mine", "other") != F.greatest("mine", "other")).alias("split0"), "cid", "n", "codes", "vec").withColumn("split", F.col("split0")).drop("split0")
         # A row whose own part is both ends of a cell meets the same part there and in no other cell.
-        found = dealt.repartition(*place, "cell").sortWithinPartitions(*place, "cell", "cid").mapInArrow(_links(kind, width, threshold), "a long, b long, links long")
+        found = dealt.repartition(*place, "cell").sortWithinPartitions(*place, "cell", "cid").mapInArrow(task(_links(kind, width, threshold), None), "a long, b long, links long")
         found = stage(found, "links")
     else:
         found = spark.createDataFrame([], "a long, b long, links long")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm.common import SPACE, keep_rows, small, stage, table
+from lithic.llm.common import SPACE, keep_rows, small, stage, table, task
 
 #: Distinct fingerprints that one merge task holds on average.
 BLOCK_ENTRIES = 65_536
@@ -134,12 +134,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one is kept. No rows: no rows. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"), F.col(text_col).cast("binary").alias("text"))
-    digests = stage(texts.mapInArrow(_digests, "doc_id long, n_chars long, fp long, sha binary").withColumn("uid", F.monotonically_increasing_id()), "digests")
+    digests = stage(texts.mapInArrow(task(_digests), "doc_id long, n_chars long, fp long, sha binary").withColumn("uid", F.monotonically_increasing_id()), "digests")
     block_bits = min(40, max(0, (digests.count() // BLOCK_ENTRIES).bit_length()))
-    blocks = digests.select("fp").mapInArrow(_filters(block_bits), "block long, filter binary")
+    blocks = digests.select("fp").mapInArrow(task(_filters(block_bits), None), "block long, filter binary")
     routed = small(stage(blocks.groupBy("block").applyInArrow(_merged, "fp long, n long"), "routed"))
 
-    suspects = texts.select("text").mapInArrow(_squeezed, "fp long, norm binary").join(routed, "fp", "left_semi")
+    suspects = texts.select("text").mapInArrow(task(_squeezed), "fp long, norm binary").join(routed, "fp", "left_semi")
     verified = suspects.groupBy("norm").agg(F.first("fp").alias("fp"), F.count("*").alias("copies"))
     # Two texts that share fingerprint and SHA-256 would have to be kept apart by their bytes: refuse them loudly.
     verified = verified.groupBy("fp", F.unhex(F.sha2("norm", 256)).alias("sha")).agg(F.count("*").alias("texts"), F.max("copies").alias("copies"))

@@ -11,13 +11,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithic.llm.common import stage, table
+from lithic.llm.common import stage, table, task
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 CAPACITY = 4096
 #: White-space separated chunks whose ids a task remembers before it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 def tokenizer_path() -> str:
@@ -163,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    pieces = stage(texts.mapInArrow(_pieces(tokenizer or tokenizer_path(), capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"), "pieces")
+    pieces = stage(texts.mapInArrow(task(_pieces(tokenizer or tokenizer_path(), capacity, end)), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"), "pieces")
     tallies = stage(pieces.groupBy("length", "task").count(), "tallies")
     counts = {r["length"]: r["n"] for r in tallies.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     earlier = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -191,7 +191,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             )
 
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("earlier")).alias("global_rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(task(place, None), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm.common import in_fold, stage, table
+from lithic.llm.common import in_fold, table, task
 
 #: Labelled rows of each label that vectors and votes are learned from, at most.
 PER_LABEL = 2_000
@@ -125,7 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, learning, per_label: i
         some = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = some if picked is None else picked.union(some)
     rows = docs.join(F.broadcast(picked), "doc_id").select(F.col("text").cast("binary").alias("text"), "label")
-    rows = rows.mapInArrow(_featured, "label int, x binary").collect()
+    rows = rows.mapInArrow(task(_featured), "label int, x binary").collect()
     there = {r["label"] for r in rows}
     if len(there) < 2:
         return float(there.pop()) if there else None
@@ -165,7 +165,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(found), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     ready = docs.select("doc_id", in_fold(F.col("doc_id"), modulus, remainder).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    return ready.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return ready.mapInArrow(task(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, remainder: int = 2, threshold: float = THRESHOLD, per_label: int = PER_LABEL) -> DataFrame:
@@ -177,7 +177,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", modulu
             texts = b.column("text").cast(pa.binary()).to_pylist()
             yield b.filter(pa.array(score_texts(model.value, texts) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task(run), docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

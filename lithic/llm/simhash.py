@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
-from lithic.llm.common import keep_rows, small, stage, table
+from lithic.llm.common import keep_rows, small, stage, table, task
 from lithic.llm.components import connected_components
 
 SEED = 42
@@ -191,7 +191,7 @@ def near_edges(distinct: DataFrame, threshold: int = 4, anchor_rows: int = ANCHO
     An anchor with over `anchor_rows` fingerprints is dealt over pairs of parts, every row to each
     pair with its part, so that no task grows without bound and no pair is lost.
     """
-    copies = distinct.select("fp").mapInArrow(_replicate(threshold), "block int, anchor int, fp long")
+    copies = distinct.select("fp").mapInArrow(task(_replicate(threshold), None), "block int, anchor int, fp long")
     crowded = small(stage(copies.groupBy("block", "anchor").count().where(F.col("count") > anchor_rows), "anchors"))
     parts = F.coalesce(F.ceil(F.col("count") / anchor_rows), F.lit(1)).cast("long")
     mine = F.pmod(F.xxhash64("fp"), "parts")
@@ -199,7 +199,7 @@ def near_edges(distinct: DataFrame, threshold: int = 4, anchor_rows: int = ANCHO
     cells = copies.join(crowded, ["block", "anchor"], "left").withColumn("parts", parts).withColumn("mine", mine).withColumn("other", other)
     cell = (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).cast("long")
     cells = cells.select("block", "anchor", cell.alias("cell"), "fp")
-    return cells.repartition("block", "anchor", "cell").sortWithinPartitions("block", "anchor", "cell").mapInArrow(_compare(threshold), "a long, b long")
+    return cells.repartition("block", "anchor", "cell").sortWithinPartitions("block", "anchor", "cell").mapInArrow(task(_compare(threshold), None), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, id_co
     row of the smallest id stays. No rows: no rows. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    prints = stage(texts.mapInArrow(_fingerprints(shingle), "doc_id long, fp long").withColumn("uid", F.monotonically_increasing_id()), "prints")
+    prints = stage(texts.mapInArrow(task(_fingerprints(shingle)), "doc_id long, fp long").withColumn("uid", F.monotonically_increasing_id()), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first")
     distinct = stage(prints.groupBy("fp").agg(first), "distinct")
     roots = connected_components(near_edges(distinct, threshold, anchor_rows)).withColumnRenamed("node", "fp")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm.common import in_fold, table
+from lithic.llm.common import in_fold, table, task
 
 #: Confirmed examples and unlabelled texts that the classifier is fitted to, at most.
 POSITIVES, UNLABELLED = 2_500, 5_000
@@ -107,7 +107,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, learning, positives: i
     confirmed = known.where("y = 1").orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(True).alias("positive"))
     anyone = docs.where(learning(F.col("doc_id"))).select("doc_id").orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("positive"))
     rows = docs.join(F.broadcast(confirmed.union(anyone)), "doc_id").select("positive", F.col("text").cast("binary").alias("text"))
-    rows = rows.mapInArrow(_slotted, "positive boolean, x binary").collect()
+    rows = rows.mapInArrow(task(_slotted), "positive boolean, x binary").collect()
     split = {flag: [np.frombuffer(r["x"], np.int32) for r in rows if r["positive"] == flag] for flag in (True, False)}
     if not split[True] or not split[False]:
         return None
@@ -142,7 +142,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(found), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     ready = docs.select("doc_id", in_fold(F.col("doc_id"), modulus, remainder).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    return ready.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return ready.mapInArrow(task(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
