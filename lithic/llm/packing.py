@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
@@ -17,7 +18,7 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 CAPACITY = 4096
 #: White-space separated chunks whose ids a task remembers before it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 300_000
 
 
 def tokenizer_path() -> str:
@@ -29,13 +30,18 @@ def tokenizer_path() -> str:
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: Letters that stand for bytes in the model: those that print stand for themselves, the others follow from 256 on.
+_PRINT = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
+
+
 class ChunkIds(dict):
     """Ids of a text without white space, as little-endian unsigned 32-bit bytes, worked out when first met.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     chunks in order. Nor does it join letters or digits with ASCII punctuation, so a chunk that ends
-    in punctuation is two. A chunk of a-z passes through its normalizer as it is and needs only its
-    model; all else goes through the whole tokenizer.
+    in punctuation is two. A chunk of small letters in normal form passes through its normalizer as
+    it is and needs only its model; all else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -55,6 +61,8 @@ class ChunkIds(dict):
     def _ids(self, chunk: bytes) -> bytes:
         if chunk.isalpha() and chunk.islower():
             return np.array([t.id for t in self.model.tokenize(chunk.decode())], "<u4").tobytes()
+        if not chunk.isascii() and (text := chunk.decode()).isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+            return np.array([t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(BYTE_LETTERS))], "<u4").tobytes()
         body = chunk.rstrip(PUNCTUATION)
         if body and len(body) < len(chunk) and b"<|" not in chunk and (body[-1:].isalnum() or (body[-1] > 127 and body.decode()[-1].isalpha())):
             return self[body] + self[chunk[len(body) :]]
