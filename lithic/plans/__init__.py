@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lithic.plans import drillholes, ensembles, grids, traces
+from lithic.plans import drillholes, ensembles, grids, looks, traces
 
-MODULES = (drillholes, grids, ensembles, traces)
+MODULES = (drillholes, grids, ensembles, traces, looks)
 
 
 def queries() -> dict:

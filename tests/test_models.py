@@ -107,3 +107,68 @@ def test_distributions_and_solvers():
     assert np.allclose(stats.conjugate_gradient(lambda v: a @ v, b), np.linalg.solve(a, b))
     assert abs(stats.log_determinant(lambda v: a @ v, 40, 30) - np.linalg.slogdet(a)[1]) < 3
     assert abs(stats.wasserstein_1([0, 1], [2, 3]) - 2) < 1e-12
+
+
+def test_variational_gaussian_is_the_sparse_optimum(points):
+    from lithic.models import likelihoods, variational
+
+    data = points.select("x", "y").toPandas().to_numpy()
+    k = kernels.Covariance("matern52", kernels.Isotropic(6.0))
+    u = data[::4]
+    sparse = gp.SparseGP(["x", "y"], "v", u, k, noise=0.1).fit(points)
+    own = variational.VariationalGP(["x", "y"], "v", u, likelihoods.Gaussian(0.1), k).fit(points, 3)
+    x = np.random.default_rng(6).uniform(0, 10, (30, 2))
+    a, b = sparse.raw(x, 0, np.zeros(0)), own.raw(x, 0, np.zeros(0))
+    assert np.allclose(a["mean"], b["mean"], atol=1e-2) and np.allclose(a["variance"], b["variance"], atol=1e-2)
+    assert abs(own.bounds[-1] - sparse.bound) < 0.5
+    half = variational.VariationalGP(["x", "y"], "v", u, likelihoods.Gaussian(0.1), k).fit_batches(points, 8, 2)
+    assert np.abs(half.raw(x, 0, np.zeros(0))["mean"] - b["mean"]).mean() < 0.1
+
+
+@pytest.mark.parametrize("name", ["Laplace", "StudentT", "Huber", "EpsilonInsensitive", "Bernoulli", "Gamma", "Mixture"])
+def test_other_likelihoods_raise_their_bound(points, name):
+    from lithic.models import likelihoods, variational
+
+    kind = getattr(likelihoods, name)()
+    df = points.withColumn("v", (F.col("label") == "hi").cast("double") if name == "Bernoulli" else F.abs("v") + 0.1)
+    u = points.select("x", "y").toPandas().to_numpy()[::4]
+    model = variational.VariationalGP(["x", "y"], "v", u, kind, kernels.Covariance("gaussian", kernels.Isotropic(5.0))).fit(df, 8, 0.5)
+    assert model.bounds[-1] > model.bounds[0]
+    y, f, v = np.array([0.4, 1.0]), np.array([0.2, 0.1]), np.array([0.3, 0.2])
+    e = 1e-5
+    if name in ("StudentT", "Gamma"):
+        base = kind.expectations(y, f, v)
+        assert np.allclose(base[1], (kind.expectations(y, f + e, v)[0] - kind.expectations(y, f - e, v)[0]) / (2 * e), atol=1e-3)
+        assert np.allclose(base[2], (kind.expectations(y, f, v + e)[0] - kind.expectations(y, f, v - e)[0]) / (2 * e), atol=2e-2)
+
+
+def test_networks_persistence_and_refinement(spark, points, tmp_path):
+    from lithic.models import likelihoods, persistence, refine, variational
+    from lithic.operators.blocks import BlockSet
+
+    one = gp.GP(["x", "y"], "v", kernels.Covariance("gaussian", kernels.Isotropic(5.0)) + kernels.Scale(kernels.Covariance("cubic", kernels.ARD([4.0, 6.0])), 0.5), warpings.ZScore(), noise=0.01).fit(points)
+    persistence.save_model(spark, one, str(tmp_path / "m"))
+    two = persistence.load_model(spark, str(tmp_path / "m"))
+    x = np.random.default_rng(7).uniform(0, 10, (9, 2))
+    assert np.allclose(one.raw(x, 0, np.zeros(0))["mean"], two.raw(x, 0, np.zeros(0))["mean"])
+    p = variational.Process(one)
+    for node in (variational.Linear(p), variational.LinearCombination(p, p), variational.ProductOfExperts(p, p), variational.Exponentiation(p), variational.Multiply(p, p), variational.Add(p, p), variational.Bias(p, 1.0), variational.Scale(p, 2.0), variational.RadialTrend([5.0, 5.0], 3.0), variational.Select(variational.Stack(p, p), [1]), variational.Walk(variational.Stack(p, p), p)):
+        m, v = node.moments(x)
+        assert m.shape == v.shape and np.isfinite(m).all() and (v >= 0).all()
+    m, v = variational.ProductOfExperts(p, p).moments(x)
+    assert np.allclose(m, p.moments(x)[0])
+    assert "Process" in variational.to_dot(variational.Add(p, p))
+    net = variational.Network(["x", "y"], variational.Bias(p, 1.0)).predict(points, 3)
+    assert net.select("prediction.mean").count() == 80
+    q = likelihoods.Ordered([0.0, 1.0]).probabilities(np.array([0.5, -3.0]))
+    assert np.allclose(q.sum(-1), 1) and np.allclose(likelihoods.categorical_entropy(np.full((1, 4), 0.25)), 1) and np.allclose(likelihoods.indicators(np.array([[0.5, 0.5]])), 0)
+    r = likelihoods.Mixture([0.1, 3.0]).responsibilities(np.zeros(2), np.full(2, 0.01), np.array([0.0, 5.0]))
+    assert r[0, 0] > 0.5 > r[1, 0]
+
+    lattice = BlockSet((1.0, 1.0, 1.0), (4, 4, 1), (2.0, 2.0, 2.0), max_levels=2)
+    plane = spark.createDataFrame([(float(i), float(j), float(k), float(i - 3.4)) for i in range(0, 9, 2) for j in range(0, 9, 2) for k in (0, 2)], "x double, y double, z double, v double")
+    model = gp.GP(["x", "y", "z"], "v", kernels.Covariance("gaussian", kernels.Isotropic(12.0)), noise=1e-4).fit(plane)
+    out = refine.refine(model, lattice, lattice.rows(spark), [0.0], 5)
+    assert lattice.is_full(out) and lattice.unbalanced(out).isEmpty()
+    near = lattice.with_size(out).where("level = 2")
+    assert near.count() > 0 and near.agg(F.avg(F.abs(F.col("x") - 3.4))).first()[0] < 1.0
