@@ -218,3 +218,31 @@ def test_streaming_prediction(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("predicted").count() == 10
+
+
+def test_contours_distances_and_solids(spark):
+    from lithic.operators import contour
+
+    grid = lattice.Grid.of((-2.0, -2.0, -2.0), (17, 17, 17), (0.25, 0.25, 0.25), labels=("x", "y", "z"))
+    ball = grid.rows(spark).select("cell", (1.5 - F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).alias("v"))
+    v, f = (d.cache() for d in contour.contour(grid, ball, "v", 0.0))
+    assert mesh.kind(v, f) == "solid"
+    assert abs(mesh.area(v, f).first()[0] - 4 * math.pi * 1.5**2) < 0.6 and abs(mesh.signed_volume(v, f).first()[0] - 4 / 3 * math.pi * 1.5**3) < 0.4
+    flat = grid.rows(spark).select("cell", (F.col("z") + 0.1).alias("v"))
+    v2, f2 = contour.contour(grid, flat, "v", 0.0)
+    assert mesh.kind(v2, f2) == "dtm" and abs(mesh.area(v2, f2).first()[0] - 16) < 1e-6
+    v3, f3 = contour.contour(grid, flat, "v", 0.0, close=-1.0)
+    assert mesh.open_edges(f3).isEmpty()
+
+    cube = box(spark)
+    p = np.random.default_rng(9).uniform(-2, 2, (60, 3))
+    pts = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(p)], "loc_id long, x double, y double, z double")
+    got = {r.loc_id: r.distance for r in contour.signed_distance(pts, *cube).collect()}
+    out = np.maximum(np.abs(p) - 1, 0)
+    want = np.where((np.abs(p) < 1).all(1), np.abs(p).max(1) - 1, np.sqrt((out**2).sum(1)))
+    assert np.allclose([got[i] for i in range(60)], want)
+    moved = (cube[0].withColumn("x", F.col("x") + 1.0), cube[1])
+    small = lattice.Grid.of((-1.55, -1.55, -1.55), (21, 16, 16), (0.2, 0.2, 0.2), labels=("x", "y", "z"))
+    for operation, volume in (("union", 12.0), ("intersection", 4.0), ("difference", 4.0)):
+        w, g = contour.combine_solids(cube, moved, operation, small)
+        assert abs(mesh.signed_volume(w, g).first()[0] - volume) < 0.9
