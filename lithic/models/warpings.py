@@ -187,3 +187,107 @@ class Spline(Warping):
             above = self.forward(mid)[0] > z
             lo, hi = np.where(above, lo, mid), np.where(above, mid, hi)
         return 0.5 * (lo + hi)
+
+
+def robust_moments(x: np.ndarray, support: float = 0.75, tries: int = 30, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the most compact share of (bounded) data: random starts, then concentration steps."""
+    n, d = x.shape
+    h = max(int(n * support), d + 2)
+    rng, best = np.random.default_rng(seed), None
+    for _ in range(tries):
+        take = rng.choice(n, min(n, d + 2), replace=False)
+        last = np.inf
+        for _ in range(30):
+            mean, cov = x[take].mean(0), np.cov(x[take].T, bias=True) + np.eye(d) * 1e-12
+            gap = x - mean
+            take = np.argsort(((gap @ np.linalg.inv(cov)) * gap).sum(1))[:h]
+            size = np.linalg.slogdet(np.cov(x[take].T, bias=True) + np.eye(d) * 1e-12)[1]
+            if size >= last - 1e-12:
+                break
+            last = size
+        if best is None or last < best[0]:
+            best = (last, x[take].mean(0), np.cov(x[take].T, bias=True))
+    return best[1], best[2]
+
+
+class RobustPCA(PCA):
+    """Whitening by the moments of the most compact share of the data."""
+
+    def __init__(self, n_components=None, support=0.75):
+        super().__init__(n_components)
+        self.support = support
+
+    def initialize(self, x, weights=None):
+        self.mean, c = robust_moments(x, self.support)
+        values, vectors = np.linalg.eigh(np.atleast_2d(c))
+        keep = np.argsort(-values)[: self.n_components or len(values)]
+        self.scale, self.axes = np.sqrt(np.maximum(values[keep], 1e-12)), vectors[:, keep]
+        return self
+
+
+class Rotation(Warping):
+    """An orthogonal rotation of whitened data, started from independent components."""
+
+    def __init__(self, matrix=None):
+        self.matrix = None if matrix is None else np.asarray(matrix, float)
+
+    def initialize(self, x, weights=None):
+        d = x.shape[1]
+        w = np.linalg.qr(np.random.default_rng(0).standard_normal((d, d)))[0]
+        for _ in range(200):
+            g = np.tanh(x @ w)
+            new = (x.T @ g) / len(x) - w * (1 - g**2).mean(0)
+            u, _, v = np.linalg.svd(new)
+            new = u @ v
+            if np.abs(np.abs((new * w).sum(0)) - 1).max() < 1e-9:
+                w = new
+                break
+            w = new
+        self.matrix = w
+        return self
+
+    def forward(self, x):
+        return x @ self.matrix, np.zeros(len(x))
+
+    def backward(self, z):
+        return z @ self.matrix.T
+
+
+class Center(ZScore):
+    """The mean taken off, the scale left alone."""
+
+    def initialize(self, x, weights=None):
+        super().initialize(x, weights)
+        self.std = np.ones_like(np.asarray(self.std))
+        return self
+
+
+class Scale(Warping):
+    def __init__(self, scale=1.0):
+        self.scale = scale
+
+    def forward(self, x):
+        return x / self.scale, np.full(len(x), -np.log(self.scale) * x.reshape(len(x), -1).shape[1])
+
+    def backward(self, z):
+        return z * self.scale
+
+
+class ScaledSimplex(Warping):
+    """Parts over their means; back by projection onto the unit simplex."""
+
+    def initialize(self, x, weights=None):
+        self.mean = np.average(x, axis=0, weights=weights)
+        return self
+
+    def forward(self, x):
+        return x / self.mean, np.full(len(x), -np.log(self.mean).sum())
+
+    def backward(self, z):
+        v = z * self.mean
+        s = -np.sort(-v, axis=1)
+        c = np.cumsum(s, 1)
+        k = np.arange(1, v.shape[1] + 1)
+        n = (1 + k * s > c).sum(1)
+        tau = (c[np.arange(len(v)), n - 1] - 1) / n
+        return np.maximum(v - tau[:, None], 0)

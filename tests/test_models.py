@@ -172,3 +172,36 @@ def test_networks_persistence_and_refinement(spark, points, tmp_path):
     assert lattice.is_full(out) and lattice.unbalanced(out).isEmpty()
     near = lattice.with_size(out).where("level = 2")
     assert near.count() > 0 and near.agg(F.avg(F.abs(F.col("x") - 3.4))).first()[0] < 1.0
+
+
+def test_robust_and_independent_components():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 2)) @ np.array([[2.0, 0.5], [0.0, 1.0]])
+    dirty = np.concatenate([x, rng.normal(40, 1, (60, 2))])
+    mean, _ = warpings.robust_moments(dirty)
+    assert np.abs(mean - x.mean(0)).max() < 0.3 < np.abs(dirty.mean(0) - x.mean(0)).min()
+    sources = rng.uniform(-1, 1, (2000, 2)) * np.sqrt(3)
+    turned = sources @ np.array([[np.cos(0.7), np.sin(0.7)], [-np.sin(0.7), np.cos(0.7)]])
+    white = warpings.PCA().initialize(turned).forward(turned)[0]
+    r = warpings.Rotation().initialize(white)
+    found = np.abs(np.corrcoef(r.forward(white)[0].T, sources.T)[:2, 2:])
+    assert (found.max(1) > 0.97).all() and np.allclose(r.backward(r.forward(white)[0]), white)
+    p = rng.dirichlet([2, 3, 4], 20)
+    s = warpings.ScaledSimplex().initialize(p)
+    assert np.allclose(s.backward(s.forward(p)[0]), p)
+
+
+def test_interpolation_on_lattices_and_curves():
+    from lithic.models.interpolate import CubicConvolution, CubicSpline
+
+    x, y = np.arange(8.0), np.arange(6.0)
+    f = lambda a, b: a**2 - a * b + b
+    c = CubicConvolution([0, 0], [1, 1], f(x[:, None], y[None]))
+    p = np.random.default_rng(9).uniform(1, 4, (40, 2))
+    assert np.allclose(c(p), f(p[:, 0], p[:, 1]))
+    k = np.array([0.0, 1, 2, 4, 5])
+    v = np.array([0.0, 0.1, 3, 3.05, 8])
+    s = CubicSpline(k, v, monotone=True)
+    g = np.linspace(-1, 6, 400)
+    assert np.allclose(s(k), v) and (np.diff(s(g)) >= -1e-12).all() and np.allclose(s.inverse(s(g)), g, atol=1e-5)
+    assert np.allclose(s.gradient(g[1:-1]), (s(g[1:-1] + 1e-6) - s(g[1:-1] - 1e-6)) / 2e-6, atol=1e-4)
