@@ -101,11 +101,22 @@ class Grid:
         return math.prod(self.step)
 
     def subset(self, spark: SparkSession, low, high, include_low=None, include_high=None) -> DataFrame:
-        """Points of the lattice in a box; positions outside are never generated on an unrotated lattice."""
+        """Points of the lattice in a box, cell numbers kept; on an unrotated lattice only those near the box are made up."""
         from lithic.functions.geometry import in_box
 
         test = in_box(list(self.labels), list(low), list(high), include_low, include_high)
-        return self.rows(spark).where(test)
+        if self.rotation is not None:
+            return self.rows(spark).where(test)
+        first = [max(0, math.floor((a - o) / s)) for a, o, s in zip(low, self.start, self.step)]
+        last = [min(n - 1, math.ceil((b - o) / s)) for b, o, s, n in zip(high, self.start, self.step, self.n)]
+        count = [max(0, b - a + 1) for a, b in zip(first, last)]
+        if not all(count):
+            return self.rows(spark).where(F.lit(False))
+        part = Grid(tuple(o + i * s for o, i, s in zip(self.start, first, self.step)), tuple(count), self.step, self.labels)
+        number, scale = F.lit(0).cast("long"), 1
+        for i, a, n in zip(part.index_of(F.col("cell")), first, self.n):
+            number, scale = number + (i + a) * scale, scale * n
+        return part.rows(spark).withColumn("cell", number).where(test)
 
 
 def cover(df: DataFrame, columns: list[str], step, margin: float = 0.1, decimals: int = 0) -> Grid:

@@ -31,6 +31,10 @@ def grid_rows(spark, sf_dir):
     return CELLS.rows(spark)
 
 
+def grid_subset(spark, sf_dir):
+    return CELLS.subset(spark, [12.0, 10000.0], [40.0, 80000.0])
+
+
 def grid_means(spark, sf_dir):
     return _rounded(lattice.aggregate(CELLS, _points(spark, sf_dir), means=["grade"]), "grade")
 
@@ -146,6 +150,7 @@ bl AS (SELECT ox, oy, oz, 0 AS level FROM b0 WHERE block_id % 3 <> 0 UNION ALL S
 
 SQL = {
     "grid_rows": "SELECT i AS cell, (i % 12) * 5.0::DOUBLE AS x, (i // 12) * 5000.0::DOUBLE AS y FROM range(0, 288) t(i)",
+    "grid_subset": "SELECT * FROM (SELECT i AS cell, (i % 12) * 5.0::DOUBLE AS x, (i // 12) * 5000.0::DOUBLE AS y FROM range(0, 288) t(i)) WHERE x >= 12 AND x < 40 AND y >= 10000 AND y < 80000",
     "grid_means": f"WITH {_PTS} SELECT cell, count(*) AS n, round(avg(grade), 6) AS grade FROM q GROUP BY cell",
     "grid_dominant": f"""WITH {_PTS}, v AS (SELECT cell, lith, count(*) AS m FROM q GROUP BY cell, lith), w AS (SELECT *, max(m) OVER (PARTITION BY cell) AS top FROM v)
         SELECT q.cell, count(*) AS n, any_value(d.lith) AS lith FROM q JOIN (SELECT cell, CASE WHEN count(*) = 1 THEN min(lith) ELSE '' END AS lith FROM w WHERE m = top GROUP BY cell) d ON q.cell = d.cell GROUP BY q.cell""",
@@ -190,7 +195,7 @@ SQL = {k: v.replace("round(", "round(3e-10 + ") for k, v in SQL.items()}
 QUERIES = {
     f.__name__: f
     for f in (
-        grid_rows, grid_means, grid_dominant, grid_contacts, grid_composition, grid_smooth, subset_region, bounding_box, declustering, variogram, variogram_2d, nearest, balanced_folds,
+        grid_rows, grid_subset, grid_means, grid_dominant, grid_contacts, grid_composition, grid_smooth, subset_region, bounding_box, declustering, variogram, variogram_2d, nearest, balanced_folds,
         composition_clr, aitchison, kernels, transforms, planes, block_rows, block_group, block_locate,
     )
 }
