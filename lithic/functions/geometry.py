@@ -100,3 +100,29 @@ def in_box(columns: list[str], low: list[float], high: list[float], include_low:
 
 def boxes_overlap(low_a: list, high_a: list, low_b: list, high_b: list) -> bool:
     return all(a <= d and c <= b for a, b, c, d in zip(low_a, high_a, low_b, high_b))
+
+
+def section(spark, center: tuple[float, float, float], azimuth: float, dip: float, width: float, height: float, n_x: int, n_y: int) -> DataFrame:
+    """A regular plane of points about a centre: `azimuth` is its strike, `dip` how far it leans; first axis fastest."""
+    a, d = np.radians(azimuth), np.radians(dip)
+    along = np.array([np.sin(a), np.cos(a), 0.0])
+    down = np.array([np.cos(a) * np.cos(d), -np.sin(a) * np.cos(d), -np.sin(d)])
+    i, j = F.pmod(F.col("id"), F.lit(n_x)), F.floor(F.col("id") / n_x)
+    u = (i / max(n_x - 1, 1) - 0.5) * width
+    v = (0.5 - j / max(n_y - 1, 1)) * height
+    points = spark.range(n_x * n_y)
+    return points.select("id", *((F.lit(float(c)) + u * float(p) - v * float(q)).alias(k) for c, p, q, k in zip(center, along, down, "xyz")))
+
+
+def disc_faces(df: DataFrame, azimuth: str = "azimuth", dip: str = "dip", size: float = 1.0, corners: int = 12) -> DataFrame:
+    """Planes (loc_id, x, y, z, azimuth, dip) as discs: fans of triangles loc_id, k, ax .. cz about each centre."""
+    u, v = plane_vectors(F.col(azimuth), F.col(dip))
+    k = F.explode(F.sequence(F.lit(0), F.lit(corners - 1)))
+    fan = df.withColumns({"__u": u, "__v": v, "k": k})
+
+    def rim(step: int):
+        t = (F.col("k") + step) * (2 * np.pi / corners)
+        return [F.col(c) + size * (F.cos(t) * F.col("__u")[i] + F.sin(t) * F.col("__v")[i]) for i, c in enumerate("xyz")]
+
+    ends = {"a": [F.col(c) for c in "xyz"], "b": rim(0), "c": rim(1)}
+    return fan.select("loc_id", "k", *(e.alias(f"{n}{c}") for n, es in ends.items() for e, c in zip(es, "xyz")))

@@ -252,3 +252,39 @@ def random_directions(n_dim: int, n: int, seed: int = 1234) -> np.ndarray:
         return np.stack([np.cos(t), np.sin(t)], 1)
     d = np.random.default_rng(seed).standard_normal((n, n_dim))
     return d / np.linalg.norm(d, axis=1, keepdims=True)
+
+
+def additive(kernel: str, ranges) -> Sum:
+    """The mean of one kernel per dimension."""
+    n = len(ranges)
+    return Sum(*(Covariance(kernel, Chained(Select([i], n), Isotropic(r))) for i, r in enumerate(ranges)))
+
+
+def projected(kernel: str, n_dim: int, n_directions: int = 30, reach: float = 1.0, seed: int = 1234) -> Sum:
+    """The mean of one-dimensional kernels along directions spread over the sphere."""
+    return Sum(*(Covariance(kernel, Chained(Projection(d), Isotropic(reach))) for d in random_directions(n_dim, n_directions, seed)))
+
+
+def nested(kernel: str, ranges, weights=None) -> Sum:
+    """Structures of several ranges, weights on a simplex; by default each half the one before."""
+    w = 0.5 ** np.arange(len(ranges)) if weights is None else weights
+    return Sum(*(Covariance(kernel, Isotropic(r)) for r in ranges), weights=w)
+
+
+class UncertainInput(Kernel):
+    """A Gaussian kernel between locations with variances: coordinates first, then as many variances.
+
+    Variances widen the kernel, and its height falls so that its mass stays the same.
+    """
+
+    def __init__(self, ranges):
+        self.ranges = np.asarray(ranges, float)
+
+    def __call__(self, x, y):
+        d = len(self.ranges)
+        base = self.ranges**2 / 6  # exp(-3 (h / r)^2) is a normal profile of variance r^2 / 6
+        out = np.ones((len(x), len(y)))
+        for k in range(d):
+            v = base[k] + x[:, d + k, None] + y[None, :, d + k]
+            out *= np.sqrt(base[k] / v) * np.exp(-((x[:, k, None] - y[None, :, k]) ** 2) / (2 * v))
+        return out

@@ -159,3 +159,26 @@ class BlockSet:
         """Whether any decision divides a block by more than `tolerance` and it can still be split."""
         top = F.greatest(*map(F.col, shares)) if len(shares) > 1 else F.col(shares[0])
         return (F.coalesce(top, F.lit(0.0)) > tolerance) & (F.col("level") < self.max_levels)
+
+    def grow(self, blocks: DataFrame, mask: Column, rings: int = 1) -> DataFrame:
+        """Blocks with `grown`: marked ones and, ring by ring, those that share a corner with them.
+
+        Corners are rows of integers, so each ring is two equi-joins.
+        """
+        side = [self.side(k, F.col("level")) for k in range(3)]
+        sets = F.array(*(F.struct(*((F.col(o) + (s if b >> k & 1 else F.lit(0))).alias(f"c_{o}") for k, (o, s) in enumerate(zip(ORIGIN, side)))) for b in range(8)))
+        keys = [f"c_{o}" for o in ORIGIN]
+        corner = blocks.select("block_id", F.explode(sets).alias("c")).select("block_id", *(f"c.{k}" for k in keys))
+        found = blocks.where(mask).select("block_id")
+        for _ in range(rings):
+            touched = corner.join(found, "block_id", "left_semi").select(*keys).distinct()
+            found = corner.join(touched, keys, "left_semi").select("block_id").distinct()
+        return blocks.join(found.withColumn("grown", F.lit(True)), "block_id", "left").withColumn("grown", F.coalesce("grown", F.lit(False)))
+
+    def trilinear_weights(self) -> list[list[float]]:
+        """For each sub-block's centre, the weights of the block's eight corners (bit k of a corner's number: its upper side on axis k)."""
+        out = []
+        for p in (q[::-1] for q in product(*(range(d) for d in self.discretization[::-1]))):
+            t = [(i + 0.5) / d for i, d in zip(p, self.discretization)]
+            out.append([math.prod(t[k] if c >> k & 1 else 1 - t[k] for k in range(3)) for c in range(8)])
+        return out

@@ -205,3 +205,26 @@ def test_interpolation_on_lattices_and_curves():
     g = np.linspace(-1, 6, 400)
     assert np.allclose(s(k), v) and (np.diff(s(g)) >= -1e-12).all() and np.allclose(s.inverse(s(g)), g, atol=1e-5)
     assert np.allclose(s.gradient(g[1:-1]), (s(g[1:-1] + 1e-6) - s(g[1:-1] - 1e-6)) / 2e-6, atol=1e-4)
+
+
+def test_built_kernels_and_parameters():
+    from lithic.models import parameters as P
+
+    x = np.random.default_rng(10).uniform(0, 5, (12, 2))
+    for k in (kernels.additive("gaussian", [2.0, 3.0]), kernels.projected("matern52", 2, 9, 3.0), kernels.nested("spherical", [1.0, 4.0])):
+        c = k(x, x)
+        assert np.allclose(np.diag(c), 1) and np.linalg.eigvalsh(c).min() > -1e-9
+    sure = np.concatenate([x, np.zeros_like(x)], 1)
+    assert np.allclose(kernels.UncertainInput([2.0, 3.0])(sure, sure), kernels.Covariance("gaussian", kernels.ARD([2.0, 3.0]))(x, x))
+    vague = np.concatenate([x, np.ones_like(x)], 1)
+    assert (np.diag(kernels.UncertainInput([2.0, 3.0])(vague, vague)) < 1).all()
+    shared = P.Positive(2.0, prior=lambda v: -v)
+    r = P.Registry(a=shared, b=shared, c=P.Simplex([1.0, 3.0]), d=P.Circular(370.0, 0.0, 360.0), e=P.Parameter(9.0, 0.0, 5.0, fixed=True))
+    assert len(r.unfixed()) == 3 and r.parameters["e"].value == 5 and r.parameters["d"].value == 10 and r.log_prior() == -2
+    state = r.state()
+    r.set_flat(r.flat() + 0.1)
+    assert np.isclose(shared.value, 2 * np.exp(0.1)) and np.isclose(r.parameters["c"].value.sum(), 1)
+    r.load(state)
+    assert np.isclose(shared.value, 2.0)
+    m = P.Orthonormal(np.random.default_rng(11).standard_normal((5, 3)), centred=True).value
+    assert np.allclose(m.T @ m, np.eye(3)) and np.allclose(m.sum(0), 0) and np.allclose(np.linalg.norm(P.UnitColumns(m * 3).value, axis=0), 1)

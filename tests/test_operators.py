@@ -246,3 +246,17 @@ def test_contours_distances_and_solids(spark):
     for operation, volume in (("union", 12.0), ("intersection", 4.0), ("difference", 4.0)):
         w, g = contour.combine_solids(cube, moved, operation, small)
         assert abs(mesh.signed_volume(w, g).first()[0] - volume) < 0.9
+
+
+def test_sections_discs_growth_and_weights(spark):
+    s = geometry.section(spark, (1.0, 2.0, 3.0), 90.0, 90.0, 4.0, 2.0, 5, 3)
+    r = s.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.min("z"), F.max("z"), F.count("*")).first()
+    assert np.allclose(r[:6], (-1, 3, 2, 2, 2, 4)) and r[6] == 15
+    plane = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 30.0, 40.0)], "loc_id long, x double, y double, z double, azimuth double, dip double")
+    n = np.array(plane.select(geometry.plane_normal(F.col("azimuth"), F.col("dip"))).first()[0])
+    rims = np.array([[r.bx, r.by, r.bz] for r in geometry.disc_faces(plane, size=2.0).collect()])
+    assert np.allclose(rims @ n, 0, atol=1e-12) and np.allclose(np.linalg.norm(rims, axis=1), 2)
+    b = blocks.BlockSet((0.0, 0.0, 0.0), (5, 5, 1), (1.0, 1.0, 1.0), max_levels=1)
+    grown = b.grow(b.rows(spark), F.col("block_id") == 12)
+    assert grown.where("grown").count() == 9 and b.grow(b.rows(spark), F.col("block_id") == 12, 2).where("grown").count() == 25
+    assert np.allclose(np.array(b.trilinear_weights()).sum(1), 1)
