@@ -69,8 +69,8 @@ def features(texts: list[bytes | None]) -> np.ndarray:
 
 
 def weigh(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Trigrams by rarity and to length 1, form to its share."""
-    x = x * idf
+    """Trigrams by rarity and to length 1, form to its share. Overwrites x."""
+    x *= idf
     left, right = x[:, :TRIGRAMS], x[:, TRIGRAMS:]
     left /= np.linalg.norm(left, axis=1, keepdims=True) + 1e-9
     right *= FORM_WEIGHT / np.sqrt(8)
@@ -81,18 +81,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
 
 
-def fit(x: np.ndarray, latent: int = LATENT, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rarities, mean and the projection onto the leading right singular vectors, by subspace iteration."""
+def fit(x: np.ndarray, latent: int = LATENT, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rarities, mean, the projection onto the leading right singular vectors by subspace iteration, and x under it. Overwrites x."""
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
     idf[TRIGRAMS:] = 1
     x = weigh(x, idf)
     mean = x.mean(0)
-    x = x - mean
+    x -= mean
     basis = np.random.default_rng(seed).standard_normal((x.shape[1], latent + 16)).astype(np.float32)
     for _ in range(5):
         basis = np.linalg.qr(x.T @ (x @ basis))[0]
     _, _, v = np.linalg.svd(x @ basis, full_matrices=False)
-    return idf, mean, (basis @ v[:latent].T).astype(np.float32)
+    projection = (basis @ v[:latent].T).astype(np.float32)
+    return idf, mean, projection, x @ projection
 
 
 def vote(latent: np.ndarray, known: np.ndarray, labels: np.ndarray, mass: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
@@ -129,12 +130,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, learning, per_label: i
     there = {r["label"] for r in rows}
     if len(there) < 2:
         return float(there.pop()) if there else None
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
     y = np.array([r["label"] for r in rows], np.float32)
-    del rows
-    idf, mean, projection = fit(x)
+    x = np.empty((len(rows), TRIGRAMS + 8 * BINS), np.float32)
+    for i in range(len(rows) - 1, -1, -1):
+        x[i] = np.frombuffer(rows.pop()["x"], np.float16)
+    idf, mean, projection, latent = fit(x)
     mass = np.array([shares[v] / max(1, (y == v).sum()) for v in y.astype(int)], np.float32)
-    return idf, mean, projection, _unit((weigh(x, idf) - mean) @ projection), y, mass
+    return idf, mean, projection, _unit(latent), y, mass
 
 
 def score_texts(model, texts: list[bytes | None]) -> np.ndarray:
