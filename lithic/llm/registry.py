@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lithic.llm import chat, embedding_dedup, exact_dedup, lm_score, mixing, packing, quality, simhash, toxicity
+from lithic.llm import chat, embedding_dedup, exact_dedup, lm_score, mixing, packing, quality, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_warc_fixity": warc.op2_warc_fixity,
         "op3_lm_score": lm_score.op3_lm_score,
         "op4_chat_format": chat.op4_chat_format,
         "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
@@ -22,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat.ORACLE, "op6_exact_dedup": exact_dedup.oracle(), "op8_mixing": mixing.oracle()}
+    return {"op2_warc_fixity": warc.ORACLE, "op4_chat_format": chat.ORACLE, "op6_exact_dedup": exact_dedup.oracle(), "op8_mixing": mixing.oracle()}
