@@ -159,20 +159,35 @@ def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Logits below this need no shift before they are exponentiated, unless all of a row are far below 0.
+SAFE_LOGIT, SAFE_SUM = 60.0, 1e-25
+
+
+def _exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(z - shift), its row sums and the shift, which is 0 where the logits allow it. Overwrites z."""
+    if z.max(initial=0.0) < SAFE_LOGIT:
+        e = np.exp(z)
+        total = e.sum(1)
+        if total.min(initial=1.0) > SAFE_SUM:
+            return e, total, 0.0
+    shift = z.max(1)
+    z -= shift[:, None]
+    np.exp(z, out=z)
+    return z, z.sum(1), shift
+
+
 def _log_at(z: np.ndarray, column: np.ndarray) -> np.ndarray:
     """Log softmax of each row at one column. Overwrites z."""
-    z -= z.max(1, keepdims=True)
     hit = z[np.arange(len(z)), column]
-    np.exp(z, out=z)
-    return hit - np.log(z.sum(1))
+    _, total, shift = _exponents(z)
+    return hit - shift - np.log(total)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     """Overwrites z."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    e, total, _ = _exponents(z)
+    e /= total[:, None]
+    return e
 
 
 def _summed(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
