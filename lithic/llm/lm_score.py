@@ -22,8 +22,8 @@ WORDS, BUCKETS = 3_328, 64
 SLOTS, CLASSES, SPELLINGS = 64, 64, 10
 #: Hashed rows for pairs of preceding words and for words within classes.
 PAIR_ROWS, WORD_ROWS = 1 << 14, 1 << 16
-#: Rounds of gradient updates; a round takes every STRIDE-th position of every training text, each round others.
-ROUNDS, STRIDE, BATCH, RATE = 3, 12, 2_048, 0.6
+#: Rounds of gradient updates; together they take every position of every training text once.
+ROUNDS, BATCH, RATE = 3, 2_048, 0.6
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 400_000
 #: Rows of parameters that travel together.
@@ -153,9 +153,9 @@ def word_rows(context: np.ndarray, cls: np.ndarray) -> np.ndarray:
 
 
 def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = weights[rows[:, 0]]
+    out = weights.take(rows[:, 0], 0)
     for k in range(1, rows.shape[1]):
-        out += weights[rows[:, k]]
+        out += weights.take(rows[:, k], 0)
     return out
 
 
@@ -191,26 +191,28 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _summed(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, how often each occurs, and the sum of the gradients where it does.
+    """Distinct rows (those that occur most first), how often each occurs, and the sum of the gradients where it does.
 
     Most rows occur a few times in a batch: their gradients are added layer by layer, and only the
     few frequent rows are summed one by one, which is several times as fast as `add.reduceat`.
     """
     flat = rows.ravel()
+    if flat.max(initial=0) < 1 << 16:
+        flat = flat.astype(np.uint16)  # sorted by radix
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
     first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
     times = np.diff(np.append(first, len(flat)))
-    spread = g[order // rows.shape[1]]
-    total = spread[first].copy()
-    many, k = np.flatnonzero(times > 1), 1
-    while len(many) and k < 8:
-        total[many] += spread[first[many] + k]
-        k += 1
-        many = many[times[many] > k]
-    for i in many.tolist():
-        total[i] += spread[first[i] + k : first[i] + times[i]].sum(0)
-    return flat[first], times, total
+    by_times = np.argsort(-times, kind="stable")
+    first, times = first[by_times], times[by_times]
+    at = order // rows.shape[1]
+    total = g.take(at[first], 0)
+    for k in range(1, 8):
+        many = int(np.searchsorted(-times, -k))  # rows that occur more than k times
+        total[:many] += g.take(at[first[:many] + k], 0)
+    for i in range(int(np.searchsorted(-times, -8))):
+        total[i] += g.take(at[first[i] + 8 : first[i] + times[i]], 0).sum(0)
+    return flat[first].astype(np.int64), times, total
 
 
 class Model:
@@ -249,11 +251,12 @@ class Model:
             g[n, hit] -= 1
             which, times, total = _summed(at, g)
             seen[which] += times
-            weights[which] -= (rate / (np.sqrt(seen[which]) * np.sqrt(times)))[:, None] * total
+            total *= (rate / (np.sqrt(seen[which]) * np.sqrt(times))).astype(np.float32)[:, None]
+            weights[which] = weights.take(which, 0) - total
 
 
-def _gradients(model, round_: int, stride: int):
-    """Train a copy on a share of the texts; pass on by how much each row moved and how often it was visited."""
+def _gradients(model, round_: int, rounds: int):
+    """Train a copy on a share of the texts, at every position whose turn it is in this round; pass on by how much each row moved and how often it was visited."""
 
     def run(batches):
         start = model.value
@@ -272,7 +275,7 @@ def _gradients(model, round_: int, stride: int):
         for b in batches:
             for uid, data in zip(b.column("uid").to_pylist(), b.column("symbols").to_pylist()):
                 s = np.frombuffer(data, "<u2").astype(np.int64)
-                pick = np.arange((uid * 7 + round_ * (stride // ROUNDS or 1)) % stride, len(s), stride)
+                pick = np.arange((uid + round_) % rounds, len(s), rounds)
                 if len(pick):
                     rows.append(contexts(s, pick))
                     symbols.append(s[pick])
@@ -308,8 +311,8 @@ def _averaged(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([{"kind": group.column("kind")[0].as_py(), "at": group.column("at")[0].as_py(), "rows": rows.astype("<i4").tobytes(), "times": times[rows].tobytes(), "moves": (moves[rows] / times[rows, None]).astype("<f2").tobytes()}], DELTA)
 
 
-def train(encoded: DataFrame, layout: Layout, rounds: int = ROUNDS, stride: int = STRIDE) -> Model:
-    """Rounds of distributed gradient updates over texts (uid, symbols).
+def train(encoded: DataFrame, layout: Layout, rounds: int = ROUNDS) -> Model:
+    """Rounds of distributed gradient updates over texts (uid, symbols), every position in one of them.
 
     In a round as many tasks as the cluster has cores each train a copy of the parameters on their
     share of the texts; blocks of moved rows are averaged by visits on the executors, so the driver
@@ -320,7 +323,7 @@ def train(encoded: DataFrame, layout: Layout, rounds: int = ROUNDS, stride: int
     shares = encoded.select("uid", "symbols").coalesce(max(1, context.defaultParallelism))
     for r in range(rounds):
         sent = context.broadcast(model)
-        moved = shares.mapInArrow(_gradients(sent, r, stride), _DELTA).groupBy("kind", "at").applyInArrow(_averaged, _DELTA).collect()
+        moved = shares.mapInArrow(_gradients(sent, r, rounds), _DELTA).groupBy("kind", "at").applyInArrow(_averaged, _DELTA).collect()
         sent.destroy()
         model = model.copy()
         for row in moved:
@@ -363,7 +366,7 @@ ENCODED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_token
 _ENCODED = "doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, shared_log double, symbols binary, tail array<struct<word:binary,n:bigint>>"
 
 
-def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, head: int = HEAD, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """Score every text with a model learned from the folds that aren't held out.
 
     Counts of all training words stay distributed. Those of the most frequent (at most `head`, so
@@ -405,7 +408,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, head: int
     found = context.broadcast((words, logs, symbol))
     del words, logs, symbol, top
     encoded = stage(texts.mapInArrow(_encoded(found), _ENCODED).withColumn("uid", F.monotonically_increasing_id()), "encoded")
-    model = context.broadcast((train(encoded.where("not held_out"), layout, rounds, stride), log_mass))
+    model = context.broadcast((train(encoded.where("not held_out"), layout, rounds), log_mass))
 
     def run(batches):
         m, lost = model.value

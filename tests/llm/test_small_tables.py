@@ -274,6 +274,17 @@ def test_gradients_add_up():
     assert np.allclose(total, want[which], atol=1e-4) and times.sum() == 1500
 
 
+def test_rounds_take_every_position_once(spark):
+    rng = np.random.default_rng(10)
+    texts = [rng.integers(0, 60, n).astype("<u2") for n in [*range(1, 40), 5_000]]
+    layout = lm_score.Layout.of([b"%d" % i for i in range(60)])
+    encoded = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(texts)], "uid long, symbols binary")
+    for rounds in (1, 3, 4):
+        model = lm_score.train(encoded, layout, rounds)
+        want = sum(np.bincount(lm_score.contexts(s).ravel(), minlength=lm_score.CLASS_ROWS) for s in texts)
+        assert (model.seen1 == want).all()
+
+
 def test_best_fit_plan_equals_best_fit_one_by_one():
     rng = np.random.default_rng(9)
     for _ in range(30):
