@@ -15,29 +15,28 @@ from lithic.llm.common import small, stage, table, task
 from lithic.llm.components import connected_components
 
 #: Vectors that the rotations are learned from (every vector is indexed), their rounds, and the
-#: recall that the tables are laid out for at a pair just at the threshold.
+#: recall that the tables have at pairs just at the threshold.
 SAMPLE, ROUNDS, RECALL = 8_192, 20, 0.98
+#: Vectors whose made-up pairs measure the recall, and how many times the planned tables it may take before keys get shorter.
+PROBES, MORE = 2_048, 8
 #: Vectors of one bucket compared in one task; buckets with more are dealt over pairs of parts.
 BUCKET_ROWS = 4_096
 
 
-def learn_rotations(sample: np.ndarray, count: int, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The mean of unit vectors and `count` rotations, each learned from a start of its own: codes and
-    rotation are improved in turn so that the rotated vectors lie close to corners of the cube."""
-    d, rng = sample.shape[1], np.random.default_rng(seed)
-    mean = sample.mean(0)
-    centred, found = sample - mean, []
-    for _ in range(count):
+def rotations(centred: np.ndarray, rounds: int = ROUNDS, seed: int = 7):
+    """Rotations without end, each learned from a start of its own: codes and rotation are improved in
+    turn so that the rotated vectors lie close to corners of the cube."""
+    d, rng = centred.shape[1], np.random.default_rng(seed)
+    while True:
         rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(centred @ rotation >= 0, 1.0, -1.0).T @ centred)
             rotation = w.T @ u.T
-        found.append(rotation)
-    return mean, np.concatenate(found, 1)
+        yield rotation
 
 
 def layout(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a table's key and number of tables for `n` vectors.
+    """Bits of a table's key and least number of tables for `n` vectors, as vectors about the origin need them.
 
     A bit of a pair at the threshold agrees with probability 1 - angle / pi. Keys have log2(n) bits, so
     that buckets of unrelated vectors stay small, and there are as many tables as the recall asks for.
@@ -47,6 +46,44 @@ def layout(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
 
 
+def partners(units: np.ndarray, threshold: float, seed: int = 11) -> list[np.ndarray]:
+    """For every unit vector two whose cosine with it is just `threshold`: one in any direction, one towards another of them."""
+    out, rng = [], np.random.default_rng(seed)
+    for to in (rng.standard_normal(units.shape), np.roll(units, 1, 0) + 1e-9 * rng.standard_normal(units.shape)):
+        to = to - (to * units).sum(1, keepdims=True) * units
+        to /= np.maximum(np.linalg.norm(to, axis=1, keepdims=True), 1e-300)
+        out.append(threshold * units + math.sqrt(max(0.0, 1 - threshold**2)) * to)
+    return out
+
+
+def learn_tables(sample: np.ndarray, bits: int, tables: int, threshold: float, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The mean of unit vectors, rotations of centred ones, and the bits and number of tables that meet `recall`.
+
+    Signs are taken about the mean, where the angle of a pair at the threshold is wider than about
+    the origin. So pairs at the threshold are made up from the sample and go through the tables;
+    tables are added until enough pairs share a bucket, and keys get shorter if MORE times the
+    tables do not suffice.
+    """
+    d, mean = sample.shape[1], sample.mean(0)
+    source, found = rotations(sample - mean), []
+    units = sample[:PROBES]
+    sides = [units, *partners(units, threshold)]
+    while True:
+        least, tables = tables, tables * MORE
+        count, met = 0, np.zeros((2, len(units)), bool)
+        while count < tables and (count < least or met.mean(1).min() < recall):
+            count += 1
+            while len(found) * d < count * bits:
+                found.append(next(source))
+            first, last = (count - 1) * bits // d, -(-count * bits // d)
+            axes = np.concatenate(found[first:last], 1)[:, (count - 1) * bits - first * d :][:, :bits]
+            signs = [(x - mean) @ axes >= 0 for x in sides]
+            met |= np.stack([(signs[0] == s).all(1) for s in signs[1:]])
+        if met.mean(1).min() >= recall or bits == 1:
+            return mean, np.concatenate(found[: -(-count * bits // d)], 1), bits, count
+        bits, tables = max(1, bits - 2), least
+
+
 def _keyed(batches):
     for b in batches:
         col = b.column("embedding")
@@ -187,7 +224,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
 
     Identical vectors collapse to one row that carries their number. Rotations learned on a bounded
     sample give each vector binary codes; runs of code bits are the keys of Hamming tables, and every
-    vector is indexed in every table. Vectors that share a bucket are compared by their original
+    vector is indexed in every table. There are as many tables as pairs at the threshold, made up from
+    the sample, need for `recall`. Vectors that share a bucket are compared by their original
     components. A pair is counted in the first table that holds both, and each bucket passes on link
     counts and connecting edges rather than its pairs.
 
@@ -208,7 +246,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         width = longest // int(kind[-1])
         bits, tables = layout(count, threshold, recall)
         picked = [bytes(r[0]) for r in classes.orderBy(F.xxhash64("key")).limit(sample).select("vec").collect()]
-        model = spark.sparkContext.broadcast(learn_rotations(_units(picked, kind, width), -(-bits * tables // width)))
+        mean, axes, bits, tables = learn_tables(_units(picked, kind, width), bits, tables, threshold, recall)
+        model = spark.sparkContext.broadcast((mean, axes))
         entries = classes.select("cid", "n", "vec").mapInArrow(task(_tables(model, kind, width, bits, tables), None), "t int, bucket long, dim int, cid long, n long, codes binary, vec binary")
         place = ["t", "bucket", "dim"]
         crowded = small(stage(entries.groupBy(*place).count().where(F.col("count") > bucket_rows), "crowded"))

@@ -208,6 +208,21 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(table.where("vec_id >= 251 and vec_id <= 253")).count() == 3
 
 
+@pytest.mark.parametrize("common", [0.0, 0.8])
+def test_embeddings_with_a_common_component(spark, common):
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = np.sqrt(1 - common) * unit(rng.standard_normal((2_000, 64)))
+    base[:, 0] += np.sqrt(common)
+    base = unit(base)
+    x = np.concatenate([base, unit(base[:500] + 0.29 * unit(rng.standard_normal((500, 64))))])
+    near = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    found, want = np.array([got[i] for i in range(len(x))]), near.sum(1)
+    assert (found <= want).all() and found.sum() >= 0.95 * want.sum() > 0
+
+
 def test_quality_edges(docs, none, labels):
     for x in (labels, labels.where("false"), labels.where("quality = 1")):
         got = quality.score_quality(docs, x).collect()
