@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
@@ -34,39 +33,80 @@ PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PRINT = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
 
+#: What the short cuts of `ChunkIds` are proven for; texts of any other tokenizer are encoded whole.
+NORMALIZER = ["NFC", "Replace", "Lowercase"]
+PRE_TOKENIZER = ["Split", "ByteLevel"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_space(spec: dict) -> bool:
+    """Whether a tokenizer (its JSON) normalizes and splits in the way that lets texts be encoded by chunks."""
+    normalizer, pre, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    parts, steps = normalizer.get("normalizers", []), pre.get("pretokenizers", [])
+    return (
+        [n["type"] for n in parts] == NORMALIZER and parts[1]["pattern"] == {"Regex": r"\s+"} and parts[1]["content"] == " "
+        and [n["type"] for n in steps] == PRE_TOKENIZER and steps[0]["pattern"] == {"Regex": SPLIT} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+        and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"]) for t in spec.get("added_tokens", []))
+        and model.get("type") == "BPE" and not model.get("dropout") and not spec.get("truncation") and not spec.get("padding")
+    )
+
 
 class ChunkIds(dict):
     """Ids of a text without white space, as little-endian unsigned 32-bit bytes, worked out when first met.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     chunks in order. Nor does it join letters or digits with ASCII punctuation, so a chunk that ends
-    in punctuation is two. A chunk of small letters in normal form passes through its normalizer as
-    it is and needs only its model; all else goes through the whole tokenizer.
+    in punctuation is two. A chunk of letters that its normalizer leaves as they are needs only its
+    model; all else goes through the whole tokenizer. Which characters are letters is asked of the
+    tokenizer itself, and where its parts aren't those expected it encodes whole texts.
     """
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.model, self.letters, self.closing = self.tokenizer.model, {}, {}
+        with open(path, encoding="utf-8") as f:
+            self.by_chunk = splits_at_space(json.load(f))
 
     def of(self, text: bytes | None) -> bytes:
         """Ids of a whole text. A-Z may be made small beforehand unless a mark that combines with a letter
-        (U+0300 to U+033F start with this byte) or a special token could be meant."""
+        (U+0300 to U+036F start with these bytes) or a special token could be meant."""
         text = text or b""
-        if b"\xcc" not in text and b"<|" not in text:
+        if not self.by_chunk:
+            return self._whole(text)
+        if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
             text = text.lower()
         return b"".join(map(self.__getitem__, text.split()))
 
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letter(self, c: str) -> bool:
+        """Whether the normalizer keeps this character and the tokenizer joins it with letters on both sides."""
+        if c not in self.letters:
+            self.letters[c] = self.tokenizer.normalizer.normalize_str(c) == c and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}a")) == 1
+        return self.letters[c]
+
+    def _closes(self, c: str) -> bool:
+        """Whether punctuation after this character, normalized, is split off."""
+        if c not in self.closing:
+            self.closing[c] = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(f"{c}."))[-1][0] == "."
+        return self.closing[c]
+
     def _ids(self, chunk: bytes) -> bytes:
         if chunk.isalpha() and chunk.islower():
             return np.array([t.id for t in self.model.tokenize(chunk.decode())], "<u4").tobytes()
-        if not chunk.isascii() and (text := chunk.decode()).isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+        text = chunk.decode("utf-8", "replace")
+        if not chunk.isascii() and all(map(self._letter, text)) and self.tokenizer.normalizer.normalize_str(text) == text:
             return np.array([t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(BYTE_LETTERS))], "<u4").tobytes()
         body = chunk.rstrip(PUNCTUATION)
-        if body and len(body) < len(chunk) and b"<|" not in chunk and (body[-1:].isalnum() or (body[-1] > 127 and body.decode()[-1].isalpha())):
+        if body and len(body) < len(chunk) and b"<|" not in chunk and self._closes(text[len(text) - len(chunk) + len(body) - 1]):
             return self[body] + self[chunk[len(body) :]]
-        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return self._whole(chunk)
 
     def __missing__(self, chunk: bytes) -> bytes:
         ids = self._ids(chunk)
