@@ -19,6 +19,8 @@ from lithic.llm.components import connected_components
 SAMPLE, ROUNDS, RECALL = 8_192, 20, 0.98
 #: Vectors whose made-up pairs measure the recall, and how many times the planned tables it may take before keys get shorter.
 PROBES, MORE = 2_048, 8
+#: Code bits that filter candidates, and the distance beyond that of the farthest made-up pair at which they still are.
+SKETCH, SPARE = 64, 2
 #: Vectors of one bucket compared in one task; buckets with more are dealt over pairs of parts.
 BUCKET_ROWS = 4_096
 
@@ -56,8 +58,15 @@ def partners(units: np.ndarray, threshold: float, seed: int = 11) -> list[np.nda
     return out
 
 
-def learn_tables(sample: np.ndarray, bits: int, tables: int, threshold: float, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """The mean of unit vectors, rotations of centred ones, and the bits and number of tables that meet `recall`.
+def pack_bits(signs: np.ndarray) -> np.ndarray:
+    """The first (at most 64) bits of codes as one word each."""
+    some = signs[:, :SKETCH]
+    return some.astype(np.uint64) @ (np.uint64(1) << np.arange(some.shape[1], dtype=np.uint64))
+
+
+def learn_tables(sample: np.ndarray, bits: int, tables: int, threshold: float, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray, int, int, int]:
+    """The mean of unit vectors, rotations of centred ones, the bits and number of tables that meet
+    `recall`, and the Hamming distance of sketches up to which pairs are candidates.
 
     Signs are taken about the mean, where the angle of a pair at the threshold is wider than about
     the origin. So pairs at the threshold are made up from the sample and go through the tables;
@@ -80,7 +89,9 @@ def learn_tables(sample: np.ndarray, bits: int, tables: int, threshold: float, r
             signs = [(x - mean) @ axes >= 0 for x in sides]
             met |= np.stack([(signs[0] == s).all(1) for s in signs[1:]])
         if met.mean(1).min() >= recall or bits == 1:
-            return mean, np.concatenate(found[: -(-count * bits // d)], 1), bits, count
+            axes = np.concatenate(found[: -(-count * bits // d)], 1)
+            sketches = [pack_bits((x - mean) @ axes[:, : min(SKETCH, count * bits)] >= 0) for x in sides]
+            return mean, axes, bits, count, SPARE + max(int(np.bitwise_count(sketches[0] ^ x).max(initial=0)) for x in sketches[1:])
         bits, tables = max(1, bits - 2), least
 
 
@@ -111,29 +122,77 @@ def _units(vectors: list[bytes], kind: str, width: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def _codes(units: np.ndarray, model, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """The key of every table, and the sketch."""
+    mean, rotation = model.value
+    signs = (units - mean) @ rotation[:, : bits * tables] >= 0
+    return signs.reshape(len(units), tables, bits) @ (1 << np.arange(bits)).astype(np.int64), pack_bits(signs)
+
+
 def _tables(model, kind: str, width: int, bits: int, tables: int):
-    weights = (1 << np.arange(bits)).astype(np.int64)
+    """An entry for every table: the place is the table's number above the key."""
 
     def run(batches):
-        mean, rotation = model.value
         for b in batches:
             for at in range(0, b.num_rows, 2_000):
                 p = b.slice(at, 2_000)
                 vectors = p.column("vec").to_pylist()
-                signs = (_units(vectors, kind, width) - mean) @ rotation >= 0
-                keys = signs[:, : bits * tables].reshape(len(vectors), tables, bits) @ weights
-                codes = [k.tobytes() for k in keys.astype("<u4")]
-                n = p.num_rows
-                take = pa.array(np.repeat(np.arange(n), tables))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(keys.ravel()), pa.array([len(v) for v in vectors], pa.int32()).take(take), *(p.column(c).take(take) for c in ("cid", "n")), pa.array(codes, pa.binary()).take(take), p.column("vec").take(take)],
-                    ["t", "bucket", "dim", "cid", "n", "codes", "vec"],
-                )
+                keys, sketch = _codes(_units(vectors, kind, width), model, bits, tables)
+                take = np.repeat(np.arange(len(vectors)), tables)
+                place = keys | np.arange(tables, dtype=np.int64) << 32
+                yield pa.RecordBatch.from_arrays([pa.array(place.ravel()), pa.array(np.array([len(v) for v in vectors], np.int32)[take]), p.column("cid").take(pa.array(take)), pa.array(sketch.view(np.int64)[take])], ["place", "dim", "cid", "sketch"])
+
+    return run
+
+
+def _groups(batches, names: tuple[str, ...]):
+    """Tables that hold whole groups of rows with the same `names`, with the number of the group; rows arrive sorted."""
+
+    def numbers(x):
+        place = np.stack([x.column(c).to_numpy().astype(np.int64) for c in names], 1)
+        return np.concatenate([[0], np.cumsum((place[1:] != place[:-1]).any(1))]) if len(place) else np.zeros(0, np.int64)
+
+    held = None
+    for batch in batches:
+        x = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, x]) if held is not None else x
+        group = numbers(held)
+        cut = int(np.searchsorted(group, group[-1])) if len(group) else 0
+        if cut:
+            yield held.slice(0, cut), group[:cut]
+            held = held.slice(cut)
+    if held is not None and held.num_rows > 1:
+        yield held, numbers(held)
+
+
+def _candidates(radius: int):
+    """Entries whose sketch lies within `radius` of another one's in their bucket."""
+
+    def run(batches):
+        for x, group in _groups(batches, PLACE):
+            sketch, near = x.column("sketch").to_numpy().view(np.uint64), np.zeros(x.num_rows, bool)
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            sizes = np.diff(np.append(starts, len(group)))
+            little = np.repeat(sizes <= 32, sizes)
+            for d in range(1, min(32, int(sizes.max(initial=1)))):
+                i = np.flatnonzero((group[d:] == group[:-d]) & little[d:])
+                i = i[np.bitwise_count(sketch[i] ^ sketch[i + d]) <= radius]
+                near[i] = near[i + d] = True
+            for s, size in zip(starts[sizes > 32], sizes[sizes > 32]):
+                mine = sketch[s : s + size]
+                for at in range(0, size, 512):
+                    near[s + at : s + min(at + 512, size)] = (np.bitwise_count(mine[at : at + 512, None] ^ mine) <= radius).sum(1) > 1
+            keep = np.flatnonzero(near)
+            if len(keep):
+                yield x.select(["place", "dim", "cid"]).take(pa.array(keep)).combine_chunks().to_batches()[0]
 
     return run
 
 
-def _links(kind: str, width: int, threshold: float):
+PLACE = ("place", "dim", "cell")
+
+
+def _links(model, kind: str, width: int, bits: int, tables: int, threshold: float):
     """Link counts and connecting edges of each bucket; a pair counts in the first table that holds both."""
 
     def bucket(units, codes, t, part, split, cid, n):
@@ -164,15 +223,17 @@ def _links(kind: str, width: int, threshold: float):
             b.append(np.full(len(seen), cid[root]))
         return counts, a, b
 
-    def rows(cols):
-        t, place, part, split, cid, n, codes, vec = cols
-        group = np.concatenate([[0], np.cumsum((place[1:] != place[:-1]).any(1))]) if len(cid) else np.zeros(0, int)
+    def rows(x, group):
+        t, part, split, cid, n = (x.column(c).to_numpy() for c in ("place", "mine", "split", "cid", "n"))
+        t = t >> 32
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         sizes = np.diff(np.append(starts, len(cid)))
-        used = np.repeat(sizes > 1, sizes)
-        units = np.zeros((len(cid), width))
-        if used.any():
-            units[used] = _units([v for v, u in zip(vec, used) if u], kind, width)
+        units, codes = np.zeros((len(cid), width)), np.zeros((len(cid), tables), np.uint32)
+        used = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        for at in range(0, len(used), 2_000):
+            some = used[at : at + 2_000]
+            units[some] = _units(x.column("vec").take(pa.array(some)).to_pylist(), kind, width)
+            codes[some] = _codes(units[some], model, bits, tables)[0]
         counts, a, b = np.zeros(len(cid), np.int64), [], []
         little = np.repeat(sizes <= 32, sizes)
         for d in range(1, min(32, int(sizes.max(initial=1)))):
@@ -198,34 +259,33 @@ def _links(kind: str, width: int, threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate([counts[some], np.zeros(len(a) - len(some), np.int64)]))], ["a", "b", "links"])
 
     def run(batches):
-        held = None
-        for batch in batches:
-            x = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, x]) if held is not None else x
-            place = np.stack([held.column(c).to_numpy().astype(np.int64) for c in ("t", "bucket", "dim", "cell")], 1)
-            cut = np.flatnonzero((place[1:] != place[:-1]).any(1))
-            cut = int(cut[-1]) + 1 if len(cut) else 0
-            if cut:
-                yield rows(unpack(held.slice(0, cut), place[:cut]))
-                held = held.slice(cut)
-        if held is not None and held.num_rows > 1:
-            yield rows(unpack(held, np.stack([held.column(c).to_numpy().astype(np.int64) for c in ("t", "bucket", "dim", "cell")], 1)))
-
-    def unpack(x, place):
-        get = lambda c: x.column(c).to_numpy()
-        codes = np.frombuffer(b"".join(x.column("codes").to_pylist()), "<u4").reshape(x.num_rows, -1)
-        return get("t"), place, get("mine"), get("split"), get("cid"), get("n"), codes, x.column("vec").to_pylist()
+        for x, group in _groups(batches, PLACE):
+            yield rows(x, group)
 
     return run
 
 
+def _dealt(entries: DataFrame, bucket_rows: int) -> DataFrame:
+    """Entries by bucket; one with over `bucket_rows` is dealt over pairs of parts, every row to each pair with its part.
+
+    A row whose own part is both ends of a cell meets the same part there and in no other cell.
+    """
+    crowded = small(stage(entries.groupBy("place", "dim").count().where(F.col("count") > bucket_rows), "crowded"))
+    parts = F.coalesce(F.ceil(F.col("count") / bucket_rows), F.lit(1)).cast("long")
+    dealt = entries.join(crowded, ["place", "dim"], "left").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("cid"), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    return dealt.select(*entries.columns, (low * F.col("parts") + high).alias("cell"), "mine", (low != high).alias("split"))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, recall: float = RECALL, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links between vectors whose cosine, in double precision, is at least `threshold`.
 
     Identical vectors collapse to one row that carries their number. Rotations learned on a bounded
     sample give each vector binary codes; runs of code bits are the keys of Hamming tables, and every
     vector is indexed in every table. There are as many tables as pairs at the threshold, made up from
-    the sample, need for `recall`. Vectors that share a bucket are compared by their original
+    the sample, need for `recall`. Ids and sketches go to the tables. Entries whose sketch has another
+    one of their bucket within a Hamming radius fetch their vector and are compared by its original
     components. A pair is counted in the first table that holds both, and each bucket passes on link
     counts and connecting edges rather than its pairs.
 
@@ -246,25 +306,22 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         width = longest // int(kind[-1])
         bits, tables = layout(count, threshold, recall)
         picked = [bytes(r[0]) for r in classes.orderBy(F.xxhash64("key")).limit(sample).select("vec").collect()]
-        mean, axes, bits, tables = learn_tables(_units(picked, kind, width), bits, tables, threshold, recall)
+        mean, axes, bits, tables, radius = learn_tables(_units(picked, kind, width), bits, tables, threshold, recall)
         model = spark.sparkContext.broadcast((mean, axes))
-        entries = classes.select("cid", "n", "vec").mapInArrow(task(_tables(model, kind, width, bits, tables), None), "t int, bucket long, dim int, cid long, n long, codes binary, vec binary")
-        place = ["t", "bucket", "dim"]
-        crowded = small(stage(entries.groupBy(*place).count().where(F.col("count") > bucket_rows), "crowded"))
-        parts = F.coalesce(F.ceil(F.col("count") / bucket_rows), F.lit(1)).cast("long")
-        dealt = entries.join(crowded, place, "left").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("cid"), "parts"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        cell = (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).alias("cell")
-        dealt = dealt.select(*place, cell, "mine", (F.least("mine", "other") != F.greatest("mine", "other")).alias("split0"), "cid", "n", "codes", "vec").withColumn("split", F.col("split0")).drop("split0")
-        # A row whose own part is both ends of a cell meets the same part there and in no other cell.
-        found = dealt.repartition(*place, "cell").sortWithinPartitions(*place, "cell", "cid").mapInArrow(task(_links(kind, width, threshold), None), "a long, b long, links long")
+        # Ids and sketches go to the tables; vectors only to the entries that have a candidate in their bucket.
+        entries = classes.select("cid", "vec").mapInArrow(task(_tables(model, kind, width, bits, tables), None), "place long, dim int, cid long, sketch long")
+        dealt = _dealt(entries, bucket_rows).select(*PLACE, "cid", "sketch")
+        near = dealt.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(task(_candidates(radius), None), "place long, dim int, cid long")
+        near = stage(near.distinct(), "candidates").join(classes.select("cid", "n", "vec"), "cid")
+        near = _dealt(near, bucket_rows).repartition(*PLACE).sortWithinPartitions(*PLACE, "cid")
+        found = near.mapInArrow(task(_links(model, kind, width, bits, tables, threshold), None), "a long, b long, links long")
         found = stage(found, "links")
     else:
         found = spark.createDataFrame([], "a long, b long, links long")
     links = found.where("links > 0").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("links = 0").select("a", "b")).withColumnRenamed("node", "cid")
     linked = roots.join(classes.select("cid", "first"), "cid")
-    linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("cid", "least")
+    linked = linked.join(small(stage(linked.groupBy("root").agg(F.min("first").alias("least")), "least")), "root").select("cid", "least")
     per_class = classes.select("key", "cid", "n", "first").join(links, "cid", "left").join(linked, "cid", "left")
     per_class = per_class.select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("least", "first").alias("least"))
     alone = F.col("least").isNull()
@@ -278,3 +335,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+component AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = c.vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM component c
+"""

@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_fixity": warc.ORACLE, "op4_chat_format": chat.ORACLE, "op6_exact_dedup": exact_dedup.oracle(), "op8_mixing": mixing.oracle()}
+    return {"op2_warc_fixity": warc.ORACLE, "op4_chat_format": chat.ORACLE, "op5_embedding_dedup": embedding_dedup.ORACLE, "op6_exact_dedup": exact_dedup.oracle(), "op8_mixing": mixing.oracle()}

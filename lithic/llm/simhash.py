@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, id_co
     distinct = stage(prints.groupBy("fp").agg(first), "distinct")
     roots = connected_components(near_edges(distinct, threshold, anchor_rows)).withColumnRenamed("node", "fp")
     linked = roots.join(distinct, "fp")
-    linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
+    linked = linked.join(small(stage(linked.groupBy("root").agg(F.min("first").alias("least")), "least")), "root").select("fp", "least")
     least = F.coalesce("least", "first")
     classes = distinct.join(small(stage(linked, "linked")), "fp", "left").select("fp", least["doc_id"].alias("component_id"), least["uid"].alias("kept_uid"))
     return prints.join(classes, "fp").select(
