@@ -339,7 +339,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH RECURSIVE usable AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: CASE WHEN isfinite(x) THEN x ELSE 0 END) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
