@@ -9,6 +9,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +19,16 @@ from lithic.llm.common import in_fold, stage, table
 HEAD = 1 << 18
 #: Words that the model tells apart, and the buckets of word endings that all other words share.
 WORDS, BUCKETS = 3_328, 64
+#: Hashed ids by which those other words stand in contexts.
+CONTEXTS = 1 << 13
 #: Slots of a class, classes at most, and clusters of spelling that classes are cut from.
 SLOTS, CLASSES, SPELLINGS = 64, 64, 10
 #: Hashed rows for pairs of preceding words and for words within classes.
 PAIR_ROWS, WORD_ROWS = 1 << 14, 1 << 16
 #: Rounds of gradient updates; together they take every position of every training text once.
 ROUNDS, BATCH, RATE = 3, 2_048, 0.6
+#: Training tokens that one task of a round takes, about, and the tasks whose moves are averaged at once.
+SHARE, FAN = 1 << 23, 16
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 400_000
 #: Rows of parameters that travel together.
@@ -31,7 +36,8 @@ BLOCK = 4_096
 
 END = b""
 SYMBOLS = WORDS + BUCKETS
-START = SYMBOLS
+NEAR = WORDS + CONTEXTS
+START = NEAR
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -45,13 +51,23 @@ def bucket_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % BUCKETS
 
 
+def ids_of(word: bytes, place: int = WORDS) -> int:
+    """Symbol of a word (by its place among the most frequent) and, 16 bits above it, its id in contexts.
+
+    A word that the model doesn't tell apart is its ending's bucket as a target, and a hash of the whole word as a context.
+    """
+    if place < WORDS:
+        return place | place << 16
+    return WORDS + bucket_of(word) | WORDS + zlib.crc32(word) % CONTEXTS << 16
+
+
 class Buckets(dict):
-    """Symbols of word endings, by word."""
+    """`ids_of` rare words, by word."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= HELD:
             self.clear()
-        self[word] = found = WORDS + bucket_of(word)
+        self[word] = found = ids_of(word)
         return found
 
 
@@ -121,34 +137,41 @@ class Layout:
     slot_off: np.ndarray
 
     @classmethod
-    def of(cls, words: list[bytes]) -> Layout:
+    def of(cls, words: list[bytes], counts: np.ndarray | None = None, shared: np.ndarray | None = None) -> Layout:
+        """The layout of the most frequent words. Without features classes and slots are as likely as the
+        counts of the words and of the buckets' other words (`shared`) say, or all alike without counts."""
         found = classes_of(words)
         place = np.zeros((SYMBOLS, 2), np.int64)
         place[: len(words)] = found
         place[WORDS:, 1] = np.arange(BUCKETS)
-        slot_off = np.full((CLASSES, SLOTS), -1e9, np.float32)
-        slot_off[found[:, 0], found[:, 1]] = 0
-        slot_off[0, :BUCKETS] = 0
-        class_off = np.where((slot_off == 0).any(1), 0, -1e9).astype(np.float32)
-        return cls(place[:, 0], place[:, 1], class_off, slot_off)
+        mass = np.zeros((CLASSES, SLOTS))
+        mass[found[:, 0], found[:, 1]] = 1 if counts is None else counts
+        mass[0, :BUCKETS] = 1 if shared is None else np.maximum(shared, 1)
+        there, total = mass > 0, mass.sum(1)
+        if counts is None:
+            slot_off, class_off = np.where(there, 0, -1e9), np.where(there.any(1), 0, -1e9)
+        else:
+            slot_off = np.where(there, np.log(np.maximum(mass, 1e-9)) - np.log(np.maximum(total, 1e-9))[:, None], -1e9)
+            class_off = np.where(total > 0, np.log(np.maximum(total, 1e-9)) - np.log(total.sum()), -1e9)
+        return cls(place[:, 0], place[:, 1], class_off.astype(np.float32), slot_off.astype(np.float32))
 
 
 def contexts(s: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """Feature rows of positions (all by default): the word before, the one before that, the third back, and the pair before."""
+    """Feature rows of positions (all by default) in a text of context ids: the word before, the one before that, the third back, and the pair before."""
     padded = np.concatenate([np.full(3, START), s]).astype(np.int64)
     at = np.arange(len(s)) if at is None else at
     one, two, three = padded[at + 2], padded[at + 1], padded[at]
-    width = SYMBOLS + 1
+    width = NEAR + 1
     pair = ((one * 0x9E3779B1 + two * 0x85EBCA6B) >> 7) % PAIR_ROWS
     return np.stack([one, width + two, 2 * width + three, 3 * width + pair], 1)
 
 
-CLASS_ROWS = 3 * (SYMBOLS + 1) + PAIR_ROWS
+CLASS_ROWS = 3 * (NEAR + 1) + PAIR_ROWS
 
 
 def word_rows(context: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """Rows of the features that tell words of a class apart: class with the word before, with the one before that, and alone."""
-    key = np.stack([context[:, 0], context[:, 1], np.full(len(cls), 3 * (SYMBOLS + 1))], 1)
+    key = np.stack([context[:, 0], context[:, 1], np.full(len(cls), 3 * (NEAR + 1))], 1)
     return ((key * 0xC2B2AE3D + cls[:, None] * 0x27D4EB2F) >> 9) % WORD_ROWS
 
 
@@ -228,9 +251,9 @@ class Model:
     def copy(self) -> Model:
         return Model(self.layout, self.w1.copy(), self.w2.copy(), self.seen1.copy(), self.seen2.copy())
 
-    def log_probs(self, symbols: np.ndarray) -> np.ndarray:
-        """Natural log probability of every symbol of a text, in sparse batches."""
-        out, rows = np.empty(len(symbols)), contexts(symbols)
+    def log_probs(self, symbols: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
+        """Natural log probability of every symbol of a text, in sparse batches; `near` are its context ids if they differ."""
+        out, rows = np.empty(len(symbols)), contexts(symbols if near is None else near)
         for at in range(0, len(symbols), BATCH):
             s, r = symbols[at : at + BATCH].astype(np.int64), rows[at : at + BATCH]
             c, k = self.layout.cls[s], self.layout.slot[s]
@@ -256,10 +279,10 @@ class Model:
 
 
 def _gradients(model, round_: int, rounds: int):
-    """Train a copy on a share of the texts, at every position whose turn it is in this round; pass on by how much each row moved and how often it was visited."""
+    """Train a copy on a share of the texts (uid, symbols, context ids), at every position whose turn it is in this round; pass on by how much each row moved and how often it was visited."""
 
     def run(batches):
-        start = model.value
+        start, lane = model.value, TaskContext.get().partitionId()
         mine = start.copy()
         rows, symbols, n = [], [], 0
 
@@ -273,11 +296,11 @@ def _gradients(model, round_: int, rounds: int):
             rows, symbols, n = [r[at:]], [s[at:]], max(0, len(s) - at)
 
         for b in batches:
-            for uid, data in zip(b.column("uid").to_pylist(), b.column("symbols").to_pylist()):
+            for uid, data, around in zip(*(b.column(c).to_pylist() for c in ("uid", "symbols", "near"))):
                 s = np.frombuffer(data, "<u2").astype(np.int64)
                 pick = np.arange((uid + round_) % rounds, len(s), rounds)
                 if len(pick):
-                    rows.append(contexts(s, pick))
+                    rows.append(contexts(np.frombuffer(around, "<u2"), pick))
                     symbols.append(s[pick])
                     n += len(pick)
                 if n >= 16 * BATCH:
@@ -290,40 +313,52 @@ def _gradients(model, round_: int, rounds: int):
                 times = seen[z] - seen0[z]
                 moved = np.flatnonzero(times)
                 if len(moved):
-                    yield pa.RecordBatch.from_pylist([{"kind": kind, "at": at, "rows": moved.astype("<i4").tobytes(), "times": times[moved].astype("<f4").tobytes(), "moves": (w[z] - w0[z])[moved].astype("<f2").tobytes()}], DELTA)
+                    yield pa.RecordBatch.from_pylist([{"lane": lane, "kind": kind, "at": at, "rows": moved.astype("<i4").tobytes(), "times": times[moved].astype("<f4").tobytes(), "moves": (w[z] - w0[z])[moved].astype("<f2").tobytes()}], DELTA)
 
     return run
 
 
-DELTA = pa.schema([("kind", pa.int32()), ("at", pa.int32()), ("rows", pa.binary()), ("times", pa.binary()), ("moves", pa.binary())])
-_DELTA = "kind int, at int, rows binary, times binary, moves binary"
+DELTA = pa.schema([("lane", pa.int32()), ("kind", pa.int32()), ("at", pa.int32()), ("rows", pa.binary()), ("times", pa.binary()), ("moves", pa.binary())])
+_DELTA = "lane int, kind int, at int, rows binary, times binary, moves binary"
 
 
 def _averaged(group: pa.Table) -> pa.Table:
     """Moves of a block of rows, averaged over tasks by visits; visits added up."""
-    width = CLASSES if group.column("kind")[0].as_py() == 1 else SLOTS
+    lane, kind, at = (group.column(c)[0].as_py() for c in ("lane", "kind", "at"))
+    width = CLASSES if kind == 1 else SLOTS
     times, moves = np.zeros(BLOCK, np.float32), np.zeros((BLOCK, width), np.float32)
-    for r in group.to_pylist():
-        rows, n = np.frombuffer(r["rows"], "<i4"), np.frombuffer(r["times"], "<f4")
+    for i in range(group.num_rows):
+        rows, n, move = (np.frombuffer(group.column(c)[i].as_py(), t) for c, t in (("rows", "<i4"), ("times", "<f4"), ("moves", "<f2")))
         times[rows] += n
-        moves[rows] += n[:, None] * np.frombuffer(r["moves"], "<f2").reshape(-1, width)
+        moves[rows] += n[:, None] * move.reshape(-1, width)
     rows = np.flatnonzero(times)
-    return pa.Table.from_pylist([{"kind": group.column("kind")[0].as_py(), "at": group.column("at")[0].as_py(), "rows": rows.astype("<i4").tobytes(), "times": times[rows].tobytes(), "moves": (moves[rows] / times[rows, None]).astype("<f2").tobytes()}], DELTA)
+    return pa.Table.from_pylist([{"lane": lane, "kind": kind, "at": at, "rows": rows.astype("<i4").tobytes(), "times": times[rows].tobytes(), "moves": (moves[rows] / times[rows, None]).astype("<f2").tobytes()}], DELTA)
 
 
-def train(encoded: DataFrame, layout: Layout, rounds: int = ROUNDS) -> Model:
-    """Rounds of distributed gradient updates over texts (uid, symbols), every position in one of them.
+def train(encoded: DataFrame, layout: Layout, rounds: int = ROUNDS, tokens: int | None = None) -> Model:
+    """Rounds of distributed gradient updates over texts (uid, symbols, and near where words have other ids in contexts), every position in one of them.
 
-    In a round as many tasks as the cluster has cores each train a copy of the parameters on their
-    share of the texts; blocks of moved rows are averaged by visits on the executors, so the driver
-    gets one set of parameters, whose size is fixed.
+    In a round each task trains a copy of the parameters on a share of the texts. There are as many
+    shares as the number of tokens asks for, whatever the cluster, so that no task grows with the
+    input. Blocks of moved rows are averaged by visits on the executors, FAN tasks at a time, so
+    neither a task nor the driver gets more than a fixed number of sets of parameters.
     """
     context = encoded.sparkSession.sparkContext
     model = Model(layout)
-    shares = encoded.select("uid", "symbols").coalesce(max(1, context.defaultParallelism))
+    texts = encoded.select("uid", "symbols", F.col("near" if "near" in encoded.columns else "symbols").alias("near"))
+    if tokens is None:
+        tokens = texts.agg(F.coalesce(F.sum(F.octet_length("symbols")), F.lit(0))).first()[0] // 2
+    shares = max(1, -(-tokens // SHARE))
+    texts = texts.coalesce(shares)
     for r in range(rounds):
         sent = context.broadcast(model)
-        moved = shares.mapInArrow(_gradients(sent, r, rounds), _DELTA).groupBy("kind", "at").applyInArrow(_averaged, _DELTA).collect()
+        moved, lanes = texts.mapInArrow(_gradients(sent, r, rounds), _DELTA), shares
+        while True:
+            moved = moved.withColumn("lane", F.floor(F.col("lane") / FAN).cast("int")).groupBy("lane", "kind", "at").applyInArrow(_averaged, _DELTA)
+            lanes = -(-lanes // FAN)
+            if lanes == 1:
+                break
+        moved = moved.collect()
         sent.destroy()
         model = model.copy()
         for row in moved:
@@ -349,21 +384,22 @@ def _encoded(head):
                 s, missing = symbol[at], np.flatnonzero(at < 0)
                 rare = [tokens[i] for i in missing.tolist()]
                 s[missing] = list(map(bucket_at.__getitem__, rare))
+                near, s = s >> 16, s & 0xFFFF
                 tail = Counter(rare)
                 rare_words.extend(tail)
                 rare_counts.extend(tail.values())
                 ends.append(len(rare_words))
-                out.append((len(tokens), len(tokens) - len(rare), float(logs[at].sum()), float(logs[at[s >= WORDS]].sum()), s.astype("<u2").tobytes()))
+                out.append((len(tokens), len(tokens) - len(rare), float(logs[at].sum()), float(logs[at[s >= WORDS]].sum()), s.astype("<u2").tobytes(), near.astype("<u2").tobytes()))
             rare_items = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "n"])
-            columns = list(zip(*out)) or [()] * 5
-            plain = [pa.array(c, t) for c, t in zip(columns, ENCODED.types[2:7])]
+            columns = list(zip(*out)) or [()] * 6
+            plain = [pa.array(c, t) for c, t in zip(columns, ENCODED.types[2:8])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *plain, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare_items)], schema=ENCODED)
 
     return run
 
 
-ENCODED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("head_log", pa.float64()), ("shared_log", pa.float64()), ("symbols", pa.binary()), ("tail", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))])
-_ENCODED = "doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, shared_log double, symbols binary, tail array<struct<word:binary,n:bigint>>"
+ENCODED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("head_log", pa.float64()), ("shared_log", pa.float64()), ("symbols", pa.binary()), ("near", pa.binary()), ("tail", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))])
+_ENCODED = "doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, shared_log double, symbols binary, near binary, tail array<struct<word:binary,n:bigint>>"
 
 
 def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
@@ -371,7 +407,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, head: int
 
     Counts of all training words stay distributed. Those of the most frequent (at most `head`, so
     that they fit a broadcast) are looked up; the rest of a text's words are joined with their counts.
-    The model tells WORDS words apart; a rarer word's probability is its ending bucket's, times its
+    The model tells WORDS words apart as targets, and hashes the others by themselves as contexts; a rarer word's probability is its ending bucket's, times its
     share of the bucket by count plus one, unseen words counting as one more word.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per input
@@ -392,8 +428,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, head: int
     top = counts.where(level >= lowest).toArrow()
     top = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist()), key=lambda x: (-x[0], x[1]))
     words = [w for _, w in top]
-    layout = Layout.of(words[:WORDS])
-    symbol = np.array([i if i < WORDS else WORDS + bucket_of(w) for i, w in enumerate(words)], np.int64)
+    symbol = np.array([ids_of(w, i) for i, w in enumerate(words)], np.int64)
     logs = np.log10(np.array([c for c, _ in top], float) + 1)
 
     ending = F.expr("CASE WHEN length(word) > 3 THEN substring(word, -3, 3) ELSE word END")
@@ -404,22 +439,23 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, head: int
     for (c, w) in top[:WORDS]:
         mass[bucket_of(w)] -= c + 1
     log_mass = np.log10(np.maximum(mass, 1))
+    layout = Layout.of(words[:WORDS], np.array([c + 1 for c, _ in top[:WORDS]], float), mass)
 
     found = context.broadcast((words, logs, symbol))
     del words, logs, symbol, top
     encoded = stage(texts.mapInArrow(_encoded(found), _ENCODED).withColumn("uid", F.monotonically_increasing_id()), "encoded")
-    model = context.broadcast((train(encoded.where("not held_out"), layout, rounds), log_mass))
+    model = context.broadcast((train(encoded.where("not held_out"), layout, rounds, n_all), log_mass))
 
     def run(batches):
         m, lost = model.value
         for b in batches:
             scores = []
-            for data in b.column("symbols").to_pylist():
+            for data, near in zip(b.column("symbols").to_pylist(), b.column("near").to_pylist()):
                 s = np.frombuffer(data, "<u2")
-                scores.append(float(m.log_probs(s).sum() / np.log(10) - lost[s[s >= WORDS].astype(int) - WORDS].sum()))
+                scores.append(float(m.log_probs(s, np.frombuffer(near, "<u2")).sum() / np.log(10) - lost[s[s >= WORDS].astype(int) - WORDS].sum()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEPT), pa.array(scores, pa.float64())], [*KEPT, "model_log"])
 
-    scored = encoded.select(*KEPT, "symbols").mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, shared_log double, model_log double")
+    scored = encoded.select(*KEPT, "symbols", "near").mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, shared_log double, model_log double")
     tail = encoded.select("uid", F.explode("tail").alias("t")).select("uid", "t.word", "t.n").join(counts, "word")
     tail = tail.groupBy("uid").agg(F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail_log"))
     tail_log = F.coalesce("tail_log", F.lit(0.0))
