@@ -34,85 +34,115 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], cap: int) -> Dat
     return levelled.withColumn("target", F.least(F.col("most").cast("double"), F.max("level").over(everything) * F.col("weight"))).drop("level", "most")
 
 
-def _key(docs: DataFrame, id_col: str, source_col: str) -> dict:
-    """Columns that place a document in the mix: its source, null apart, and 60 hash bits of its id."""
-    digest = F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary"))
+def _hash(value: Column) -> Column:
+    """60 bits of the digest of a string."""
+    return F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def _key(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> dict:
+    """Columns that place a document in the mix: its source, null apart, and 60 hash bits of its id and text."""
     return {
         "no_source": docs[source_col].isNull().cast("int"),
         "source": F.coalesce(docs[source_col], F.lit("")),
-        "hash": F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"),
+        "hash": _hash(F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit("\x1f"), F.coalesce(docs[text_col], F.lit("")))),
     }
 
 
-def plan_mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """The plan of a mix of documents (no_source, source, size, hash), one row per source.
+def _edges(placed: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Where the hash (60 bits) of each source's rows (no_source, source, size, hash) reaches its budget.
 
-    `passes` whole passes over the source and, in part, the documents with a hash below `edge`; those
-    with that very hash too if `edge_in`. Each level is a histogram over the boundary bucket of the
-    one before.
+    Each level is a histogram over the boundary bucket of the one before. Returns no_source, source,
+    edge, edge_rows (how many rows have that very hash), edge_in (whether all of them come nearer to
+    the budget than none) and left (what the budget holds beyond the rows below the edge).
     """
-    key, carried = ["no_source", "source"], ["budget"]
-    targets = source_targets(sized.groupBy(*key).agg(F.sum("size").alias("source_size")), weights, cap)
-    targets = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    targets = stage(targets.withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size")), "targets")
-    zero = F.lit(0).cast("long")
-    state = small(targets.select(*key, "budget", zero.alias("prefix"), zero.alias("below"), zero.alias("mass")))
+    key, zero = ["no_source", "source"], F.lit(0).cast("long")
+    state = small(budgets.select(*key, "budget", zero.alias("prefix"), zero.alias("below"), zero.alias("mass"), zero.alias("rows")))
     for level in range(1, LEVELS + 1):
         bucket, parent = F.shiftright("hash", BITS * (LEVELS - level)), F.shiftright("hash", BITS * (LEVELS - level + 1))
         # A source without words has no boundary: it drops out here and takes no document in part.
-        placed = sized.where("size > 0").withColumn("prefix", parent).withColumn("bucket", bucket)
-        histogram = placed.join(state, [*key, "prefix"]).groupBy(*key, "bucket").agg(F.sum("size").alias("m"), *(F.first(c).alias(c) for c in ["below", *carried]))
+        at = placed.where("size > 0").withColumn("prefix", parent).withColumn("bucket", bucket)
+        histogram = at.join(state.select(*key, "prefix", "below", "budget"), [*key, "prefix"]).groupBy(*key, "bucket").agg(F.sum("size").alias("m"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("below", "budget")))
         running = F.col("below") + F.sum("m").over(Window.partitionBy(*key).orderBy("bucket"))
         reached = histogram.withColumn("running", running).where("running > budget")
         state = reached.groupBy(*key).agg(
             F.min("bucket").alias("prefix"),
             F.min_by(F.col("running") - F.col("m"), "bucket").alias("below"),
             F.min_by("m", "bucket").alias("mass"),
-            *(F.first(c).alias(c) for c in carried),
+            F.min_by("n", "bucket").alias("rows"),
+            F.first("budget").alias("budget"),
         )
         state = small(stage(state, "level"))
-    ends = state.select(*key, F.col("prefix").alias("edge"), (F.col("mass") < 2 * (F.col("budget") - F.col("below"))).alias("edge_in"))
-    return small(stage(targets.select(*key, "source_size", "target", "passes").join(ends, key, "left"), "plan"))
+    left = F.col("budget") - F.col("below")
+    return state.select(*key, F.col("prefix").alias("edge"), F.col("rows").alias("edge_rows"), (F.col("mass") < 2 * left).alias("edge_in"), left.alias("left"))
+
+
+def plan_mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
+    """The plan of a mix of documents (no_source, source, size, hash), one row per source.
+
+    `passes` whole passes over the source and, in part, the documents with a hash below `edge`; see
+    `_edges` for its other columns.
+    """
+    key = ["no_source", "source"]
+    targets = source_targets(sized.groupBy(*key).agg(F.sum("size").alias("source_size")), weights, cap)
+    targets = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    targets = stage(targets.withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size")), "targets")
+    return small(stage(targets.select(*key, "source_size", "target", "passes").join(_edges(sized, targets), key, "left"), "plan"))
+
+
+def _tied(plan: DataFrame) -> bool:
+    """Whether some source's edge falls on more than one row."""
+    return not plan.where("edge_rows > 1").isEmpty()
 
 
-def copies(hash_: Column, has_words: Column, plan: DataFrame) -> Column:
-    """How often the plan takes a document."""
-    part = F.coalesce((hash_ < plan["edge"]) | ((hash_ == plan["edge"]) & plan["edge_in"]), F.lit(False))
-    return F.when(has_words, plan["passes"] + part.cast("long")).otherwise(0).cast("long")
+def _counted(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """`rows` (no_source, source, size, hash and others) with the plan's columns and `copies`, how often it takes each.
+
+    Rows that share id, text and source share their hash too. Where a source's edge falls on such rows
+    they are written with numbers of their own, and a second threshold, found in the same way over the
+    hashes of these numbers, takes as many as the budget holds. Which of them doesn't matter.
+    """
+    key = ["no_source", "source"]
+    joined = rows.join(plan, key)
+    part = F.coalesce((F.col("hash") < F.col("edge")) | ((F.col("hash") == F.col("edge")) & F.col("edge_in")), F.lit(False))
+    copies = lambda some: F.when(F.col("size") > 0, F.col("passes") + some.cast("long")).otherwise(0).cast("long")
+    if not _tied(plan):
+        return joined.withColumn("copies", copies(part))
+    many = F.coalesce((F.col("edge_rows") > 1) & (F.col("hash") == F.col("edge")) & (F.col("size") > 0), F.lit(False))
+    alike = stage(joined.where(many).withColumn("number", F.monotonically_increasing_id()), "alike").withColumn("hash", _hash(F.col("number").cast("string"))).drop("edge", "edge_rows", "edge_in")
+    again = _edges(alike.select(*key, "size", "hash"), plan.where("edge_rows > 1").select(*key, F.col("left").alias("budget"))).select(*key, "edge", "edge_rows", "edge_in")
+    alike = alike.join(again, key, "left").withColumn("copies", copies(part))
+    return joined.where(~many).withColumn("copies", copies(part)).unionByName(alike.drop("number"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many words a mix takes of each document.
 
     Each source gets whole passes over all its documents while they fit into its target and one
-    partial pass: the documents whose 60-bit hash of the id lies below a threshold. Six histograms
+    partial pass: the documents whose 60-bit hash of id and text lies below a threshold. Six histograms
     of 1024 buckets find the threshold, each over the boundary bucket of the one before, so nothing
-    is sorted and a larger budget takes a superset. The documents with the very hash on the boundary
-    are taken if that comes nearer to the target.
+    is sorted and a larger budget takes a superset. The document with the very hash on the boundary
+    is taken if that comes nearer to the target.
 
     Returns doc_id, size, source_size, target, taken, source, copies; one row per input row. Null or
-    empty text: size 0, taken 0 times. Null source: a source of its own, placed last. Rows that
-    repeat an id share its hash and its fate. A null id hashes as the empty text. No rows: no rows.
-    Other columns are ignored.
+    empty text: size 0, taken 0 times. Null source: a source of its own, placed last. A null id
+    hashes as the empty text. Of rows that repeat id, text and source as many are taken as the target
+    asks for; which of them is left open. No rows: no rows. Other columns are ignored.
     """
-    sized = stage(docs.select(docs[id_col].alias("doc_id"), word_count(docs[text_col]).alias("size"), *(c.alias(k) for k, c in _key(docs, id_col, source_col).items())), "sized")
-    plan = plan_mix(sized, weights, cap)
-    n = copies(sized["hash"], sized["size"] > 0, plan)
-    joined = sized.join(plan, (sized["no_source"] == plan["no_source"]) & (sized["source"] == plan["source"]))
-    return joined.select(
-        "doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), F.when(sized["no_source"] == 0, sized["source"]).alias("source"), n.alias("copies")
+    sized = stage(docs.select(docs[id_col].alias("doc_id"), word_count(docs[text_col]).alias("size"), *(c.alias(k) for k, c in _key(docs, id_col, text_col, source_col).items())), "sized")
+    return _counted(sized, plan_mix(sized, weights, cap)).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.when(F.col("no_source") == 0, F.col("source")).alias("source"), "copies"
     )
 
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of `docs`, each as often as `mix_sources` takes it. Texts stay where they are."""
-    sized = stage(docs.select(word_count(docs[text_col]).alias("size"), *(c.alias(k) for k, c in _key(docs, id_col, source_col).items())), "sized")
-    plan = plan_mix(sized, weights, cap)
-    key = _key(docs, id_col, source_col)
-    n = copies(key["hash"], F.coalesce(docs[text_col].rlike(WORD_PATTERN), F.lit(False)), plan)
-    joined = docs.join(plan, (key["no_source"] == plan["no_source"]) & (key["source"] == plan["source"]))
-    times = F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>"))
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(times).alias("__copy")).drop("__copy")
+    key = [c.alias(k) for k, c in _key(docs, id_col, text_col, source_col).items()]
+    plan = plan_mix(stage(docs.select(word_count(docs[text_col]).alias("size"), *key), "sized"), weights, cap)
+    # Unless rows on an edge are alike, all that matters here is whether there are words.
+    size = word_count(docs[text_col]) if _tied(plan) else F.coalesce(docs[text_col].rlike(WORD_PATTERN), F.lit(False)).cast("long")
+    rows = _counted(docs.select(F.struct(*docs.columns).alias("row"), size.alias("size"), *key), plan)
+    times = F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies"))).otherwise(F.array().cast("array<bigint>"))
+    return rows.select("row", F.explode(times).alias("copy")).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +151,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, (source IS NULL)::INT AS no_source,
+  SELECT doc_id, source, row_number() OVER () AS number, (source IS NULL)::INT AS no_source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
+         ('0x' || substr(md5(concat(coalesce(doc_id::VARCHAR, ''), chr(31), coalesce(text, ''))), 1, 15))::BIGINT AS hash
   FROM {documents}),
 totals AS (SELECT no_source, source, sum(size)::BIGINT AS source_size FROM sized GROUP BY ALL),
 ranked AS (
@@ -139,8 +169,7 @@ plan AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS passes FROM targets),
 running AS (
   SELECT s.doc_id, s.size, s.source, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size AS budget,
-         (sum(s.size) OVER (PARTITION BY s.no_source, s.source ORDER BY s.hash RANGE UNBOUNDED PRECEDING))::BIGINT AS upto,
-         (sum(s.size) OVER (PARTITION BY s.no_source, s.source, s.hash))::BIGINT AS mass
+         (sum(s.size) OVER (PARTITION BY s.no_source, s.source ORDER BY s.hash, s.number ROWS UNBOUNDED PRECEDING))::BIGINT AS upto, s.size AS mass
   FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
 copied AS (
   SELECT *, CASE WHEN size = 0 THEN 0 WHEN upto <= budget OR (upto - mass <= budget AND mass < 2 * (budget - (upto - mass))) THEN passes + 1 ELSE passes END::BIGINT AS copies
