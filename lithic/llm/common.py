@@ -52,11 +52,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
+    """The folder that all executors share. Where the session names none there is a local one in local mode (tests) and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -100,6 +102,13 @@ def in_fold(doc_id, modulus: int, remainder: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def one_text_each(docs: DataFrame, picked: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, text and the given columns of `picked` (one row per doc_id, of a bounded number), with one text
+    of each id: the one whose hash is least. Rows of an id are reduced where they are read."""
+    rows = docs.join(F.broadcast(picked.select("doc_id", *columns)), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), *(F.first(c).alias(c) for c in columns))
+
+
 def keep_rows(docs: DataFrame, decided: DataFrame, with_key) -> DataFrame:
     """The rows of `docs` that `decided` (doc_id, key, kept; one row per row of `docs`) keeps.
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm.common import in_fold, table, task
+from lithic.llm.common import in_fold, one_text_each, table, task
 
 #: Labelled rows of each label that vectors and votes are learned from, at most.
 PER_LABEL = 2_000
@@ -113,7 +113,7 @@ def _featured(batches):
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, learning, per_label: int = PER_LABEL):
-    """A model from at most `per_label` rows of each label, taken in the order of a hash of the id.
+    """A model from at most `per_label` rows of each label, taken in the order of a hash of the id; of rows that repeat an id one.
 
     None if no label is known; that label if there is only one.
     """
@@ -125,7 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, learning, per_label: i
     for value in shares:
         some = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = some if picked is None else picked.union(some)
-    rows = docs.join(F.broadcast(picked), "doc_id").select(F.col("text").cast("binary").alias("text"), "label")
+    rows = one_text_each(docs, picked, "label").select(F.col("text").cast("binary").alias("text"), "label")
     rows = rows.mapInArrow(task(_featured), "label int, x binary").collect()
     there = {r["label"] for r in rows}
     if len(there) < 2:

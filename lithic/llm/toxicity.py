@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm.common import in_fold, table, task
+from lithic.llm.common import in_fold, one_text_each, table, task
 
 #: Confirmed examples and unlabelled texts that the classifier is fitted to, at most.
 POSITIVES, UNLABELLED = 2_500, 5_000
@@ -105,8 +105,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, learning, positives: i
         return None
     order = F.xxhash64("doc_id", F.lit("sample"))
     confirmed = known.where("y = 1").orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(True).alias("positive"))
-    anyone = docs.where(learning(F.col("doc_id"))).select("doc_id").orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("positive"))
-    rows = docs.join(F.broadcast(confirmed.union(anyone)), "doc_id").select("positive", F.col("text").cast("binary").alias("text"))
+    anyone = docs.where(learning(F.col("doc_id"))).select("doc_id").distinct().orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("positive"))
+    rows = one_text_each(docs, confirmed.union(anyone).groupBy("doc_id").agg(F.collect_set("positive").alias("parts")), "parts")
+    rows = rows.select(F.explode("parts").alias("positive"), F.col("text").cast("binary").alias("text"))
     rows = rows.mapInArrow(task(_slotted), "positive boolean, x binary").collect()
     split = {flag: [np.frombuffer(r["x"], np.int32) for r in rows if r["positive"] == flag] for flag in (True, False)}
     if not split[True] or not split[False]:
@@ -127,7 +128,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod
     """doc_id, held_out, score (0 to 1), predicted; one row per row of `docs`.
 
     Only confirmed positives of the other folds are learned from, beside texts of those folds whose
-    labels are not looked at; both samples are bounded. Scoring reads every whole text. Null and
+    labels are not looked at; both samples are bounded, and of rows that repeat an id one is learned from. Scoring reads every whole text. Null and
     empty texts get the score of a text without features. Null ids are not held out; rows that
     repeat are scored alike; null labels say nothing. Without positives every score is 0. No rows:
     no rows. Other columns are ignored.
