@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import re
 import zlib
 
@@ -31,16 +30,52 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit(CRLF * 2).cast("binary"))
 
 
+def _laid_out(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Offsets of records (archive, page_id, url, tie, length and `columns`) laid end to end by id, url and tie.
+
+    Records are dealt over ranges of the whole order, summed up within a range, and moved on by the
+    sums of the ranges before, so an archive of any number of records is no single task's.
+    """
+    place = ["archive", "page_id", "url", "tie"]
+    dealt = stage(rows.repartitionByRange(*place).withColumn("range", F.spark_partition_id()), "ranges")
+    before = F.sum("bytes").over(Window.partitionBy("archive").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = stage(dealt.groupBy("archive", "range").agg(F.sum("length").alias("bytes")).withColumn("before", F.coalesce(before, F.lit(0))), "sums")
+    within = F.sum("length").over(Window.partitionBy("archive", "range").orderBy("page_id", "url", "tie").rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("within", within).join(small(sums.drop("bytes")), ["archive", "range"]).select("archive", (F.col("before") + F.col("within") - F.col("length")).alias("offset"), "length", "page_id", *columns)
+
+
+def _pages(pages: DataFrame, ids: int) -> DataFrame:
+    """Pages with nulls as empty texts, their archive, and the html once more (`tie`) where id and url repeat."""
+    given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    given = given.withColumn("archive", F.coalesce(F.floor(F.col("page_id") / ids), F.lit(-1)).cast("long"))
+    odd = small(stage(given.groupBy("page_id", "url").count().where("count > 1").select(F.col("page_id").alias("__id"), F.col("url").alias("__url")), "odd"))
+    marked = given.join(odd, given["page_id"].eqNullSafe(odd["__id"]) & (given["url"] == odd["__url"]), "left")
+    return marked.withColumn("tie", F.when(F.col("__url").isNotNull(), F.col("html"))).drop("__id", "__url")
+
+
 def archive_pages(pages: DataFrame, ids: int = ARCHIVE_IDS) -> DataFrame:
     """archive, offset, length, page_id, content: pages as records one after the other, by id, url and text.
 
     An archive holds `ids` successive ids, pages without an id go to archive -1.
     """
-    given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = given.select("page_id", F.coalesce(F.floor(F.col("page_id") / ids), F.lit(-1)).cast("long").alias("archive"), "url", "html", record(F.col("page_id"), F.col("url"), F.col("html")).alias("content"))
-    rows = rows.withColumn("length", F.octet_length("content").cast("long"))
-    upto = F.sum("length").over(Window.partitionBy("archive").orderBy("page_id", "url", "html").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("archive", (upto - F.col("length")).alias("offset"), "length", "page_id", "content")
+    rows = _pages(pages, ids).withColumn("content", record(F.col("page_id"), F.col("url"), F.col("html"))).drop("html")
+    return _laid_out(rows.withColumn("length", F.octet_length("content").cast("long")), ["content"])
+
+
+def unpacked(data: bytes) -> bytes:
+    """An archive without its compression, as a whole or by record; one cut short or damaged as far as it goes."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        unpack = zlib.decompressobj(16 + zlib.MAX_WBITS)
+        try:
+            out.append(unpack.decompress(data) + unpack.flush())
+        except zlib.error:
+            break
+        data = unpack.unused_data
+    else:
+        if not out:
+            return data
+    return b"".join(out)
 
 
 def parse(data: bytes):
@@ -49,13 +84,7 @@ def parse(data: bytes):
     Offsets and lengths are those in the archive unpacked. What does not begin a record is skipped up
     to the next one; a record cut short is returned as far as it goes.
     """
-    if data[:2] == b"\x1f\x8b":
-        out, left = [], data
-        while left[:2] == b"\x1f\x8b":
-            unpack = zlib.decompressobj(16 + zlib.MAX_WBITS)
-            out.append(unpack.decompress(left) + unpack.flush())
-            left = unpack.unused_data
-        data = b"".join(out)
+    data = unpacked(data)
     at = data.find(b"WARC/")
     while at >= 0:
         end = data.find(b"\r\n\r\n", at)
@@ -77,7 +106,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                plain = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                plain = unpacked(data)
                 rows = []
                 for offset, length, headers, _ in parse(plain):
                     found = re.fullmatch(r"<urn:page:(-?\d+)>", headers.get("warc-record-id", ""))
@@ -132,12 +161,20 @@ def audit(first: DataFrame, second: DataFrame, by: list[str] = ()) -> DataFrame:
     Several records at one offset are compared as one lot: all are changed if the lots differ. Null
     archives are one archive; null content counts as empty. No rows: no rows. Other columns are ignored.
     """
-    sides = []
-    for records in (first, second):
+
+    def hashed(records):
         ready = records.select(F.col("archive").cast("string").alias("archive"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset"), F.coalesce("length", F.lit(0)).cast("long").alias("length"), *by, F.coalesce("content", F.lit("").cast("binary")).alias("content"))
-        leaf = stage(leaves(ready.withColumn("archive", F.coalesce("archive", F.lit("")))), "leaves")
-        sides.append((leaf, tree(leaf)))
-    (leaf_a, a), (leaf_b, b) = sides
+        return stage(leaves(ready.withColumn("archive", F.coalesce("archive", F.lit("")))), "leaves")
+
+    return audit_leaves(hashed(first), hashed(second), by)
+
+
+def audit_leaves(leaf_a: DataFrame, leaf_b: DataFrame, by: list[str] = (), opened: list | None = None) -> DataFrame:
+    """`audit` over staged leaves (archive string, offset, length, hash, and the columns of `by`).
+
+    The number of nodes compared on each level, roots first, is appended to `opened` if it is given.
+    """
+    a, b = tree(leaf_a), tree(leaf_b)
 
     # Roots, then down: parents that differ pick the children to compare.
     suspect = None
@@ -146,7 +183,10 @@ def audit(first: DataFrame, second: DataFrame, by: list[str] = ()) -> DataFrame:
         if suspect is not None:
             up = (F.floor(F.col("node") / FAN_OUT) if level < len(a) - 2 else F.lit(0)).cast("long")
             x, y = (n.withColumn("parent", up).join(suspect, ["archive", "parent"], "left_semi").drop("parent") for n in (x, y))
-        differ = x.join(y, ["archive", "node"], "full_outer").where(~F.col("ha").eqNullSafe(F.col("hb")))
+        met = x.join(y, ["archive", "node"], "full_outer")
+        if opened is not None:
+            opened.append(met.count())
+        differ = met.where(~F.col("ha").eqNullSafe(F.col("hb")))
         suspect = small(stage(differ.select("archive", F.col("node").alias("parent")), "suspect"))
 
     def lots(leaf, name):
@@ -162,15 +202,26 @@ def audit(first: DataFrame, second: DataFrame, by: list[str] = ()) -> DataFrame:
     return kept.unionByName(extra)
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """The second replica of the query: pages with an id that leaves 7 by 50 have their last byte changed, those that leave 5 by 113 are lost."""
+def replicas(pages: DataFrame, ids: int = ARCHIVE_IDS) -> tuple[DataFrame, DataFrame]:
+    """Leaves of the pages' archives and of the query's second replica, staged.
+
+    In the replica pages with an id that leaves 7 by 50 have their last byte changed, and those that
+    leave 5 by 113 are lost. Records are built, measured and hashed where the pages are read, once for
+    both; only hashes, lengths, ids and urls are moved to lay records end to end.
+    """
+    content = record(F.col("page_id"), F.col("url"), F.col("html"))
+    rows = _pages(pages, ids).withColumn("content", content).drop("html").withColumn("length", F.octet_length("content").cast("long"))
     broken = F.expr("overlay(content PLACING X'7E' FROM cast(length AS int) FOR 1)")
-    return records.where("page_id IS NULL OR page_id % 113 <> 5").withColumn("content", F.when(F.col("page_id") % 50 == 7, broken).otherwise(F.col("content")))
+    hash_ = F.unhex(F.sha2("content", 256))
+    other = F.when(F.col("page_id") % 113 == 5, None).when(F.col("page_id") % 50 == 7, F.unhex(F.sha2(broken, 256))).otherwise(hash_)
+    rows = stage(rows.withColumn("hash", hash_).withColumn("other", other).drop("content"), "hashed")
+    laid = stage(_laid_out(rows, ["hash", "other"]).withColumn("archive", F.col("archive").cast("string")), "leaves")
+    return laid.drop("other"), laid.where("other is not null").drop("hash").withColumnRenamed("other", "hash")
 
 
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = archive_pages(table(spark, sf_dir, "pages"))
-    return audit(records, damaged(records), ["page_id"]).select("page_id", "archive", "offset", "length", "record_sha256", "status")
+    first, second = replicas(table(spark, sf_dir, "pages"))
+    return audit_leaves(first, second, ["page_id"]).select("page_id", "archive", "offset", "length", "record_sha256", "status")
 
 
 ORACLE = f"""
