@@ -75,6 +75,11 @@ class Code:
     def nearest(self, words: np.ndarray) -> np.ndarray:
         return words ^ self.leader[self.syndrome(words)].astype(np.uint32)
 
+    def anchors_near(self, words: np.ndarray, masks: np.ndarray) -> np.ndarray:
+        """Nearest anchors of each word with the bits of each mask changed; syndromes add up, so each is worked out once."""
+        moved = words[:, None] ^ masks[None, :]
+        return moved ^ self.leader.astype(np.uint32)[self.syndrome(words)[:, None] ^ self.syndrome(masks)[None, :]]
+
 
 def golay() -> Code:
     """The perfect binary code of 23 bits and radius 3: columns are x^i modulo its generator polynomial."""
@@ -96,25 +101,26 @@ def hamming(checks: int) -> Code:
 BLOCKS = ((0, 23, 0), (23, 23, 0), (46, 15, 3))
 
 
-def anchors_of(fingerprints: np.ndarray, threshold: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, blocks and anchors that each fingerprint is replicated to.
+def anchors_of(fingerprints: np.ndarray, threshold: int = 4, among: tuple[int, ...] = (0, 1, 2)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, blocks and anchors that each fingerprint is replicated to, in the blocks `among`.
 
     Two fingerprints that differ in `threshold` bits differ in at most threshold // 3 bits of one
     of three blocks. There, the anchor nearest to the one lies within covering radius plus that
     many bits of the other; the anchors of a fingerprint are those nearest to any word that many
-    bits away, which are just these.
+    bits away, which are just these. Among fewer blocks the bits are shared by as many.
     """
-    apart = threshold // len(BLOCKS)
+    apart = threshold // len(among)
     codes = {23: golay(), 15: hamming(4)}
     rows, blocks, found = [], [], []
-    for k, (first, n, free) in enumerate(BLOCKS):
+    for k in among:
+        first, n, free = BLOCKS[k]
         width = n + free
         words = (fingerprints >> np.uint64(first) & np.uint64((1 << width) - 1)).astype(np.uint32)
-        masks = [0]
+        masks = {0}
         for _ in range(apart):
-            masks = sorted({m ^ (1 << i) for m in masks for i in range(width)} | set(masks))
-        low = np.uint32((1 << n) - 1)
-        near = np.stack([codes[n].nearest((words ^ np.uint32(m)) & low) | ((words ^ np.uint32(m)) & ~low) for m in masks], 1)
+            masks |= {m ^ (1 << i) for m in masks for i in range(width)}
+        masks, low = np.array(sorted(masks), np.uint32), np.uint32((1 << n) - 1)
+        near = codes[n].anchors_near(words & low, masks & low) | ((words[:, None] ^ masks) & ~low)
         near.sort(axis=1)
         fresh = np.ones(near.shape, bool)
         fresh[:, 1:] = near[:, 1:] != near[:, :-1]
@@ -137,6 +143,22 @@ def _replicate(threshold: int):
     return run
 
 
+def _deepen(threshold: int):
+    """Anchors in the two other blocks, for rows of crowded anchors: there one of these holds at most half of the bits."""
+
+    def run(batches):
+        for b in batches:
+            block, anchor, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "anchor", "fp"))
+            for k in range(len(BLOCKS)):
+                mine = np.flatnonzero(block == k)
+                for at in range(0, len(mine), 2_000):
+                    some = mine[at : at + 2_000]
+                    rows, blocks, anchors = anchors_of(fp[some].view(np.uint64), threshold, tuple(j for j in range(len(BLOCKS)) if j != k))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block[some][rows], anchor[some][rows], blocks, anchors, fp[some][rows])], ["block", "anchor", "block2", "anchor2", "fp"])
+
+    return run
+
+
 def linked_forest(fps: np.ndarray, threshold: int) -> list[np.ndarray]:
     """Connected groups (of two and more) among fingerprints that differ in at most `threshold` bits."""
     n, linked = len(fps), np.zeros(len(fps), bool)
@@ -166,17 +188,17 @@ def _compare(threshold: int):
         return [x for x in stars if len(x[0])]
 
     def run(batches):
-        kept = np.zeros((0, 4), np.int64)
+        kept = np.zeros((0, 6), np.int64)
         for b in batches:
             new = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], 1)
             new = np.concatenate([kept, new])
-            change = np.flatnonzero((new[1:, :3] != new[:-1, :3]).any(1)) + 1
+            change = np.flatnonzero((new[1:, :5] != new[:-1, :5]).any(1)) + 1
             cuts = [0, *change.tolist()]
-            stars = [e for a, z in zip(cuts, cuts[1:]) if z - a > 1 for e in edges(np.ascontiguousarray(new[a:z, 3]))]
+            stars = [e for a, z in zip(cuts, cuts[1:]) if z - a > 1 for e in edges(np.ascontiguousarray(new[a:z, 5]))]
             kept = new[cuts[-1] :]
             if stars:
                 yield out(stars)
-        if len(kept) > 1 and (stars := edges(np.ascontiguousarray(kept[:, 3]))):
+        if len(kept) > 1 and (stars := edges(np.ascontiguousarray(kept[:, 5]))):
             yield out(stars)
 
     def out(stars):
@@ -188,18 +210,26 @@ def _compare(threshold: int):
 def near_edges(distinct: DataFrame, threshold: int = 4, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
     """Edges (a, b) that connect what links connect among distinct fingerprints (fp long).
 
-    An anchor with over `anchor_rows` fingerprints is dealt over pairs of parts, every row to each
+    Inside an anchor with over `anchor_rows` fingerprints these are anchored once more, by the two
+    other blocks. What is still over `anchor_rows` is dealt over pairs of parts, every row to each
     pair with its part, so that no task grows without bound and no pair is lost.
     """
     copies = distinct.select("fp").mapInArrow(task(_replicate(threshold), None), "block int, anchor int, fp long")
-    crowded = small(stage(copies.groupBy("block", "anchor").count().where(F.col("count") > anchor_rows), "anchors"))
-    parts = F.coalesce(F.ceil(F.col("count") / anchor_rows), F.lit(1)).cast("long")
-    mine = F.pmod(F.xxhash64("fp"), "parts")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    cells = copies.join(crowded, ["block", "anchor"], "left").withColumn("parts", parts).withColumn("mine", mine).withColumn("other", other)
-    cell = (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).cast("long")
-    cells = cells.select("block", "anchor", cell.alias("cell"), "fp")
-    return cells.repartition("block", "anchor", "cell").sortWithinPartitions("block", "anchor", "cell").mapInArrow(task(_compare(threshold), None), "a long, b long")
+    none = F.lit(-1)
+    # There are at most 2^12 + 2^12 + 2^14 anchors.
+    crowded = stage(copies.groupBy("block", "anchor").count().where(F.col("count") > anchor_rows).select("block", "anchor"), "anchors")
+    cells = copies.select("block", "anchor", none.alias("block2"), none.alias("anchor2"), F.lit(0).cast("long").alias("cell"), "fp")
+    if not crowded.isEmpty():
+        deep = copies.join(F.broadcast(crowded), ["block", "anchor"], "left_semi").mapInArrow(task(_deepen(threshold), None), "block int, anchor int, block2 int, anchor2 int, fp long")
+        place = ["block", "anchor", "block2", "anchor2"]
+        full = small(stage(deep.groupBy(*place).count().where(F.col("count") > anchor_rows), "anchors"))
+        parts = F.coalesce(F.ceil(F.col("count") / anchor_rows), F.lit(1)).cast("long")
+        dealt = deep.join(full, place, "left").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("fp"), "parts"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        cell = (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).cast("long")
+        cells = cells.join(F.broadcast(crowded), ["block", "anchor"], "left_anti").unionByName(dealt.select(*place, cell.alias("cell"), "fp"))
+    place = ["block", "anchor", "block2", "anchor2", "cell"]
+    return cells.select(*place, "fp").repartition(*place).sortWithinPartitions(*place).mapInArrow(task(_compare(threshold), None), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
