@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm.common import in_fold, stage, table
+from lithic.llm.common import in_fold, stage, table, task
 
 #: Words whose counts are broadcast, at most; the counts of all others are joined.
 HEAD = 1 << 18
@@ -27,6 +27,8 @@ SLOTS, CLASSES, SPELLINGS = 64, 64, 10
 PAIR_ROWS, WORD_ROWS = 1 << 14, 1 << 16
 #: Rounds of gradient updates; together they take every position of every training text once.
 ROUNDS, BATCH, RATE = 3, 2_048, 0.6
+#: Positions whose contexts are built at once.
+PASS = 1 << 15
 #: Training tokens that one task of a round takes, about, and the tasks whose moves are averaged at once.
 SHARE, FAN = 1 << 23, 16
 #: Distinct words that a counting task holds before it passes them on.
@@ -98,7 +100,7 @@ def _counted(batches):
 
 def count_words(texts: DataFrame) -> DataFrame:
     """word (binary), c over texts (text binary); summed up in each task before the shuffle."""
-    return texts.select("text").mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(task(_counted, None), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def classes_of(words: list[bytes], seed: int = 5) -> np.ndarray:
@@ -156,16 +158,27 @@ class Layout:
         return cls(place[:, 0], place[:, 1], class_off.astype(np.float32), slot_off.astype(np.float32))
 
 
-def contexts(s: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """Feature rows of positions (all by default) in a text of context ids: the word before, the one before that, the third back, and the pair before."""
-    padded = np.concatenate([np.full(3, START), s]).astype(np.int64)
+def contexts(s: np.ndarray, at: np.ndarray | None = None, starts: np.ndarray | None = None) -> np.ndarray:
+    """Feature rows of positions (all by default): the word before, the one before that, the third back, and the pair before.
+
+    `s` holds the context ids of texts one after the other, which begin at `starts` (one text by default).
+    """
     at = np.arange(len(s)) if at is None else at
-    one, two, three = padded[at + 2], padded[at + 1], padded[at]
+    before = at if starts is None else at - starts[np.searchsorted(starts, at, "right") - 1]
+    one, two, three = (np.where(before >= k, s[np.maximum(at - k, 0)], START).astype(np.int64) for k in (1, 2, 3))
     width = NEAR + 1
     pair = ((one * 0x9E3779B1 + two * 0x85EBCA6B) >> 7) % PAIR_ROWS
     return np.stack([one, width + two, 2 * width + three, 3 * width + pair], 1)
 
 
+def flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The 16-bit ids of a column of texts one after the other, and where each text begins."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, "<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    first, last = int(offsets[0]), int(offsets[-1])
+    return np.frombuffer(data, "<u2", (last - first) // 2, first) if last > first else np.zeros(0, "<u2"), (offsets[:-1] - first) // 2
+
+
 CLASS_ROWS = 3 * (NEAR + 1) + PAIR_ROWS
 
 
@@ -251,11 +264,12 @@ class Model:
     def copy(self) -> Model:
         return Model(self.layout, self.w1.copy(), self.w2.copy(), self.seen1.copy(), self.seen2.copy())
 
-    def log_probs(self, symbols: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
-        """Natural log probability of every symbol of a text, in sparse batches; `near` are its context ids if they differ."""
-        out, rows = np.empty(len(symbols)), contexts(symbols if near is None else near)
+    def log_probs(self, symbols: np.ndarray, near: np.ndarray | None = None, starts: np.ndarray | None = None) -> np.ndarray:
+        """Natural log probability of every symbol of texts, in sparse batches; `near` are their context ids if they differ."""
+        out, near = np.empty(len(symbols)), symbols if near is None else near
         for at in range(0, len(symbols), BATCH):
-            s, r = symbols[at : at + BATCH].astype(np.int64), rows[at : at + BATCH]
+            s = symbols[at : at + BATCH].astype(np.int64)
+            r = contexts(near, np.arange(at, at + len(s)), starts)
             c, k = self.layout.cls[s], self.layout.slot[s]
             z = _logits(self.w1, r)
             z += self.layout.class_off
@@ -296,14 +310,15 @@ def _gradients(model, round_: int, rounds: int):
             rows, symbols, n = [r[at:]], [s[at:]], max(0, len(s) - at)
 
         for b in batches:
-            for uid, data, around in zip(*(b.column(c).to_pylist() for c in ("uid", "symbols", "near"))):
-                s = np.frombuffer(data, "<u2").astype(np.int64)
-                pick = np.arange((uid + round_) % rounds, len(s), rounds)
-                if len(pick):
-                    rows.append(contexts(np.frombuffer(around, "<u2"), pick))
-                    symbols.append(s[pick])
-                    n += len(pick)
-                if n >= 16 * BATCH:
+            (s, starts), (near, _), uid = flat(b.column("symbols")), flat(b.column("near")), b.column("uid").to_numpy()
+            for first in range(0, len(s), PASS):
+                at = np.arange(first, min(first + PASS, len(s)))
+                text = np.searchsorted(starts, at, "right") - 1
+                at = at[(at - starts[text] - uid[text] - round_) % rounds == 0]
+                rows.append(contexts(near, at, starts))
+                symbols.append(s[at].astype(np.int64))
+                n += len(at)
+                if n >= 8 * BATCH:
                     step(BATCH)
         if n:
             step(1)
@@ -352,7 +367,7 @@ def train(encoded: DataFrame, layout: Layout, rounds: int = ROUNDS, tokens: int
     texts = texts.coalesce(shares)
     for r in range(rounds):
         sent = context.broadcast(model)
-        moved, lanes = texts.mapInArrow(_gradients(sent, r, rounds), _DELTA), shares
+        moved, lanes = texts.mapInArrow(task(_gradients(sent, r, rounds), 2_000), _DELTA), shares
         while True:
             moved = moved.withColumn("lane", F.floor(F.col("lane") / FAN).cast("int")).groupBy("lane", "kind", "at").applyInArrow(_averaged, _DELTA)
             lanes = -(-lanes // FAN)
@@ -443,19 +458,20 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, head: int
 
     found = context.broadcast((words, logs, symbol))
     del words, logs, symbol, top
-    encoded = stage(texts.mapInArrow(_encoded(found), _ENCODED).withColumn("uid", F.monotonically_increasing_id()), "encoded")
+    encoded = stage(texts.mapInArrow(task(_encoded(found), None), _ENCODED).withColumn("uid", F.monotonically_increasing_id()), "encoded")
     model = context.broadcast((train(encoded.where("not held_out"), layout, rounds, n_all), log_mass))
 
     def run(batches):
         m, lost = model.value
         for b in batches:
-            scores = []
-            for data, near in zip(b.column("symbols").to_pylist(), b.column("near").to_pylist()):
-                s = np.frombuffer(data, "<u2")
-                scores.append(float(m.log_probs(s, np.frombuffer(near, "<u2")).sum() / np.log(10) - lost[s[s >= WORDS].astype(int) - WORDS].sum()))
+            (s, starts), (near, _) = flat(b.column("symbols")), flat(b.column("near"))
+            found = m.log_probs(s, near, starts) / np.log(10)
+            rare = np.flatnonzero(s >= WORDS)
+            found[rare] -= lost[s[rare].astype(np.int64) - WORDS]
+            scores = np.add.reduceat(found, starts) if len(starts) else found  # no text is without its end
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEPT), pa.array(scores, pa.float64())], [*KEPT, "model_log"])
 
-    scored = encoded.select(*KEPT, "symbols", "near").mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, shared_log double, model_log double")
+    scored = encoded.select(*KEPT, "symbols", "near").mapInArrow(task(run, 2_000), "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, shared_log double, model_log double")
     tail = encoded.select("uid", F.explode("tail").alias("t")).select("uid", "t.word", "t.n").join(counts, "word")
     tail = tail.groupBy("uid").agg(F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail_log"))
     tail_log = F.coalesce("tail_log", F.lit(0.0))
