@@ -31,6 +31,8 @@ ROUNDS, BATCH, RATE = 3, 2_048, 0.6
 PASS = 1 << 15
 #: Training tokens that one task of a round takes, about, and the tasks whose moves are averaged at once.
 SHARE, FAN = 1 << 23, 16
+#: Bytes of texts that are encoded together.
+TEXT_BYTES = 1 << 20
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 400_000
 #: Rows of parameters that travel together.
@@ -67,19 +69,12 @@ class Buckets(dict):
     """`ids_of` rare words, by word."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD:
+        if len(self) >= HELD // 4:
             self.clear()
         self[word] = found = ids_of(word)
         return found
 
 
-def slices(batches, rows: int = 1_000):
-    """Batches cut to few rows, to bound what a task holds at once."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def _counted(batches):
     held: Counter = Counter()
 
@@ -183,9 +178,9 @@ CLASS_ROWS = 3 * (NEAR + 1) + PAIR_ROWS
 
 
 def word_rows(context: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Rows of the features that tell words of a class apart: class with the word before, with the one before that, and alone."""
-    key = np.stack([context[:, 0], context[:, 1], np.full(len(cls), 3 * (NEAR + 1))], 1)
-    return ((key * 0xC2B2AE3D + cls[:, None] * 0x27D4EB2F) >> 9) % WORD_ROWS
+    """Rows of the features that tell words of a class apart: class with the word before and with the one
+    before that. The class alone needs none: the layout's offsets are the words' shares of it."""
+    return ((context[:, :2] * 0xC2B2AE3D + cls[:, None] * 0x27D4EB2F) >> 9) % WORD_ROWS
 
 
 def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -241,7 +236,7 @@ def _summed(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     times = np.diff(np.append(first, len(flat)))
     by_times = np.argsort(-times, kind="stable")
     first, times = first[by_times], times[by_times]
-    at = order // rows.shape[1]
+    at = order >> 1 if rows.shape[1] == 2 else order >> 2 if rows.shape[1] == 4 else order // rows.shape[1]
     total = g.take(at[first], 0)
     for k in range(1, 8):
         many = int(np.searchsorted(-times, -k))  # rows that occur more than k times
@@ -289,7 +284,9 @@ class Model:
             which, times, total = _summed(at, g)
             seen[which] += times
             total *= (rate / (np.sqrt(seen[which]) * np.sqrt(times))).astype(np.float32)[:, None]
-            weights[which] = weights.take(which, 0) - total
+            moved = weights.take(which, 0)
+            moved -= total
+            weights[which] = moved
 
 
 def _gradients(model, round_: int, rounds: int):
@@ -390,31 +387,39 @@ def _encoded(head):
     def run(batches):
         words, logs, symbol = head.value
         place = dict(zip(words, range(len(words))))
-        logs, symbol, bucket_at = np.append(logs, 0.0), np.append(symbol, 0), Buckets()
-        for b in slices(batches):
-            out, rare_words, rare_counts, ends = [], [], [], [0]
-            for text in b.column("text").to_pylist():
-                tokens = words_of(text)
+        logs, symbol, rare_ids = np.append(logs, 0.0), np.append(symbol, 0), Buckets()
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            size = np.cumsum([len(t or b"") for t in texts])
+            # Texts of TEXT_BYTES at a time, or one that is longer.
+            cuts = [0, *(np.flatnonzero(np.diff(size // TEXT_BYTES)) + 1).tolist(), len(texts)]
+            for first, last in zip(cuts, cuts[1:]):
+                if first == last:
+                    continue
+                tokens = [words_of(t) for t in texts[first:last]]
+                n = np.array([len(t) for t in tokens])
+                tokens = [w for t in tokens for w in t]
+                starts = np.cumsum(n) - n
                 at = np.fromiter(map(place.get, tokens, repeat(-1)), np.int64, len(tokens))
                 s, missing = symbol[at], np.flatnonzero(at < 0)
                 rare = [tokens[i] for i in missing.tolist()]
-                s[missing] = list(map(bucket_at.__getitem__, rare))
-                near, s = s >> 16, s & 0xFFFF
-                tail = Counter(rare)
-                rare_words.extend(tail)
-                rare_counts.extend(tail.values())
-                ends.append(len(rare_words))
-                out.append((len(tokens), len(tokens) - len(rare), float(logs[at].sum()), float(logs[at[s >= WORDS]].sum()), s.astype("<u2").tobytes(), near.astype("<u2").tobytes()))
-            rare_items = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "n"])
-            columns = list(zip(*out)) or [()] * 6
-            plain = [pa.array(c, t) for c, t in zip(columns, ENCODED.types[2:8])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *plain, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare_items)], schema=ENCODED)
+                s[missing] = list(map(rare_ids.__getitem__, rare))
+                near, s = (s >> 16).astype("<u2"), (s & 0xFFFF).astype("<u2")
+                log, rare_ends = logs[at], np.searchsorted(missing, np.append(starts, len(tokens)))
+                offsets = pa.py_buffer((np.append(starts, len(tokens)) * 2).astype("<i4").tobytes())
+                out = b.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([
+                    out.column("doc_id"), out.column("held_out"), pa.array(n, pa.int64()), pa.array(n - np.diff(rare_ends)),
+                    pa.array(np.add.reduceat(log, starts)), pa.array(np.add.reduceat(np.where(s >= WORDS, log, 0), starts)),
+                    *(pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(x.tobytes())]) for x in (s, near)),
+                    pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.array(rare, pa.binary())),
+                ], schema=ENCODED)
 
     return run
 
 
-ENCODED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("head_log", pa.float64()), ("shared_log", pa.float64()), ("symbols", pa.binary()), ("near", pa.binary()), ("tail", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))])
-_ENCODED = "doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, shared_log double, symbols binary, near binary, tail array<struct<word:binary,n:bigint>>"
+ENCODED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("head_log", pa.float64()), ("shared_log", pa.float64()), ("symbols", pa.binary()), ("near", pa.binary()), ("tail", pa.list_(pa.field("element", pa.binary())))])
+_ENCODED = "doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, shared_log double, symbols binary, near binary, tail array<binary>"
 
 
 def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
@@ -458,7 +463,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, head: int
 
     found = context.broadcast((words, logs, symbol))
     del words, logs, symbol, top
-    encoded = stage(texts.mapInArrow(task(_encoded(found), None), _ENCODED).withColumn("uid", F.monotonically_increasing_id()), "encoded")
+    encoded = stage(texts.mapInArrow(task(_encoded(found)), _ENCODED).withColumn("uid", F.monotonically_increasing_id()), "encoded")
     model = context.broadcast((train(encoded.where("not held_out"), layout, rounds, n_all), log_mass))
 
     def run(batches):
@@ -472,8 +477,8 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, head: int
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEPT), pa.array(scores, pa.float64())], [*KEPT, "model_log"])
 
     scored = encoded.select(*KEPT, "symbols", "near").mapInArrow(task(run, 2_000), "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, shared_log double, model_log double")
-    tail = encoded.select("uid", F.explode("tail").alias("t")).select("uid", "t.word", "t.n").join(counts, "word")
-    tail = tail.groupBy("uid").agg(F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail_log"))
+    tail = encoded.select("uid", F.explode("tail").alias("word")).join(counts, "word")
+    tail = tail.groupBy("uid").agg(F.count("*").alias("tail_known"), F.sum(F.log10(F.col("c") + 1)).alias("tail_log"))
     tail_log = F.coalesce("tail_log", F.lit(0.0))
     return scored.join(tail, "uid", "left").select(
         "doc_id",
