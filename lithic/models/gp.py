@@ -15,6 +15,8 @@ from lithic.models.warpings import Warping
 JITTER = 1e-9
 #: Points that an exact model is fitted to, at most: its cost is their cube. Beyond, use SparseGP.
 EXACT_POINTS = 5_000
+#: Rows that a prediction holds covariances of at once.
+PREDICTED = 2_048
 
 
 def minimize(f: Callable[[np.ndarray], float], x: np.ndarray, iterations: int = 200, size: float = 0.3) -> np.ndarray:
@@ -71,7 +73,8 @@ class _Predictor:
             own, z = model.value
             for b in batches:
                 x = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns], 1)
-                got = own.raw(x, len(z), z)
+                parts = [own.raw(x[at : at + PREDICTED], len(z), z) for at in range(0, max(len(x), 1), PREDICTED)]
+                got = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
                 sims = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(z), pa.int32()), pa.array(got["sims"].ravel()))
                 block = pa.StructArray.from_arrays([pa.array(got["mean"]), pa.array(got["variance"]), pa.array(got["explained"]), sims], ["mean", "variance", "explained", "sims"])
                 yield pa.RecordBatch.from_arrays([*b.columns, block], [*b.schema.names, name])

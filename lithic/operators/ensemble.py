@@ -67,32 +67,42 @@ def cutoff_range(df: DataFrame, sims: str, n: int) -> list[float]:
 
 
 def _binned(levels: list[float]):
-    """Per task and (realization, highest cut-off cleared): mass and metal. One row each, however many blocks there are."""
+    """Per task and (realization, highest cut-off cleared): mass and metal. One row each, however many blocks
+    there are; bin 0 clears none and only says that there is such a realization."""
     cuts = np.array(levels)
+    wide = len(cuts) + 1
 
     def run(batches):
-        mass, metal, wide = np.zeros((0, len(cuts) + 1)), np.zeros((0, len(cuts) + 1)), len(cuts) + 1
+        mass, metal, place = np.zeros((0, wide)), np.zeros((0, wide)), np.zeros(0, np.int64)
         for b in batches:
             col = b.column("v")
             n = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            v = col.flatten().to_numpy(zero_copy_only=False).astype(float)
-            row = np.repeat(np.arange(len(n)), n)
-            sim = np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)
-            w = b.column("w").to_numpy(zero_copy_only=False).astype(float)[row]
+            v = col.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+            top = int(n.max(initial=0))
+            if not len(v):
+                continue
+            if (n == top).all():  # as a rule: every row has as many
+                if len(place) != len(v) or place[-1] != (top - 1) * wide:
+                    place = np.tile(np.arange(top) * wide, len(n))
+                sim = place
+            else:
+                sim = (np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)) * wide
+            w = np.repeat(b.column("w").to_numpy(zero_copy_only=False).astype(float, copy=False), n)
             d = b.column("d")
             if d.null_count < len(d):
                 w = w * d.flatten().to_numpy(zero_copy_only=False).astype(float)
-            good = np.isfinite(v) & np.isfinite(w)
-            k = np.searchsorted(cuts, v, "right")
-            good &= k > 0
-            top = int(n.max(initial=0))
+            k, m = np.searchsorted(cuts, v, "right"), w * v
+            good = np.isfinite(m) & np.isfinite(w) & np.isfinite(v)
+            if not good.all():
+                k, w, m = np.where(good, k, 0), np.where(good, w, 0.0), np.where(good, m, 0.0)
             if top > len(mass):
                 grow = np.zeros((top - len(mass), wide))
                 mass, metal = np.concatenate([mass, grow]), np.concatenate([metal, grow])
-            at = (sim * wide + k)[good]
-            w, v = w[good], v[good]
+            at = sim + k
             mass += np.bincount(at, w, mass.size).reshape(mass.shape)
-            metal += np.bincount(at, w * v, mass.size).reshape(mass.shape)
+            metal += np.bincount(at, m, mass.size).reshape(mass.shape)
+        mass[:, 0] = 1
+        metal[:, 0] = 0
         s, k = np.nonzero(mass)
         yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(mass[s, k]), pa.array(metal[s, k])], ["sim", "k", "w", "m"])
 
@@ -115,14 +125,13 @@ def grade_tonnage(df: DataFrame, sims: str, cutoffs: list[float] | int = 30, vol
     paired = isinstance(density, str) and df.schema[density].dataType.typeName() == "array"
     if density is not None and not paired:
         mass = mass * (F.col(density) if isinstance(density, str) else float(density))
-    ready = df.select(F.transform(sims, lambda x: x.cast("double")).alias("v"), mass.cast("double").alias("w"), (F.transform(density, lambda x: x.cast("double")) if paired else F.lit(None).cast("array<double>")).alias("d"))
+    doubles = lambda c: F.col(c) if df.schema[c].dataType.elementType.typeName() == "double" else F.transform(c, lambda x: x.cast("double"))
+    ready = df.select(doubles(sims).alias("v"), mass.cast("double").alias("w"), (doubles(density) if paired else F.lit(None).cast("array<double>")).alias("d"))
     binned = ready.mapInArrow(_binned(levels), "sim int, k int, w double, m double").groupBy("sim", "k").agg(F.sum("w").alias("w"), F.sum("m").alias("m"))
-    # At most (cut-offs) rows per realization: each goes to every cut-off it clears.
-    spread = binned.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    curves = spread.groupBy("sim", "i").agg(F.sum("w").alias("tonnage"), F.sum("m").alias("metal"))
-    frame = df.agg(F.max(F.size(sims)).alias("__n")).select(F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("sim"))
-    frame = frame.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(levels) - 1))))
-    out = frame.join(curves, ["sim", "i"], "left").select("sim", F.element_at(F.array(*map(F.lit, levels)), F.col("i") + 1).alias("cutoff"), F.coalesce("tonnage", F.lit(0.0)).alias("tonnage"), F.coalesce("metal", F.lit(0.0)).alias("metal"))
+    # At most (cut-offs + 1) bins per realization: each counts for every cut-off it clears.
+    curves = binned.groupBy("sim").agg(F.sort_array(F.collect_list(F.struct("k", "w", "m"))).alias("bins")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(levels) - 1))))
+    above = lambda part: F.aggregate(F.filter("bins", lambda b: b["k"] > F.col("i")), F.lit(0.0), lambda t, b: t + b[part])
+    out = curves.select("sim", F.element_at(F.array(*map(F.lit, levels)), F.col("i") + 1).alias("cutoff"), above("w").alias("tonnage"), above("m").alias("metal"))
     return out.withColumn("grade", F.when(F.col("tonnage") > 0, F.col("metal") / F.col("tonnage")))
 
 
