@@ -34,6 +34,20 @@ def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder and read back: short plans, and a lost executor repeats one step.
+
+    The folder is the session's; without one a local folder serves in local mode, and a cluster is refused.
+    """
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(found or "/tmp/checkpoints")
+    return df.checkpoint()
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it holds few rows; as it is otherwise, for Spark to shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

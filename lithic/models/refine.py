@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithic.functions.core import cut
 from lithic.operators.blocks import ORIGIN, BlockSet
 from lithic.operators.ensemble import change_of_support
 
@@ -22,11 +23,6 @@ def refine(model, lattice: BlockSet, blocks: DataFrame, cutoffs: list[float], n_
     Every pass is written to the checkpoint folder, so plans stay short and a lost executor repeats
     one pass; the number of passes is bounded by the number of levels (and balancing within each).
     """
-    spark = blocks.sparkSession
-
-    def cut(df):
-        return df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
-
     def numbered(df):
         side = [d**lattice.max_levels * n for d, n in zip(lattice.discretization, lattice.n)]
         key = (F.col("ox") + F.col("oy") * side[0] + F.col("oz") * side[0] * side[1]) * (lattice.max_levels + 1) + F.col("level")

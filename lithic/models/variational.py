@@ -123,6 +123,10 @@ class Node:
     def moments(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
+    def explained(self, x: np.ndarray) -> np.ndarray:
+        """Share of the prior variance that the data explain; of a unit prior by default."""
+        return np.clip(1 - self.moments(x)[1], 0, 1)
+
 
 class Process(Node):
     """A fitted model as a node of one output."""
@@ -134,6 +138,9 @@ class Process(Node):
         got = self.model.raw(x, 0, np.zeros(0))
         return got["mean"][:, None], got["variance"][:, None]
 
+    def explained(self, x):
+        return self.model.raw(x, 0, np.zeros(0))["explained"][:, None]
+
 
 class Stack(Node):
     def __init__(self, *parents: Node):
@@ -186,9 +193,9 @@ class ProductOfExperts(Node):
 
     def moments(self, x):
         got = [p.moments(x) for p in self.parents]
-        w = np.stack([np.clip(1 - v, 0, 1) / (v + 1e-6) + 1e-6 for _, v in got])
+        w = np.stack([p.explained(x) / (v + 1e-6) + 1e-6 for p, (_, v) in zip(self.parents, got)])
         w /= w.sum(0)
-        return sum(a * m for a, (m, _) in zip(w, got)), sum(a**2 * v for a, (_, v) in zip(w, got))
+        return sum(a * m for a, (m, _) in zip(w, got)), sum(a * v for a, (_, v) in zip(w, got))
 
 
 class Exponentiation(Node):

@@ -274,10 +274,12 @@ class Scale(Warping):
 
 
 class ScaledSimplex(Warping):
-    """Parts over their means; back by projection onto the unit simplex."""
+    """Parts over their means, zeros allowed. Back, a row first gets what it lacks to a sum of one in
+    proportion to the means, and is then drawn towards them just until no part is negative."""
 
     def initialize(self, x, weights=None):
-        self.mean = np.average(x, axis=0, weights=weights)
+        whole = np.isfinite(x).all(1)
+        self.mean = np.average(x[whole], axis=0, weights=None if weights is None else np.asarray(weights)[whole])
         return self
 
     def forward(self, x):
@@ -285,9 +287,6 @@ class ScaledSimplex(Warping):
 
     def backward(self, z):
         v = z * self.mean
-        s = -np.sort(-v, axis=1)
-        c = np.cumsum(s, 1)
-        k = np.arange(1, v.shape[1] + 1)
-        n = (1 + k * s > c).sum(1)
-        tau = (c[np.arange(len(v)), n - 1] - 1) / n
-        return np.maximum(v - tau[:, None], 0)
+        v = v + (1 - v.sum(1, keepdims=True)) * self.mean
+        needed = np.where(v < 0, -v / np.where(v < 0, self.mean - v, 1.0), 0.0).max(1, keepdims=True)
+        return np.maximum(v + needed * (self.mean - v), 0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lithic.functions.core import cut
 from lithic.operators.lattice import Grid
 from lithic.operators.mesh import assign_from_solid, corners, drop_degenerate, weld
 
@@ -90,38 +91,79 @@ def contour(grid: Grid, values: DataFrame, column: str, level: float, close: flo
     return points, drop_degenerate(points, face)
 
 
-def triangle_distances(points: np.ndarray, tri: np.ndarray) -> np.ndarray:
-    """Distance of each point to the nearest of some triangles, block by block."""
-    a, b, c = tri[:, 0], tri[:, 1], tri[:, 2]
+def triangle_distances_each(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distances of points to triangles, by broadcasting over all but the last axis."""
     ab, ac = b - a, c - a
-    d00, d01, d11 = (ab * ab).sum(1), (ab * ac).sum(1), (ac * ac).sum(1)
+    d00, d01, d11 = (ab * ab).sum(-1), (ab * ac).sum(-1), (ac * ac).sum(-1)
     det = np.maximum(d00 * d11 - d01 * d01, 1e-300)
-    out = np.full(len(points), np.inf)
 
-    def to_edge(p, s, e):
+    def to_edge(s, e):
         t = np.clip(((p - s) * e).sum(-1) / np.maximum((e * e).sum(-1), 1e-300), 0, 1)
         return ((p - s - t[..., None] * e) ** 2).sum(-1)
 
-    for at in range(0, len(points), max(1, 400_000 // max(len(tri), 1))):
-        z = slice(at, at + max(1, 400_000 // max(len(tri), 1)))
-        p = points[z, None]
-        ap = p - a
-        d20, d21 = (ap * ab).sum(-1), (ap * ac).sum(-1)
-        v, w = (d11 * d20 - d01 * d21) / det, (d00 * d21 - d01 * d20) / det
-        inside = (v >= 0) & (w >= 0) & (v + w <= 1)
-        plane = ((ap - v[..., None] * ab - w[..., None] * ac) ** 2).sum(-1)
-        edge = np.minimum(np.minimum(to_edge(p, a, ab), to_edge(p, a, ac)), to_edge(p, b, c - b))
-        out[z] = np.sqrt(np.where(inside, plane, edge).min(1))
+    ap = p - a
+    d20, d21 = (ap * ab).sum(-1), (ap * ac).sum(-1)
+    v, w = (d11 * d20 - d01 * d21) / det, (d00 * d21 - d01 * d20) / det
+    inside = (v >= 0) & (w >= 0) & (v + w <= 1)
+    plane = ((ap - v[..., None] * ab - w[..., None] * ac) ** 2).sum(-1)
+    edge = np.minimum(np.minimum(to_edge(a, ab), to_edge(a, ac)), to_edge(b, c - b))
+    return np.sqrt(np.where(inside, plane, edge))
+
+
+def triangle_distances(points: np.ndarray, tri: np.ndarray) -> np.ndarray:
+    """Each point's distance to the nearest of the triangles (n, 3, 3)."""
+    out, step = np.full(len(points), np.inf), max(1, 400_000 // max(len(tri), 1))
+    for at in range(0, len(points) if len(tri) else 0, step):
+        out[at : at + step] = triangle_distances_each(points[at : at + step, None], *(tri[None, :, k] for k in range(3))).min(1)
     return out
 
 
-def signed_distance(points: DataFrame, vertex: DataFrame, face: DataFrame, id_col: str = "loc_id") -> DataFrame:
-    """Points with `distance` to a solid's surface, negative inside; every task gets the faces, whose number is checked."""
-    rows = corners(vertex, face).select(*(f"{k}{c}" for k in "abc" for c in "xyz")).limit(DISTANCE_FACES + 1).toPandas().to_numpy(float)
-    if len(rows) > DISTANCE_FACES:
-        raise ValueError(f"over {DISTANCE_FACES} faces; simplify the mesh or clip it to the points' box")
-    sent = points.sparkSession.sparkContext.broadcast(rows.reshape(-1, 3, 3))
+def face_distances(points: DataFrame, full: DataFrame, id_col: str = "loc_id") -> DataFrame:
+    """Each point's distance to the nearest of any number of faces (corners ax .. cz): id and distance.
+
+    Faces are dealt over cubes that their boxes meet; a point meets the faces of its own and the
+    adjoining cubes, and those whose answer may lie beyond are searched again with larger cubes.
+    """
+    low, high = ({c: f(*(F.col(f"{k}{c}") for k in "abc")) for c in "xyz"} for f in (F.least, F.greatest))
+    reach = F.greatest(*(high[c] - low[c] for c in "xyz"))
+    mean, most = full.agg(F.avg(reach), F.max(reach)).first()
+    todo, done = points.where("abs(x) + abs(y) + abs(z) < double('infinity')").select(id_col, *"xyz"), None
+    if most is None:
+        return todo.select(id_col, F.lit(None).cast("double").alias("distance"))
+    side = max(mean, most / 16) or 1.0  # no face meets more than some thousands of cubes
+
+    def measured(batches):
+        for b in batches:
+            x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c != id_col}
+            corner = {k: np.stack([x[f"{k}{c}"] for c in "xyz"], 1) for k in "abc"}
+            d = triangle_distances_each(np.stack([x[c] for c in "xyz"], 1), corner["a"], corner["b"], corner["c"])
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(d)], [id_col, "distance"])
+
+    schema = T.StructType([points.schema[id_col], T.StructField("distance", T.DoubleType())])
+    while True:
+        a, b = todo, full.select(*(f"{k}{c}" for k in "abc" for c in "xyz"))
+        for c in "xyz":
+            here = F.floor(F.col(c) / side)
+            a = a.withColumn(f"__{c}", F.explode(F.array(here - 1, here, here + 1)))
+            b = b.withColumn(f"__{c}", F.explode(F.sequence(F.floor(low[c] / side), F.floor(high[c] / side))))
+        pairs = a.join(b, [f"__{c}" for c in "xyz"]).drop(*(f"__{c}" for c in "xyz")).mapInArrow(measured, schema)
+        sure = cut(pairs.groupBy(id_col).agg(F.min("distance").alias("distance")).where(F.col("distance") <= side))
+        done = sure if done is None else done.union(sure)
+        todo = cut(todo.join(sure.select(id_col), id_col, "left_anti"))
+        if todo.isEmpty():
+            return done
+        side *= 2
+
+
+def signed_distance(points: DataFrame, vertex: DataFrame, face: DataFrame, id_col: str = "loc_id", broadcast_faces: int = DISTANCE_FACES) -> DataFrame:
+    """Points with `distance` to a solid's surface, negative inside. Every task gets the faces if they are few (checked); otherwise see `face_distances`."""
+    full = corners(vertex, face)
+    rows = full.select(*(f"{k}{c}" for k in "abc" for c in "xyz"))
     sided = assign_from_solid(points, vertex, face, "__side", id_col=id_col)
+    if rows.limit(broadcast_faces + 1).count() > broadcast_faces:
+        sign = F.when(F.col("__side") == "inside", -1.0).otherwise(1.0)
+        return sided.join(face_distances(points, full, id_col), id_col, "left").withColumn("distance", sign * F.col("distance")).drop("__side")
+    sent = points.sparkSession.sparkContext.broadcast(rows.toPandas().to_numpy(float).reshape(-1, 3, 3))
 
     def run(batches):
         for b in batches:

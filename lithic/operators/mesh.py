@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithic.operators.connect import connected
+
 XYZ = ("x", "y", "z")
 #: Faces up to which a mesh is joined by broadcast.
 BROADCAST_FACES = 500_000
@@ -129,19 +131,11 @@ def single_valued(vertex: DataFrame, face: DataFrame, tolerance: float = 1e-9) -
     return low >= -bound or high <= bound
 
 
-def pieces(face: DataFrame, rounds: int = 60) -> DataFrame:
-    """Faces with `piece`, the least vertex that their connected piece contains: labels spread over shared vertices."""
-    spread = face.select("f", F.explode(F.array("a", "b", "c")).alias("v"))
-    label = spread.groupBy("f").agg(F.min("v").alias("piece"))
-    for _ in range(rounds):
-        by_vertex = spread.join(label, "f").groupBy("v").agg(F.min("piece").alias("piece"))
-        fresh = spread.join(by_vertex, "v").groupBy("f").agg(F.min("piece").alias("piece"))
-        fresh = fresh.checkpoint() if face.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else fresh.persist()
-        same = fresh.join(label, ["f", "piece"], "left_anti").isEmpty()
-        label = fresh
-        if same:
-            break
-    return face.join(label, "f")
+def pieces(face: DataFrame) -> DataFrame:
+    """Faces with `piece`, the least vertex that their connected piece contains."""
+    sides = face.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("w")), F.struct(F.col("b").alias("u"), F.col("c").alias("w")))).alias("e")).select("e.u", "e.w")
+    roots = connected(sides).withColumnRenamed("node", "a").withColumnRenamed("root", "piece")
+    return face.join(roots, "a", "left").select(*face.columns, F.coalesce("piece", "a").alias("piece"))
 
 
 @dataclass(frozen=True)
@@ -160,7 +154,7 @@ class PlanIndex:
             cell = full.agg(F.avg(F.greatest(high["x"] - low["x"], high["y"] - low["y"]))).first()[0] or 1.0
         span = {c: F.sequence(F.floor(low[c] / cell), F.floor(high[c] / cell)) for c in "xy"}
         placed = full.withColumn("__i", F.explode(span["x"])).withColumn("__j", F.explode(span["y"]))
-        n = full.limit(BROADCAST_FACES + 1).count()
+        n = placed.limit(BROADCAST_FACES + 1).count()
         return cls(F.broadcast(placed) if n <= BROADCAST_FACES else placed, float(cell))
 
     def hits(self, points: DataFrame, id_col: str) -> DataFrame:

@@ -128,16 +128,39 @@ def entropy(probabilities: Column) -> Column:
     return F.when(F.size(probabilities) > 1, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.log(F.size(probabilities).cast("double"))).otherwise(0.0)
 
 
-def conformal_nominal(df: DataFrame, pit: str, coverages: list[float]) -> dict[float, float]:
+def conformal_nominal(df: DataFrame, pit: str, coverages: list[float], bins: int = 4096, steps: int = 4) -> dict[float, float]:
     """For each coverage twice the order statistic of |PIT - 1/2| at its finite-sample rank; 1 beyond the last.
 
-    Order statistics come from one distributed percentile aggregate, so nothing is sorted in one task.
+    The order statistics come from histograms, each over the bin of the one before that holds the rank,
+    so no task sorts all scores; after the last step a bin is narrower than a double's spacing.
     """
-    scores = df.where(F.col(pit).isNotNull()).select(F.abs(F.col(pit) - 0.5).alias("s"))
+    scores = df.where(F.col(pit).isNotNull() & ~F.isnan(pit)).select(F.abs(F.col(pit).cast("double") - 0.5).alias("s"))
     n = scores.count()
-    ranks = {c: math.ceil((n + 1) * c - 1e-12) for c in coverages}
-    inside = {c: r for c, r in ranks.items() if 1 <= r <= n}
-    if not inside:
-        return dict.fromkeys(coverages, 1.0)
-    found = scores.agg(F.percentile("s", [(r - 1) / max(n - 1, 1) for r in inside.values()]).alias("p")).first()["p"]
-    return dict.fromkeys(coverages, 1.0) | {c: min(1.0, 2 * v) for c, v in zip(inside, found)}
+    if not n:
+        raise ValueError("there are no PIT values to calibrate on")
+    out = dict.fromkeys(coverages, 1.0)
+    for c in coverages:
+        rank = math.ceil((n + 1) * c - 1e-12)
+        if not 1 <= rank <= n:
+            continue
+        low, high, rest = 0.0, 0.5, rank
+        for _ in range(steps):
+            width = (high - low) / bins
+            at = F.least(F.floor((F.col("s") - low) / width), F.lit(bins - 1))
+            counts = sorted(scores.where(F.col("s").between(low, high)).groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).collect())
+            for _, k, lo, hi in counts:
+                if rest <= k:
+                    break
+                rest -= k
+            low, high = lo, hi
+            if lo == hi:
+                break
+        out[c] = min(1.0, 2 * low)
+    return out
+
+
+def conformal_interval(df: DataFrame, samples: str, level: float, low: str = "lower", high: str = "upper") -> DataFrame:
+    """`df` with the central interval of each row's samples at a calibrated level."""
+    s = F.array_sort(clean(F.col(samples)))
+    ends = let(s, lambda a: F.struct(sorted_quantile(a, max(0.0, 0.5 - level / 2)).alias("l"), sorted_quantile(a, min(1.0, 0.5 + level / 2)).alias("h")))
+    return df.withColumn("__e", ends).withColumns({low: F.col("__e.l"), high: F.col("__e.h")}).drop("__e")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithic.functions.core import small_side
+from lithic.functions.core import cut, small_side
 
 
 def cell_counts(points: DataFrame, columns: list[str], cell: float | list[float], origins: int = 4, id_col: str = "loc_id") -> DataFrame:
@@ -112,32 +112,32 @@ def variogram_score(points: DataFrame, columns: list[str], truth: str, sims: str
     return pairs.agg(F.avg((seen - expected) * (seen - expected)).alias("score"), F.count("*").alias("pairs"))
 
 
-def nearest(left: DataFrame, right: DataFrame, columns: list[str], cell: float, left_id: str = "loc_id", right_id: str = "loc_id", rounds: int = 24) -> DataFrame:
-    """Each left point's nearest right point: left id, right id, distance.
+def nearest(left: DataFrame, right: DataFrame, columns: list[str], cell: float, left_id: str = "loc_id", right_id: str = "loc_id") -> DataFrame:
+    """Each left point's nearest right point: left id, right id (the least of several as near), distance.
 
     Cells of side `cell` are searched first; points whose answer may lie outside the neighbours are
-    searched again with cells twice as large, until none is left. Every round is an equi-join.
+    searched again with larger cells, until none is left. Every round is an equi-join. Points with a
+    coordinate that is null or not finite have no distance and no row; without right points there are none.
     """
-    todo, done = left.select(F.col(left_id).alias("l_id"), *(F.col(c).alias(f"l_{c}") for c in columns)), None
-    r = right.select(F.col(right_id).alias("r_id"), *(F.col(c).alias(f"r_{c}") for c in columns))
-    moves = [o for o in itertools.product((-1, 0, 1), repeat=len(columns))]
-    offsets = F.array(*(F.struct(*(F.lit(v).cast("long").alias(f"o{i}") for i, v in enumerate(o))) for o in moves))
-    for k in range(rounds):
-        side = cell * 2**k
+    finite = lambda df: df.where(" AND ".join(f"abs(`{c}`) < double('infinity')" for c in columns))  # noqa: E731  also false for null and NaN
+    todo, done = finite(left).select(F.col(left_id).alias("l_id"), *(F.col(c).alias(f"l_{c}") for c in columns)), None
+    r = finite(right).select(F.col(right_id).alias("r_id"), *(F.col(c).alias(f"r_{c}") for c in columns))
+    if r.isEmpty():
+        todo = todo.where("false")
+    offsets = F.array(*(F.struct(*(F.lit(v).cast("long").alias(f"o{i}") for i, v in enumerate(o))) for o in itertools.product((-1, 0, 1), repeat=len(columns))))
+    side, rounds = cell, 0
+    while True:
         a = todo.withColumn("m", F.explode(offsets)).withColumns({f"k{i}": F.floor(F.col(f"l_{c}") / side).cast("long") + F.col(f"m.o{i}") for i, c in enumerate(columns)}).drop("m")
         b = r.withColumns({f"k{i}": F.floor(F.col(f"r_{c}") / side).cast("long") for i, c in enumerate(columns)})
         h = F.sqrt(sum(((F.col(f"l_{c}") - F.col(f"r_{c}")) ** 2 for c in columns), F.lit(0.0)))
         best = a.join(b, [f"k{i}" for i in range(len(columns))]).withColumn("distance", h).groupBy("l_id").agg(F.min(F.struct("distance", "r_id")).alias("best"))
-        sure = best.where(F.col("best.distance") <= side).select("l_id", "best.r_id", "best.distance").checkpoint() if _can_checkpoint(left) else best.where(F.col("best.distance") <= side).select("l_id", "best.r_id", "best.distance").persist()
+        sure = cut(best.where(F.col("best.distance") <= side).select("l_id", "best.r_id", "best.distance"))
         done = sure if done is None else done.union(sure)
-        todo = todo.join(sure.select("l_id"), "l_id", "left_anti")
+        todo = cut(todo.join(sure.select("l_id"), "l_id", "left_anti"))
         if todo.isEmpty():
-            break
-    return done
-
-
-def _can_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+            return done
+        rounds += 1
+        side *= 2 if rounds < 6 else 8
 
 
 def snap_distinct(sources: list[DataFrame], columns: list[str], tolerance: float = 0.0) -> DataFrame:

@@ -104,12 +104,12 @@ def composite_domain(spark, sf_dir):
 
 
 def _gappy(spark, sf_dir):
-    return lineitem_intervals(spark, sf_dir).where("l_linenumber % 3 <> 0")
+    """All intervals, those of status F ending half way: gaps follow them."""
+    return lineitem_intervals(spark, sf_dir).withColumn("t", F.when(F.col("status") == "F", (F.col("f") + F.col("t")) / 2).otherwise(F.col("t")))
 
 
 def _collar(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders")
-    return orders.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("hole"), F.lit(150.0).alias("length"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("hole"), F.lit(150.0).alias("length"))
 
 
 def validate_intervals(spark, sf_dir):
@@ -160,8 +160,8 @@ def common_support(spark, sf_dir):
 
 def asof_last_event(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    left, right = e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")
-    return asof_last(left, right.select("user_id", "ts", F.col("event_id").alias("last_id"), F.col("value").alias("last_value")), "user_id", "ts", ["last_id", "last_value"], "last_id").select("event_id", F.coalesce("last_id", F.lit(-1)).alias("last_id"), F.coalesce("last_value", F.lit(-1.0)).alias("last_value"))
+    late = e.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    return asof_last(e, late.select("user_id", "ts", F.col("event_id").alias("last_id"), F.col("value").alias("last_value")), "user_id", "ts", ["last_id", "last_value"], "last_id").select("event_id", F.coalesce("last_id", F.lit(-1)).alias("last_id"), F.coalesce("last_value", F.lit(-1.0)).alias("last_value"))
 
 
 _DOMAIN = (
@@ -171,11 +171,12 @@ brk AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR abs(f - lag(t) OVER w) > 1e
 isl AS (SELECT *, sum(b) OVER (PARTITION BY hole ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS r FROM brk),
 run AS (SELECT hole, min(f) AS f, max(t) AS t, min(lith) AS lith FROM isl GROUP BY hole, r)"""
 )
-_ALL, _GAPPY = _DOMAIN.replace("{src}", "iv"), _DOMAIN.replace("{src}", "(SELECT * FROM iv WHERE l_linenumber % 3 <> 0)")
+_CUT = "(SELECT * REPLACE (CASE WHEN status = 'F' THEN (f + t) / 2 ELSE t END AS t) FROM iv)"
+_ALL, _GAPPY = _DOMAIN.replace("{src}", "iv"), _DOMAIN.replace("{src}", _CUT)
 _CONTACTS = """
   SELECT hole, t AS depth, lith AS above, nl AS below FROM (SELECT *, lead(lith) OVER w AS nl, lead(f) OVER w AS nf FROM run WINDOW w AS (PARTITION BY hole ORDER BY f, t))
   WHERE nf IS NOT NULL AND abs(nf - t) <= 1e-6 AND lith IS DISTINCT FROM nl"""
-_COLLAR = "col AS (SELECT o_orderkey AS hole, 150.0::DOUBLE AS length FROM orders WHERE o_orderkey % 5 <> 0)"
+_COLLAR = "col AS (SELECT o_orderkey AS hole, 150.0::DOUBLE AS length FROM orders)"
 
 SQL = {
     "composite_mean": f"WITH {SQL_RUNS} SELECT hole, f, t, round(sum(o * grade) / sum(o), 6) AS grade FROM pairs GROUP BY hole, f, t",
@@ -191,13 +192,13 @@ SQL = {
         rr AS (SELECT hole, f + i * 25.0 AS f, CASE WHEN i = k - 1 THEN t ELSE f + (i + 1) * 25.0 END AS t FROM (SELECT *, unnest(range(0, k)) AS i FROM cut))
         SELECT r.hole, r.f, r.t, round(sum((least(r.t, s.t) - greatest(r.f, s.f)) * s.grade) / sum(least(r.t, s.t) - greatest(r.f, s.f)), 6) AS grade
         FROM rr r JOIN iv s ON r.hole = s.hole AND r.f < s.t AND s.f < r.t GROUP BY ALL""",
-    "validate_intervals": f"""WITH {SQL_INTERVALS}, {_COLLAR}, g AS (SELECT hole, f, t, lag(t) OVER (PARTITION BY hole ORDER BY f, t) AS e FROM iv WHERE l_linenumber % 3 <> 0)
+    "validate_intervals": f"""WITH {SQL_INTERVALS}, {_COLLAR}, g AS (SELECT hole, f, t, lag(t) OVER (PARTITION BY hole ORDER BY f, t) AS e FROM {_CUT})
         SELECT hole, f, t, 'non-positive length' AS issue, 'error' AS severity FROM g WHERE t <= f
         UNION ALL SELECT hole, f, t, 'overlaps the previous interval', 'error' FROM g WHERE f < e - 1e-6
         UNION ALL SELECT hole, f, t, 'gap after the previous interval', 'warning' FROM g WHERE f > e + 1e-6
         UNION ALL SELECT hole, f, t, 'hole is not in the collar table', 'error' FROM g ANTI JOIN col USING (hole)
         UNION ALL SELECT g.hole, f, t, 'interval runs past the end of the hole', 'warning' FROM g JOIN col USING (hole) WHERE t > length + 1e-6""",
-    "fill_unlogged": f"""WITH {SQL_INTERVALS}, {_COLLAR}, g AS (SELECT hole, f, t, CASE WHEN lith <> 'N' THEN lith ELSE 'waste' END AS lith, lag(t) OVER (PARTITION BY hole ORDER BY f, t) AS e FROM iv WHERE l_linenumber % 3 <> 0),
+    "fill_unlogged": f"""WITH {SQL_INTERVALS}, {_COLLAR}, g AS (SELECT hole, f, t, CASE WHEN lith <> 'N' THEN lith ELSE 'waste' END AS lith, lag(t) OVER (PARTITION BY hole ORDER BY f, t) AS e FROM {_CUT}),
         x AS (SELECT c.hole, length, coalesce(min(f), 0) AS top, coalesce(max(t), 0) AS bottom FROM col c LEFT JOIN g USING (hole) GROUP BY ALL)
         SELECT hole, f, t, lith FROM g UNION ALL SELECT hole, e, f, 'waste' FROM g WHERE f > e + 1e-6
         UNION ALL SELECT hole, 0.0, top, 'waste' FROM x WHERE top > 1e-6 UNION ALL SELECT hole, bottom, length, 'waste' FROM x WHERE length > bottom + 1e-6""",
@@ -210,10 +211,10 @@ SQL = {
     "hole_extent": f"WITH {SQL_INTERVALS} SELECT hole, min(f) AS f, max(t) AS t FROM iv GROUP BY hole",
     "filter_whole_holes": f"WITH {SQL_INTERVALS} SELECT hole, f, t, lith FROM iv WHERE hole IN (SELECT hole FROM iv WHERE lith = 'A')",
     "subset_collars": "SELECT l_orderkey AS hole, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 100 AND 900 AND o_totalprice BETWEEN 50000 AND 200000) GROUP BY 1",
-    "common_support": f"WITH {SQL_INTERVALS} SELECT hole, f, t, count(*) AS n_a, 0::BIGINT AS n_b FROM iv WHERE l_linenumber % 3 = 0 GROUP BY hole, f, t",
+    "common_support": f"WITH {SQL_INTERVALS} , a AS (SELECT hole, f, t, count(*) AS n_a FROM iv GROUP BY ALL), b AS (SELECT hole, f, t, count(*) AS n_b FROM {_CUT} GROUP BY ALL) SELECT hole, f, t, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b FROM a FULL JOIN b USING (hole, f, t) WHERE coalesce(n_a, 0) <> coalesce(n_b, 0)",
     "asof_last_event": """SELECT event_id, coalesce(last_id, -1) AS last_id, coalesce(last_value, -1) AS last_value FROM (
         SELECT l.event_id, r.event_id AS last_id, r.value AS last_value, row_number() OVER (PARTITION BY l.event_id ORDER BY r.ts DESC, r.event_id DESC) AS k
-        FROM events l LEFT JOIN events r ON l.user_id = r.user_id AND r.ts <= l.ts AND r.event_id % 2 = 1 WHERE l.event_id % 2 = 0) WHERE k = 1""",
+        FROM events l LEFT JOIN events r ON l.user_id = r.user_id AND r.ts + INTERVAL 1 HOUR <= l.ts) WHERE k = 1""",
 }
 
 SQL = {k: v.replace("round(", "round(3e-10 + ") for k, v in SQL.items()}

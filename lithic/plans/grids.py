@@ -89,11 +89,11 @@ def variogram_2d(spark, sf_dir):
 def nearest(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("loc_id"), F.col("c_acctbal").alias("x"))
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("loc_id"), F.col("s_acctbal").alias("x"))
-    return _rounded(spatial.nearest(c, s, ["x"], 50.0).select("l_id", "distance"), "distance")
+    return _rounded(spatial.nearest(c, s, ["x"], 50.0), "distance")
 
 
 def balanced_folds(spark, sf_dir):
-    return spatial.balanced_folds(read(spark, sf_dir, "customer"), "c_nationkey", 5).groupBy("fold").agg((F.sum("n") > 0).alias("filled"), F.count("*").alias("groups")).select("fold", "filled")
+    return spatial.balanced_folds(read(spark, sf_dir, "customer"), "c_nationkey", 5)
 
 
 def composition_clr(spark, sf_dir):
@@ -170,8 +170,11 @@ SQL = {
     "variogram_2d": """WITH p AS (SELECT p_partkey AS id, (p_partkey % 40)::DOUBLE AS x, floor(p_partkey / 40.0) AS y, p_retailprice AS v FROM part),
         q AS (SELECT sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS h, a.v - b.v AS d, abs(a.x - b.x) AS dx FROM p a JOIN p b ON a.id < b.id AND abs(a.x - b.x) <= 6 AND abs(a.y - b.y) <= 6)
         SELECT least(floor(h / 1.0), 5)::INT AS lag, count(*) AS pairs, round(avg(h), 6) AS distance, round(avg(d * d) / 2, 6) AS gamma FROM q WHERE h > 0 AND h <= 6 AND dx >= h * cos(radians(30)) - 1e-12 GROUP BY 1""",
-    "nearest": "SELECT c_custkey AS l_id, round(min(abs(c_acctbal - s_acctbal)), 6) AS distance FROM customer, supplier GROUP BY 1",
-    "balanced_folds": "SELECT i::INT AS fold, true AS filled FROM range(0, 5) t(i)",
+    "nearest": "SELECT c_custkey AS l_id, min({d: sqrt(pow(c_acctbal - s_acctbal, 2)), k: s_suppkey}).k AS r_id, round(min(abs(c_acctbal - s_acctbal)), 6) AS distance FROM customer, supplier GROUP BY 1",
+    "balanced_folds": """WITH RECURSIVE g AS (SELECT c_nationkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_nationkey) AS k FROM customer GROUP BY 1),
+        s AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS filled, -1 AS fold
+          UNION ALL SELECT g.k, list_transform(filled, lambda v, i: CASE WHEN i = list_position(filled, list_min(filled)) THEN v + g.n ELSE v END), list_position(filled, list_min(filled)) - 1 FROM s JOIN g ON g.k = s.k + 1)
+        SELECT c_nationkey, n, fold::INT AS fold FROM g JOIN s USING (k)""",
     "composition_clr": f"WITH {_PTS}, z AS (SELECT ln(a / (a + b + c)) AS a, ln(b / (a + b + c)) AS b, ln(c / (a + b + c)) AS c FROM p WHERE a > 0 AND b > 0 AND c > 0) SELECT round(a - (a + b + c) / 3, 6) AS z0, round(b - (a + b + c) / 3, 6) AS z1, round(c - (a + b + c) / 3, 6) AS z2 FROM z",
     "aitchison": f"WITH {_PTS} SELECT lith, round(avg(sqrt(2 * (ln(a) - ln(c)) ** 2)), 6) AS distance FROM p WHERE a > 0 AND b > 0 AND c > 0 GROUP BY lith",
     "kernels": f"""WITH {_PTS}, g AS (SELECT DISTINCT x, x / 25 AS d FROM p)

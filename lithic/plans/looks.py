@@ -40,14 +40,14 @@ def weighted_quantiles(spark, sf_dir):
 
 
 def step_path(spark, sf_dir):
-    bins = read(spark, sf_dir, "part").where("p_size % 5 <> 0").groupBy("p_size").agg(F.count("*").cast("double").alias("value"))
-    return explore.step_path(bins.select(F.col("p_size").cast("double").alias("lo"), (F.col("p_size") + 1).cast("double").alias("hi"), "value")).select("k", "x", F.coalesce("y", F.lit(-1.0)).alias("y"))
+    bins = read(spark, sf_dir, "part").groupBy("p_size").agg(F.count("*").cast("double").alias("value"))
+    start = F.col("p_size") + F.floor(F.col("p_size") / 10)  # a gap after every ten bins
+    return explore.step_path(bins.select(start.cast("double").alias("lo"), (start + 1).cast("double").alias("hi"), "value")).select("k", "x", F.coalesce("y", F.lit(-1.0)).alias("y"))
 
 
 def principal_components(spark, sf_dir):
-    rows, _, share = explore.principal_components(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
-    total = rows.agg(F.var_pop("pc_0").alias("a"), F.var_pop("pc_1").alias("b"))
-    return total.select(F.round((F.col("a") + F.col("b")) / 1e6, 2).alias("spread"))
+    rows, _, share = explore.principal_components(read(spark, sf_dir, "part").withColumn("size", F.col("p_size") * 20.0), ["size", "p_retailprice"])
+    return _rounded(rows.select("p_partkey", F.abs("pc_0").alias("first"), F.abs("pc_1").alias("second"), F.lit(float(share[0])).alias("share")), "first", "second", "share")
 
 
 SQL = {
@@ -61,9 +61,11 @@ SQL = {
     "weighted_quantiles": """WITH r AS (SELECT p_brand, p_size::DOUBLE AS v, count(*)::DOUBLE AS w FROM part GROUP BY 1, 2),
         p AS (SELECT p_brand, v, (sum(w) OVER (PARTITION BY p_brand ORDER BY v) - w / 2) / sum(w) OVER (PARTITION BY p_brand) AS p FROM r), b AS (SELECT p_brand, q, max(p) FILTER (p <= q) AS lo, min(p) FILTER (p > q) AS hi, min(p) AS mn FROM p, (VALUES (0.25::DOUBLE), (0.5::DOUBLE)) t(q) GROUP BY p_brand, q)
         SELECT b.p_brand, q AS probability, round(CASE WHEN lo IS NULL THEN y.v WHEN hi IS NULL THEN x.v ELSE x.v + (y.v - x.v) * (q - lo) / (hi - lo) END, 6) AS value FROM b LEFT JOIN p x ON x.p_brand = b.p_brand AND x.p = b.lo LEFT JOIN p y ON y.p_brand = b.p_brand AND y.p = b.hi""",
-    "step_path": """WITH b AS (SELECT p_size::DOUBLE AS lo, p_size + 1.0::DOUBLE AS hi, count(*)::DOUBLE AS value FROM part WHERE p_size % 5 <> 0 GROUP BY p_size), g AS (SELECT *, lag(hi) OVER (ORDER BY lo) AS e FROM b)
+    "step_path": """WITH b AS (SELECT (p_size + p_size // 10)::DOUBLE AS lo, (p_size + p_size // 10 + 1)::DOUBLE AS hi, count(*)::DOUBLE AS value FROM part GROUP BY p_size), g AS (SELECT *, lag(hi) OVER (ORDER BY lo) AS e FROM b)
         SELECT 0 AS k, lo AS x, -1.0::DOUBLE AS y FROM g WHERE e IS NOT NULL AND abs(e - lo) > 1e-12 UNION ALL SELECT 1, lo, value FROM g UNION ALL SELECT 2, hi, value FROM g""",
-    "principal_components": "SELECT round((var_pop(l_quantity) + var_pop(l_extendedprice)) / 1e6, 2) AS spread FROM lineitem",
+    "principal_components": """WITH x AS (SELECT p_partkey, p_size * 20.0::DOUBLE AS x, p_retailprice AS y FROM part), m AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, var_pop(y) AS c, covar_pop(x, y) AS b FROM x),
+        e AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l FROM m), u AS (SELECT *, b / sqrt(b * b + pow(l - a, 2)) AS ux, (l - a) / sqrt(b * b + pow(l - a, 2)) AS uy FROM e)
+        SELECT p_partkey, round(abs((x - mx) * ux + (y - my) * uy), 6) AS first, round(abs((y - my) * ux - (x - mx) * uy), 6) AS second, round(l / (a + c), 6) AS share FROM x, u""",
 }
 SQL = {k: v.replace("round(", "round(3e-10 + ") for k, v in SQL.items()}
 
