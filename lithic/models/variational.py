@@ -142,6 +142,17 @@ class Process(Node):
         return self.model.raw(x, 0, np.zeros(0))["explained"][:, None]
 
 
+class Input(Node):
+    """Coordinates as they are, with variances from other columns or none."""
+
+    def __init__(self, columns: list[int], variances: list[int] = ()):
+        self.columns, self.variances = list(columns), list(variances)
+
+    def moments(self, x):
+        m = x[:, self.columns]
+        return m, x[:, self.variances] if self.variances else np.zeros_like(m)
+
+
 class Stack(Node):
     def __init__(self, *parents: Node):
         self.parents = parents

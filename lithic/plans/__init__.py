@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lithic.plans import drillholes, ensembles, grids, looks, traces
+from lithic.plans import drillholes, ensembles, grids, looks, processes, traces
 
-MODULES = (drillholes, grids, ensembles, traces, looks)
+MODULES = (drillholes, grids, ensembles, traces, looks, processes)
 
 
 def queries() -> dict:
