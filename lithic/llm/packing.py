@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
@@ -68,7 +69,7 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters, self.closing = self.tokenizer.model, {}, {}
+        self.model, self.letters, self.closing = self.tokenizer.model, set(), {}
         with open(path, encoding="utf-8") as f:
             self.by_chunk = splits_at_space(json.load(f))
 
@@ -85,11 +86,15 @@ class ChunkIds(dict):
     def _whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _letter(self, c: str) -> bool:
-        """Whether the normalizer keeps this character and the tokenizer joins it with letters on both sides."""
-        if c not in self.letters:
-            self.letters[c] = self.tokenizer.normalizer.normalize_str(c) == c and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}a")) == 1
-        return self.letters[c]
+    def _plain(self, text: str) -> bool:
+        """Whether the normalizer keeps a text and the tokenizer takes all of it as letters."""
+        if not self.letters.issuperset(text):
+            for c in {*text} - self.letters:
+                if self.tokenizer.normalizer.normalize_str(c) != c or len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}a")) != 1:
+                    return False
+                self.letters.add(c)
+        # Characters below U+3000 have composed alike in all versions of Unicode that know them.
+        return unicodedata.is_normalized("NFC", text) if max(text) < "\u3000" else self.tokenizer.normalizer.normalize_str(text) == text
 
     def _closes(self, c: str) -> bool:
         """Whether punctuation after this character, normalized, is split off."""
@@ -100,11 +105,11 @@ class ChunkIds(dict):
     def _ids(self, chunk: bytes) -> bytes:
         if chunk.isalpha() and chunk.islower():
             return np.array([t.id for t in self.model.tokenize(chunk.decode())], "<u4").tobytes()
-        text = chunk.decode("utf-8", "replace")
-        if not chunk.isascii() and all(map(self._letter, text)) and self.tokenizer.normalizer.normalize_str(text) == text:
+        text = None if chunk.isascii() else chunk.decode("utf-8", "replace")
+        if text and text.isalpha() and self._plain(text):
             return np.array([t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(BYTE_LETTERS))], "<u4").tobytes()
         body = chunk.rstrip(PUNCTUATION)
-        if body and len(body) < len(chunk) and b"<|" not in chunk and self._closes(text[len(text) - len(chunk) + len(body) - 1]):
+        if body and len(body) < len(chunk) and b"<|" not in chunk and (body[-1:].isalnum() or (body[-1] > 127 and self._closes(text[len(text) - len(chunk) + len(body) - 1]))):
             return self[body] + self[chunk[len(body) :]]
         return self._whole(chunk)
 
