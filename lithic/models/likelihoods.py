@@ -116,6 +116,55 @@ class Bernoulli(Likelihood):
         return normal_cdf((self.sharpness * mean + self.shift) / np.sqrt(1 + self.sharpness**2 * var))
 
 
+class MaximumMargin(Likelihood):
+    """A sigmoid that is twice as steep within the margin of 1; y is 1 or 0."""
+
+    def __init__(self, rate: float = 1.0):
+        self.rate = float(np.clip(rate, 1e-3, 1e3))
+
+    def _logit(self, f):
+        return self.rate * np.where(np.abs(f) < 1, 2 * f, f + np.sign(f))
+
+    def log_density(self, y, f):
+        return -np.logaddexp(0, -(2 * y - 1) * self._logit(f))
+
+    def predictive_mean(self, mean, var):
+        x, w = gauss_hermite(64)
+        return (1 / (1 + np.exp(-self._logit(mean[:, None] + np.sqrt(var)[:, None] * x)))) @ w
+
+
+class Multivariate(Likelihood):
+    """Several variables, each with noise of its own around its own latent, on the scale of a common warping.
+
+    `parts` has a likelihood per variable, or one for all; the warping (standard scores by default) is
+    taken from data by `initialize`.
+    """
+
+    def __init__(self, parts: list[Likelihood] | Likelihood, n: int | None = None, warping=None):
+        from lithic.models.warpings import ZScore
+
+        self.parts = list(parts) if isinstance(parts, (list, tuple)) else [parts] * int(n)
+        self.warping = warping or ZScore()
+
+    def initialize(self, y: np.ndarray) -> Multivariate:
+        self.warping.initialize(y)
+        return self
+
+    def log_density(self, y, f):
+        """Per row, of all variables together; y and f are (rows, variables)."""
+        z, log_det = self.warping.forward(y)
+        return sum(p.log_density(z[:, i], f[:, i]) for i, p in enumerate(self.parts)) + log_det
+
+    def expectations(self, y, mean, var):
+        """Expected log densities by row, and derivatives by row and variable."""
+        z, log_det = self.warping.forward(y)
+        got = [p.expectations(z[:, i], mean[:, i], var[:, i]) for i, p in enumerate(self.parts)]
+        return sum(g[0] for g in got) + log_det, np.stack([g[1] for g in got], 1), np.stack([g[2] for g in got], 1)
+
+    def predictive_mean(self, mean, var):
+        return self.warping.backward(np.stack([p.predictive_mean(mean[:, i], var[:, i]) for i, p in enumerate(self.parts)], 1))
+
+
 class Ordered(Likelihood):
     """Level 0, 1, .. by which of the increasing thresholds the latent passes, with probit noise."""
 

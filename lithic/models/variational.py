@@ -117,6 +117,25 @@ class VariationalGP(_Predictor):
         return {"mean": self.likelihood.predictive_mean(mean, var), "variance": var, "explained": 1 - var / prior, "sims": mean[:, None] + np.sqrt(var)[:, None] * normals}
 
 
+class Convergence:
+    """Whether a bound has stopped rising: its smoothed gain over the last `window` values is less than `tolerance` of the gain since the start."""
+
+    def __init__(self, tolerance: float, window: int = 20):
+        self.tolerance, self.window, self.start, self.smoothed = tolerance, window, None, []
+
+    def stop(self, value: float) -> bool:
+        if not self.tolerance or self.tolerance < 0:
+            return False
+        if self.start is None:
+            self.start = value
+        share = 2 / (self.window + 1)
+        self.smoothed.append(value if not self.smoothed else share * value + (1 - share) * self.smoothed[-1])
+        if len(self.smoothed) <= self.window:
+            return False
+        here = self.smoothed[-1]
+        return abs(here - self.smoothed[-1 - self.window]) < self.tolerance * abs(here - self.start)
+
+
 class Node:
     """A latent function: `moments(x)` gives mean and variance, each (rows, outputs)."""
 

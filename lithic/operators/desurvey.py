@@ -61,8 +61,8 @@ def orphan_surveys(collar: DataFrame, survey: DataFrame) -> DataFrame:
     return survey.join(collar.select("hole"), "hole", "left_anti")
 
 
-def asof_last(left: DataFrame, right: DataFrame, key: str, order: str, columns: list[str], tie: str | None = None) -> DataFrame:
-    """Each left row with the columns of the last right row of its key at or before `order`.
+def asof_last(left: DataFrame, right: DataFrame, key: str, order: str, columns: list[str], tie: str | None = None, or_first: bool = False) -> DataFrame:
+    """Each left row with the columns of the last right row of its key at or before `order`, or, if asked, of the first one after it.
 
     A union tagged by side and one window; no range join and no skew beyond that of the key.
     """
@@ -70,8 +70,11 @@ def asof_last(left: DataFrame, right: DataFrame, key: str, order: str, columns:
     l = left.withColumn("__side", F.lit(1)).select("*", *blank)  # noqa: E741
     r = right.select(*(F.col(c) if c in (key, order) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), F.lit(0).alias("__side"), *(F.col(c).alias(f"__r_{c}") for c in columns))
     keyed = F.when(F.col("__side") == 0, F.struct(*(f"__r_{c}" for c in columns)))
-    w = Window.partitionBy(key).orderBy(order, "__side", *([f"__r_{tie}"] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
-    joined = l.unionByName(r).withColumn("__last", F.last(keyed, ignorenulls=True).over(w)).where("__side = 1")
+    w = Window.partitionBy(key).orderBy(order, "__side", *([f"__r_{tie}"] if tie else []))
+    last = F.last(keyed, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if or_first:
+        last = F.coalesce(last, F.first(keyed, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    joined = l.unionByName(r).withColumn("__last", last).where("__side = 1")
     return joined.select(*left.columns, *(F.col(f"__last.__r_{c}").alias(c) for c in columns))
 
 
@@ -79,10 +82,9 @@ def coordinates_at(points: DataFrame, traces: DataFrame) -> DataFrame:
     """Points (hole, depth and others) with x, y, z on their trace: null for unknown holes, straight on past the last station."""
     cols = ["inc", "azm", "x", "y", "z", "next_depth", "next_inc", "next_azm"]
     right = traces.select("hole", "depth", F.col("depth").alias("station"), *cols)
-    first = traces.groupBy("hole").agg(F.min_by(F.struct(F.col("depth").alias("station"), *cols), "depth").alias("__first"))
-    found = asof_last(points, right, "hole", "depth", ["station", *cols]).join(first, "hole", "left")
-    get = {c: F.coalesce(F.col(c), F.col(f"__first.{c}")) for c in ("station", "inc", "azm", "x", "y", "z")}
-    following = {c: F.when(F.col("station").isNull(), F.col(f"__first.{c}")).otherwise(F.col(c)) for c in ("next_depth", "next_inc", "next_azm")}
+    found = asof_last(points, right, "hole", "depth", ["station", *cols], or_first=True)
+    get = {c: F.col(c) for c in ("station", "inc", "azm", "x", "y", "z")}
+    following = {c: F.col(c) for c in ("next_depth", "next_inc", "next_azm")}
     span = following["next_depth"] - get["station"]
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(span > 0, (F.col("depth") - get["station"]) / span).otherwise(0.0)))
     inc = get["inc"] + share * F.coalesce(following["next_inc"] - get["inc"], F.lit(0.0))

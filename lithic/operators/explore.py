@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithic.functions.core import percentiles
+
 
 def padded_range(df: DataFrame, column: str, margin: float = 0.1) -> DataFrame:
     """One row: low and high of a column, widened by a share of its span (by 1 if it has none)."""
@@ -19,8 +21,8 @@ def padded_range(df: DataFrame, column: str, margin: float = 0.1) -> DataFrame:
 def color_limits(df: DataFrame, column: str, clip: float | None = None) -> tuple[float, float] | None:
     """Two quantiles of the finite values; None if they are the same."""
     clip = clip or 0.0
-    got = df.where(F.col(column).isNotNull() & ~F.isnan(column)).agg(F.percentile(column, [clip, 1 - clip]).alias("q")).first()["q"]
-    return None if not got or got[0] >= got[1] else (got[0], got[1])
+    low, high = percentiles(df, column, [clip, 1 - clip])
+    return None if low is None or low >= high else (low, high)
 
 
 def counts_2d(df: DataFrame, x: str, y: str, low: tuple[float, float], high: tuple[float, float], bins: int = 60) -> DataFrame:

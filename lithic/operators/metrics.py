@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lithic.functions.arrays import array_mean, array_var, clean, crps, interval_score, let, sorted_quantile
 from lithic.functions.composition import aitchison
+from lithic.functions.core import order_statistics, percentiles
 
 #: Probabilities whose central intervals `coverage` looks at by default.
 PROBABILITIES = [k / 20 for k in range(1, 20)]
@@ -101,10 +102,23 @@ def compute_metrics(df: DataFrame, truth: str, prediction: str, sims: str, alpha
     )
 
 
+def vector_metrics(df: DataFrame, components: dict[str, tuple[str, str, str]], alpha: float = 0.05) -> DataFrame:
+    """`compute_metrics` of every component (truth, prediction, sims) of a vector, a row each, in one pass."""
+    parts = F.explode(F.array(*(F.struct(F.lit(k).alias("component"), F.col(t).cast("double").alias("t"), F.col(p).cast("double").alias("p"), F.col(s).alias("s")) for k, (t, p, s) in components.items())))
+    return compute_metrics(df.select(parts.alias("x")).select("x.*"), "t", "p", "s", alpha, ["component"])
+
+
+def composition_metrics(df: DataFrame, components: dict[str, tuple[str, str, str]], alpha: float = 0.05) -> DataFrame:
+    """`vector_metrics`, and with every row the mean Aitchison distance between compositions measured whole and predicted."""
+    truth, predicted = (F.array(*(F.col(c[i]).cast("double") for c in components.values())) for i in (0, 1))
+    whole = df.where(" AND ".join(f"`{t}` IS NOT NULL" for t, _, _ in components.values()))
+    return vector_metrics(df, components, alpha).join(F.broadcast(whole.agg(F.avg(aitchison(truth, predicted)).alias("aitchison"))))
+
+
 def reliability(df: DataFrame, claim: str, hit: str, bins: int = 10) -> DataFrame:
     """Equal-count bins of claimed probability: n, mean claim, observed frequency and each bin's part of the calibration error."""
-    edges = df.agg(F.percentile(claim, [k / bins for k in range(1, bins)]).alias("e"))
-    placed = df.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("e", lambda e: e < F.col(claim))))
+    edges = F.array(*map(F.lit, percentiles(df, claim, [k / bins for k in range(1, bins)])))
+    placed = df.withColumn("bin", F.size(F.filter(edges, lambda e: e < F.col(claim))))
     out = placed.groupBy("bin").agg(F.count("*").alias("n"), F.avg(claim).alias("claimed"), F.avg(F.col(hit).cast("double")).alias("observed"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy())
     return out.withColumn("ece_part", share * F.abs(F.col("claimed") - F.col("observed")))
@@ -112,8 +126,8 @@ def reliability(df: DataFrame, claim: str, hit: str, bins: int = 10) -> DataFram
 
 def spread_check(df: DataFrame, truth: str, prediction: str, variance: str, noise: str, bins: int = 8) -> DataFrame:
     """Per bin of the predicted value: residual RMS with its standard error, and the spread that the model claims."""
-    edges = df.agg(F.percentile(prediction, [k / bins for k in range(1, bins)]).alias("e"))
-    placed = df.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("e", lambda e: e < F.col(prediction))))
+    edges = F.array(*map(F.lit, percentiles(df, prediction, [k / bins for k in range(1, bins)])))
+    placed = df.withColumn("bin", F.size(F.filter(edges, lambda e: e < F.col(prediction))))
     r = F.col(truth) - F.col(prediction)
     rms = F.sqrt(F.avg(r * r))
     return placed.groupBy("bin").agg(
@@ -128,35 +142,15 @@ def entropy(probabilities: Column) -> Column:
     return F.when(F.size(probabilities) > 1, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.log(F.size(probabilities).cast("double"))).otherwise(0.0)
 
 
-def conformal_nominal(df: DataFrame, pit: str, coverages: list[float], bins: int = 4096, steps: int = 4) -> dict[float, float]:
-    """For each coverage twice the order statistic of |PIT - 1/2| at its finite-sample rank; 1 beyond the last.
-
-    The order statistics come from histograms, each over the bin of the one before that holds the rank,
-    so no task sorts all scores; after the last step a bin is narrower than a double's spacing.
-    """
+def conformal_nominal(df: DataFrame, pit: str, coverages: list[float], bins: int = 1024) -> dict[float, float]:
+    """For each coverage twice the order statistic of |PIT - 1/2| at its finite-sample rank; 1 beyond the last."""
     scores = df.where(F.col(pit).isNotNull() & ~F.isnan(pit)).select(F.abs(F.col(pit).cast("double") - 0.5).alias("s"))
     n = scores.count()
     if not n:
         raise ValueError("there are no PIT values to calibrate on")
-    out = dict.fromkeys(coverages, 1.0)
-    for c in coverages:
-        rank = math.ceil((n + 1) * c - 1e-12)
-        if not 1 <= rank <= n:
-            continue
-        low, high, rest = 0.0, 0.5, rank
-        for _ in range(steps):
-            width = (high - low) / bins
-            at = F.least(F.floor((F.col("s") - low) / width), F.lit(bins - 1))
-            counts = sorted(scores.where(F.col("s").between(low, high)).groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).collect())
-            for _, k, lo, hi in counts:
-                if rest <= k:
-                    break
-                rest -= k
-            low, high = lo, hi
-            if lo == hi:
-                break
-        out[c] = min(1.0, 2 * low)
-    return out
+    ranks = {c: math.ceil((n + 1) * c - 1e-12) for c in coverages}
+    found = order_statistics(scores, "s", sorted({*ranks.values()}), bins)
+    return {c: min(1.0, 2 * found[r]) if r in found else 1.0 for c, r in ranks.items()}
 
 
 def conformal_interval(df: DataFrame, samples: str, level: float, low: str = "lower", high: str = "upper") -> DataFrame:

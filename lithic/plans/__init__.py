@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lithic.plans import drillholes, ensembles, grids, looks, processes, traces
+from lithic.plans import containers, drillholes, ensembles, grids, looks, processes, traces
 
-MODULES = (drillholes, grids, ensembles, traces, looks, processes)
+MODULES = (drillholes, grids, ensembles, traces, looks, processes, containers)
 
 
 def queries() -> dict:

@@ -75,11 +75,11 @@ def spread_check(spark, sf_dir):
 
 def simplex_projection(spark, sf_dir):
     out = _sims(spark, sf_dir).select("loc_id", A.simplex(F.slice("sims", 1, 4)).alias("w"))
-    return out.select("loc_id", F.round(A.array_sum(F.col("w")) + 3e-10, 6).alias("total"), F.round(F.array_max("w") + 3e-10, 6).alias("top"))
+    return _rounded(out.select("loc_id", F.posexplode("w").alias("part", "share")), "share")
 
 
 def model_combination(spark, sf_dir):
-    e = _sims(spark, sf_dir).select("loc_id", F.col("sims")[0].alias("m1"), F.col("sims")[1].alias("m2"), F.lit(0.5).alias("v1"), F.lit(0.25).alias("v2"), F.lit(0.2).alias("e1"), F.lit(0.6).alias("e2"))
+    e = _sims(spark, sf_dir).select("loc_id", F.col("sims")[0].alias("m1"), F.col("sims")[1].alias("m2"), F.abs(F.col("sims")[2]).alias("v1"), F.abs(F.col("sims")[3]).alias("v2"), (F.abs(F.col("sims")[4]) + 0.1).alias("e1"), (F.abs(F.col("sims")[5]) + 0.2).alias("e2"))
     return _rounded(E.combine_models(e, ["m1", "m2"], ["v1", "v2"], ["e1", "e2"]).select("loc_id", "mean", "variance"), "mean", "variance")
 
 
@@ -112,9 +112,10 @@ SQL = {
     "spread_check": f"""WITH {_U}, r AS (SELECT loc_id, any_value(truth) AS y, avg(v) AS p, var_pop(v) AS s FROM u GROUP BY loc_id), q AS (SELECT quantile_cont(p, [0.25, 0.5, 0.75]) AS e FROM r),
         b AS (SELECT *, (e[1] < p)::INT + (e[2] < p)::INT + (e[3] < p)::INT AS bin FROM r, q)
         SELECT bin, count(*) AS n, round(avg(p), 6) AS predicted, round(sqrt(avg((y - p) ** 2)), 6) AS rms, round(sqrt(avg((y - p) ** 2)) / sqrt(2 * count(*)), 6) AS rms_error, round(0.1, 6)::DOUBLE AS noise, round(sqrt(avg(s + 0.01)), 6) AS spread FROM b GROUP BY bin""",
-    "simplex_projection": """WITH s AS (SELECT vec_id, unnest(list_transform(embedding[1:4], lambda x: x::DOUBLE)) AS v FROM embeddings), r AS (SELECT *, row_number() OVER w AS k, sum(v) OVER w AS c FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY v DESC ROWS UNBOUNDED PRECEDING)),
-        t AS (SELECT vec_id, max_by((c - 1) / k, k) AS tau FROM r WHERE 1 + k * v > c GROUP BY vec_id) SELECT s.vec_id AS loc_id, round(sum(greatest(v - tau, 0)), 6) AS total, round(max(greatest(v - tau, 0)), 6) AS top FROM s JOIN t USING (vec_id) GROUP BY s.vec_id""",
-    "model_combination": """SELECT vec_id AS loc_id, round(embedding[1]::DOUBLE * 0.25 + embedding[2]::DOUBLE * 0.75, 6) AS mean, round(0.0625 * 0.5 + 0.5625 * 0.25, 6)::DOUBLE AS variance FROM embeddings""",
+    "simplex_projection": """WITH s AS (SELECT vec_id, unnest(list_transform(embedding[1:4], lambda x: x::DOUBLE)) AS v, unnest(range(0, 4))::INT AS part FROM embeddings), r AS (SELECT *, row_number() OVER w AS k, sum(v) OVER w AS c FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY v DESC ROWS UNBOUNDED PRECEDING)),
+        t AS (SELECT vec_id, max_by((c - 1) / k, k) AS tau FROM r WHERE 1 + k * v > c GROUP BY vec_id) SELECT s.vec_id AS loc_id, part, round(greatest(v - tau, 0), 6) AS share FROM s JOIN t USING (vec_id)""",
+    "model_combination": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS s FROM embeddings), w AS (SELECT *, (abs(s[5]) + 0.1) / (abs(s[5]) + abs(s[6]) + 0.3) AS w FROM e)
+        SELECT vec_id AS loc_id, round(w * s[1] + (1 - w) * s[2], 6) AS mean, round(w * w * abs(s[3]) + (1 - w) * (1 - w) * abs(s[4]), 6) AS variance FROM w""",
 }
 SQL["goodness"] = f"""WITH c AS ({SQL["coverage"].replace("round(avg(", "(avg(").replace(")::INT), 6)", ")::INT))")}), d AS (SELECT probability AS p, CASE WHEN observed < probability THEN 2 * (probability - observed) ELSE observed - probability END AS d FROM c),
     a AS (SELECT p, (p - lag(p) OVER w) * (d + lag(d) OVER w) / 2 AS a FROM d WINDOW w AS (ORDER BY p)) SELECT round(1 - sum(a) / (max(p) - min(p)), 6) AS goodness FROM a"""

@@ -31,30 +31,33 @@ def desurvey_points(spark, sf_dir):
 NX, NY = 20, 15
 
 
-def _terrain(spark):
+def _terrain(spark, sf_dir):
+    """A lattice of vertices, raised by the mean size of the parts whose keys fall on each."""
     i, j = F.col("v") % NX, F.floor(F.col("v") / NX)
-    v = spark.range(NX * NY).withColumnRenamed("id", "v").select("v", (i * 3.0).alias("x"), (j * 4.0).alias("y"), ((i * 7 + j * 5) % 11).cast("double").alias("z"))
+    size = read(spark, sf_dir, "part").groupBy((F.col("p_partkey") % (NX * NY)).alias("v")).agg(F.avg("p_size").alias("s"))
+    v = spark.range(NX * NY).withColumnRenamed("id", "v").join(size, "v", "left")
+    v = v.select("v", (i * 3.0).alias("x"), (j * 4.0).alias("y"), ((i * 7 + j * 5) % 11 + F.coalesce("s", F.lit(0.0)) / 50).alias("z"))
     return v, mesh.terrain(v, NX, NY)
 
 
 def mesh_area(spark, sf_dir):
-    return _rounded(mesh.area(*_terrain(spark)), "area")
+    return _rounded(mesh.area(*_terrain(spark, sf_dir)), "area")
 
 
 def mesh_volume(spark, sf_dir):
-    return _rounded(mesh.signed_volume(*_terrain(spark)), "volume")
+    return _rounded(mesh.signed_volume(*_terrain(spark, sf_dir)), "volume")
 
 
 def mesh_normals(spark, sf_dir):
-    return _rounded(mesh.vertex_normals(*_terrain(spark)), "nx", "ny", "nz")
+    return _rounded(mesh.vertex_normals(*_terrain(spark, sf_dir)), "nx", "ny", "nz")
 
 
 def mesh_open_edges(spark, sf_dir):
-    return mesh.open_edges(_terrain(spark)[1])
+    return mesh.open_edges(_terrain(spark, sf_dir)[1])
 
 
 def mesh_weld(spark, sf_dir):
-    v, f = _terrain(spark)
+    v, f = _terrain(spark, sf_dir)
     v = v.withColumn("z", F.lit(0.0)).withColumn("x", F.floor(F.col("x") / 6) * 6.0)
     v, f = mesh.weld(v, f)
     return mesh.drop_degenerate(v, f)
@@ -62,11 +65,11 @@ def mesh_weld(spark, sf_dir):
 
 def mesh_elevation(spark, sf_dir):
     pts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("loc_id"), ((F.col("p_partkey") * 13) % 601 / 10).alias("x"), ((F.col("p_partkey") * 29) % 577 / 10).alias("y"), F.lit(5.0).alias("z"))
-    out = mesh.assign_from_surface(pts, *_terrain(spark), "side", uncovered="none")
+    out = mesh.assign_from_surface(pts, *_terrain(spark, sf_dir), "side", uncovered="none")
     return out.select("loc_id", "side")
 
 
-_V = f"v AS (SELECT i AS v, (i % {NX}) * 3.0::DOUBLE AS x, (i // {NX}) * 4.0::DOUBLE AS y, (((i % {NX}) * 7 + (i // {NX}) * 5) % 11)::DOUBLE AS z FROM range(0, {NX * NY}) t(i))"
+_V = f"v AS (SELECT i AS v, (i % {NX}) * 3.0::DOUBLE AS x, (i // {NX}) * 4.0::DOUBLE AS y, (((i % {NX}) * 7 + (i // {NX}) * 5) % 11)::DOUBLE + coalesce(s, 0) / 50 AS z FROM range(0, {NX * NY}) t(i) LEFT JOIN (SELECT p_partkey % {NX * NY} AS k, avg(p_size) AS s FROM part GROUP BY 1) ON k = i)"
 _F = f"""c AS (SELECT i, i % {NX - 1} + (i // {NX - 1}) * {NX} AS o FROM range(0, {(NX - 1) * (NY - 1)}) t(i)),
 f AS (SELECT i * 2 AS f, o AS a, o + 1 AS b, o + {NX} + 1 AS c FROM c UNION ALL SELECT i * 2 + 1, o, o + {NX} + 1, o + {NX} FROM c)"""
 _T = f"""{_V}, {_F},
