@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,54 +65,24 @@ def cutoff_range(df: DataFrame, sims: str, n: int) -> list[float]:
     return np.linspace(low, high, n).tolist()
 
 
-def _binned(levels: list[float]):
-    """Per task and (realization, highest cut-off cleared): mass and metal. One row each, however many blocks
-    there are; bin 0 clears none and only says that there is such a realization."""
-    cuts = np.array(levels)
-    wide = len(cuts) + 1
-
-    def run(batches):
-        mass, metal, place = np.zeros((0, wide)), np.zeros((0, wide)), np.zeros(0, np.int64)
-        for b in batches:
-            col = b.column("v")
-            n = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            v = col.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
-            top = int(n.max(initial=0))
-            if not len(v):
-                continue
-            if (n == top).all():  # as a rule: every row has as many
-                if len(place) != len(v) or place[-1] != (top - 1) * wide:
-                    place = np.tile(np.arange(top) * wide, len(n))
-                sim = place
-            else:
-                sim = (np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)) * wide
-            w = np.repeat(b.column("w").to_numpy(zero_copy_only=False).astype(float, copy=False), n)
-            d = b.column("d")
-            if d.null_count < len(d):
-                w = w * d.flatten().to_numpy(zero_copy_only=False).astype(float)
-            k, m = np.searchsorted(cuts, v, "right"), w * v
-            good = np.isfinite(m) & np.isfinite(w) & np.isfinite(v)
-            if not good.all():
-                k, w, m = np.where(good, k, 0), np.where(good, w, 0.0), np.where(good, m, 0.0)
-            if top > len(mass):
-                grow = np.zeros((top - len(mass), wide))
-                mass, metal = np.concatenate([mass, grow]), np.concatenate([metal, grow])
-            at = sim + k
-            mass += np.bincount(at, w, mass.size).reshape(mass.shape)
-            metal += np.bincount(at, m, mass.size).reshape(mass.shape)
-        mass[:, 0] = 1
-        metal[:, 0] = 0
-        s, k = np.nonzero(mass)
-        yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(mass[s, k]), pa.array(metal[s, k])], ["sim", "k", "w", "m"])
-
-    return run
+#: Cut-offs that one search by halves covers.
+TREE = 64
+
+
+def _cleared(value: Column, levels: list[float], first: int = 0) -> Column:
+    """How many of the increasing levels a value reaches: a search by halves, as one expression."""
+    if not levels:
+        return F.lit(first)
+    mid = len(levels) // 2
+    return F.when(value >= levels[mid], _cleared(value, levels[mid + 1 :], first + mid + 1)).otherwise(_cleared(value, levels[:mid], first))
 
 
 def grade_tonnage(df: DataFrame, sims: str, cutoffs: list[float] | int = 30, volume: float | str = 1.0, density: float | str | None = None, uncertainty: str | None = None, max_uncertainty: float | None = None) -> DataFrame:
     """For each cut-off and realization: tonnage of what clears it, its metal and mean grade.
 
-    A value is filed under the highest cut-off that it clears, in one pass with partial sums per task,
-    cut-off and realization, so that no row is exploded; curves are running totals from the top. `density` is a number, a column, or
+    A value is filed under the highest cut-off that it clears, in one pass: values stream out of their
+    arrays into sums per task, cut-off and realization, and only these are shuffled. Curves are running
+    totals from the top. `density` is a number, a column, or
     an array column with a value per realization. Values that are missing clear nothing.
     """
     if max_uncertainty is not None:
@@ -125,9 +94,13 @@ def grade_tonnage(df: DataFrame, sims: str, cutoffs: list[float] | int = 30, vol
     paired = isinstance(density, str) and df.schema[density].dataType.typeName() == "array"
     if density is not None and not paired:
         mass = mass * (F.col(density) if isinstance(density, str) else float(density))
-    doubles = lambda c: F.col(c) if df.schema[c].dataType.elementType.typeName() == "double" else F.transform(c, lambda x: x.cast("double"))
-    ready = df.select(doubles(sims).alias("v"), mass.cast("double").alias("w"), (doubles(density) if paired else F.lit(None).cast("array<double>")).alias("d"))
-    binned = ready.mapInArrow(_binned(levels), "sim int, k int, w double, m double").groupBy("sim", "k").agg(F.sum("w").alias("w"), F.sum("m").alias("m"))
+    flat = df.select(F.posexplode(F.arrays_zip(F.col(sims).alias("v"), F.col(density).alias("d")) if paired else sims).alias("sim", "x"), mass.cast("double").alias("w"))
+    value = (F.col("x.v") if paired else F.col("x")).cast("double")
+    flat = flat.select("sim", value.alias("v"), (F.col("w") * F.col("x.d").cast("double") if paired else F.col("w")).alias("w"))
+    finite = (F.abs("v") < float("inf")) & (F.abs("w") < float("inf"))  # false for NaN, which is above all numbers
+    flat = flat.withColumn("k", F.when(finite, reduce(lambda out, at: F.when(F.col("v") >= levels[at], _cleared(F.col("v"), levels[at : at + TREE], at)).otherwise(out), range(0, len(levels), TREE), F.lit(0))).otherwise(0))
+    part = lambda c: F.sum(F.when(F.col("k") > 0, c).otherwise(0.0))
+    binned = flat.groupBy("sim", "k").agg(part(F.col("w")).alias("w"), part(F.col("w") * F.col("v")).alias("m"))
     # At most (cut-offs + 1) bins per realization: each counts for every cut-off it clears.
     curves = binned.groupBy("sim").agg(F.sort_array(F.collect_list(F.struct("k", "w", "m"))).alias("bins")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(levels) - 1))))
     above = lambda part: F.aggregate(F.filter("bins", lambda b: b["k"] > F.col("i")), F.lit(0.0), lambda t, b: t + b[part])

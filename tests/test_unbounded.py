@@ -93,3 +93,27 @@ def test_gamma_shape():
     from math import lgamma
 
     assert np.isclose(g.log_density(np.array([2.0]), np.array([0.2]))[0], (shape - 1) * np.log(2.0) - 2.0 - lgamma(shape))
+
+
+@pytest.mark.parametrize("n_cuts", [3, 150])
+@pytest.mark.parametrize("density", [None, 2.5, "d", "ds"])
+def test_grade_and_tonnage(spark, n_cuts, density):
+    from lithic.operators.ensemble import grade_tonnage
+
+    rng = np.random.default_rng(4)
+    v, ds, d = rng.uniform(0, 1, (60, 5)), rng.uniform(1, 3, (60, 5)), rng.uniform(1, 3, 60)
+    v[3, 2], v[4, 1], v[5] = np.nan, np.inf, -1.0
+    rows = [(i, [float(x) for x in a], [float(x) for x in b], float(c)) for i, (a, b, c) in enumerate(zip(v, ds, d))] + [(99, None, None, 1.0), (98, [], [], 1.0), (97, [None, 0.9], [1.0, 1.0], 1.0)]
+    df = spark.createDataFrame(rows, "block long, sims array<double>, ds array<double>, d double")
+    cuts = np.linspace(0.02, 0.9, n_cuts)
+    got = {(r.sim, round(r.cutoff, 9)): (r.tonnage, r.metal, r.grade) for r in grade_tonnage(df, "sims", list(cuts), 4.0, density).collect()}
+    w = np.full((60, 5), 4.0) * {None: 1.0, 2.5: 2.5}.get(density, ds if density == "ds" else d[:, None] if density == "d" else 1.0)
+    good = np.isfinite(v)
+    assert len(got) == 5 * n_cuts
+    for s in range(5):
+        for c in cuts:
+            hit = good[:, s] & (v[:, s] >= c)
+            extra = 4.0 * (2.5 if density == 2.5 else 1.0) if s == 1 and c <= 0.9 else 0.0
+            t, m = w[hit, s].sum() + extra, (w[hit, s] * v[hit, s]).sum() + 0.9 * extra
+            a, b, g = got[s, round(float(c), 9)]
+            assert np.isclose(a, t) and np.isclose(b, m) and (g is None if t == 0 else np.isclose(g, m / t))
