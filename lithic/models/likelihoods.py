@@ -93,7 +93,7 @@ class Gamma(Likelihood):
 
     def log_density(self, y, f):
         shape = self.shape(f)
-        return (shape - 1) * np.log(np.maximum(y, 1e-12)) - y - np.vectorize(math.lgamma)(shape)
+        return (shape - 1) * np.log(np.maximum(y, 1e-12)) - y - np.vectorize(math.lgamma, otypes=[float])(shape)
 
     def predictive_mean(self, mean, var):
         return np.exp(mean + self.shift + var / 2) + 0.01

@@ -6,7 +6,10 @@ import math
 
 import numpy as np
 
-erf = np.vectorize(math.erf, otypes=[float])
+
+def erf(x):
+    """Elementwise. The wrapper is made here: one that has been called can't be sent to executors."""
+    return np.vectorize(math.erf, otypes=[float])(x)
 
 
 def normal_cdf(x):
