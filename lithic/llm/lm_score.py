@@ -28,7 +28,7 @@ PAIR_ROWS, WORD_ROWS = 1 << 14, 1 << 16
 #: Rounds of gradient updates; together they take every position of every training text once.
 ROUNDS, BATCH, RATE = 3, 2_048, 0.6
 #: Positions whose contexts are built at once.
-PASS = 1 << 15
+PASS = 1 << 14
 #: Training tokens that one task of a round takes, about, and the tasks whose moves are averaged at once.
 SHARE, FAN = 1 << 23, 16
 #: Bytes of texts that are encoded together.
@@ -153,13 +153,14 @@ class Layout:
         return cls(place[:, 0], place[:, 1], class_off.astype(np.float32), slot_off.astype(np.float32))
 
 
-def contexts(s: np.ndarray, at: np.ndarray | None = None, starts: np.ndarray | None = None) -> np.ndarray:
+def contexts(s: np.ndarray, at: np.ndarray | None = None, before: np.ndarray | None = None) -> np.ndarray:
     """Feature rows of positions (all by default): the word before, the one before that, the third back, and the pair before.
 
-    `s` holds the context ids of texts one after the other, which begin at `starts` (one text by default).
+    `s` holds the context ids of texts one after the other; `before` says how many words of its own
+    text precede a position (one text by default).
     """
     at = np.arange(len(s)) if at is None else at
-    before = at if starts is None else at - starts[np.searchsorted(starts, at, "right") - 1]
+    before = at if before is None else before
     one, two, three = (np.where(before >= k, s[np.maximum(at - k, 0)], START).astype(np.int64) for k in (1, 2, 3))
     width = NEAR + 1
     pair = ((one * 0x9E3779B1 + two * 0x85EBCA6B) >> 7) % PAIR_ROWS
@@ -261,10 +262,11 @@ class Model:
 
     def log_probs(self, symbols: np.ndarray, near: np.ndarray | None = None, starts: np.ndarray | None = None) -> np.ndarray:
         """Natural log probability of every symbol of texts, in sparse batches; `near` are their context ids if they differ."""
-        out, near = np.empty(len(symbols)), symbols if near is None else near
+        out, near, place = np.empty(len(symbols)), symbols if near is None else near, np.arange(len(symbols))
+        before = place if starts is None else place - np.repeat(starts, np.diff(np.append(starts, len(symbols))))
         for at in range(0, len(symbols), BATCH):
             s = symbols[at : at + BATCH].astype(np.int64)
-            r = contexts(near, np.arange(at, at + len(s)), starts)
+            r = contexts(near, place[at : at + BATCH], before[at : at + BATCH])
             c, k = self.layout.cls[s], self.layout.slot[s]
             z = _logits(self.w1, r)
             z += self.layout.class_off
@@ -308,11 +310,14 @@ def _gradients(model, round_: int, rounds: int):
 
         for b in batches:
             (s, starts), (near, _), uid = flat(b.column("symbols")), flat(b.column("near")), b.column("uid").to_numpy()
-            for first in range(0, len(s), PASS):
-                at = np.arange(first, min(first + PASS, len(s)))
-                text = np.searchsorted(starts, at, "right") - 1
-                at = at[(at - starts[text] - uid[text] - round_) % rounds == 0]
-                rows.append(contexts(near, at, starts))
+            turn = (uid + round_) % rounds
+            picks = np.maximum(0, -((turn - np.diff(np.append(starts, len(s)))) // rounds))  # positions of each text whose turn it is
+            text = np.repeat(np.arange(len(starts)), picks)
+            preceding = turn[text] + rounds * (np.arange(len(text)) - np.repeat(np.cumsum(picks) - picks, picks))
+            for first in range(0, len(text), PASS):
+                before = preceding[first : first + PASS]
+                at = starts[text[first : first + PASS]] + before
+                rows.append(contexts(near, at, before))
                 symbols.append(s[at].astype(np.int64))
                 n += len(at)
                 if n >= 8 * BATCH:
