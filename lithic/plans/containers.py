@@ -13,12 +13,13 @@ from lithic.models.rows import with_values
 from lithic.models.variational import Convergence
 from lithic.operators import contour, mesh
 from lithic.operators import metrics as M
-from lithic.operators.blocks import BlockSet
+from lithic.operators.blocks import BlockSet, RotatedBlockSet
 from lithic.operators.drillholes import Drillholes
 from lithic.operators.lattice import Grid
 from lithic.operators.variables import Located
 from lithic.plans.drillholes import SQL_INTERVALS, _rounded, lineitem_intervals, read
 from lithic.plans.ensembles import _sims
+from lithic.plans.traces import _E, _F, _V, _terrain
 from lithic.sources import tables as T
 
 
@@ -188,10 +189,65 @@ def mesh_pieces(spark, sf_dir):
     return mesh.pieces(face).select("f", "piece")
 
 
+TURNED = RotatedBlockSet((5.0, 5.0, 5.0), (4, 4, 2), (10.0, 10.0, 10.0), (2, 2, 2), 2, azimuth=30.0)
+
+
+def _spread(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 50).alias("y"), F.pmod("p_partkey", F.lit(19)).cast("double").alias("z"))
+
+
+def rotated_blocks(spark, sf_dir):
+    """The block of a turned set that holds each part, -1 where none does."""
+    return TURNED.locate(_spread(spark, sf_dir), TURNED.rows(spark)).select("p_partkey", "x", F.coalesce("block_id", F.lit(-1)).alias("block_id"))
+
+
+def rotated_centres(spark, sf_dir):
+    """Centres of the sub-blocks of a turned set, with the parts in each block."""
+    n = read(spark, sf_dir, "part").groupBy(F.pmod("p_partkey", F.lit(32)).alias("block_id")).agg(F.count("*").alias("n"))
+    return _rounded(TURNED.sub_rows(TURNED.rows(spark)).join(n, "block_id"), "x", "y", "z")
+
+
+def fitted_blocks(spark, sf_dir):
+    """A turned set made to hold all parts: how many blocks it has, and how many parts lie in none (none do)."""
+    points = _spread(spark, sf_dir)
+    blocks = RotatedBlockSet.of(points, (10.0, 10.0, 10.0), azimuth=30.0)
+    located = blocks.locate(points, blocks.rows(spark))
+    return located.agg(F.count("*").alias("parts"), F.sum(F.col("block_id").isNull().cast("int")).alias("outside")).withColumn("blocks", F.lit(blocks.n[0] * blocks.n[1] * blocks.n[2]))
+
+
+def block_shares(spark, sf_dir):
+    """Parts as sub-blocks of 32 blocks: the share of large ones, whether a block is crossed, and whether it is to be split."""
+    subs = read(spark, sf_dir, "part").select(F.pmod("p_partkey", F.lit(32)).alias("block_id"), (F.col("p_size") > 25).alias("large"))
+    out = mesh.shares(subs, "block_id", F.col("large")).withColumn("level", F.lit(0)).withColumn("divided", F.least("share", 1 - F.col("share")))
+    return _rounded(out.withColumn("split", TURNED.needs_splitting(["divided"], 0.45)).select("block_id", "share", "crossed", "split"), "share")
+
+
+def missing_blocks(spark, sf_dir):
+    """Of 32 blocks those with more than the average of parts are there: what is missing, and that the rest is not full."""
+    n = read(spark, sf_dir, "part").groupBy(F.pmod("p_partkey", F.lit(32)).alias("block_id")).agg(F.sum("p_size").alias("n"))
+    mean = n.agg(F.avg("n")).first()[0]
+    blocks = BlockSet((5.0, 5.0, 5.0), (4, 4, 2), (10.0, 10.0, 10.0), (2, 2, 2), 2)
+    there = blocks.rows(spark).join(n.where(F.col("n") > mean), "block_id").drop("n")
+    return blocks.missing(there, spark).select("ox", "oy", "oz", "level").withColumn("full", F.lit(blocks.is_full(there)))
+
+
+def smoothed_mesh(spark, sf_dir):
+    """One round of smoothing of the terrain: towards the neighbours' mean, then away from it."""
+    return _rounded(mesh.smooth(*_terrain(spark, sf_dir), iterations=1), "x", "y", "z")
+
+
+def mesh_kinds(spark, sf_dir):
+    """What a box and the terrain are."""
+    rows = [("box", mesh.kind(*_box(spark))), ("terrain", mesh.kind(*_terrain(spark, sf_dir)))]
+    return spark.createDataFrame(rows, "name string, kind string")
+
+
 _BOX = ", ".join(f"abs({c} - {(a + b) / 2}) - {(b - a) / 2} AS q{c}" for c, a, b in zip("xyz", LOW, HIGH))
 _IN = "p AS (SELECT p_partkey AS loc_id, p_size / 5.0::DOUBLE AS x, p_retailprice / 200 AS y, (p_partkey % 7)::DOUBLE AS z FROM part)"
 _DISTANCE = f"""WITH {_IN}, q AS (SELECT loc_id, {_BOX} FROM p)
     SELECT loc_id, round(CASE WHEN greatest(qx, qy, qz) < 0 THEN greatest(qx, qy, qz) ELSE sqrt(pow(greatest(qx, 0), 2) + pow(greatest(qy, 0), 2) + pow(greatest(qz, 0), 2)) END, 6) AS distance FROM q"""
+_TURN = """p AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice / 50 AS y, (p_partkey % 19)::DOUBLE AS z FROM part),
+l AS (SELECT *, 5 + sqrt(0.75) * (x - 5) + 0.5 * (y - 5) AS lx, 5 - 0.5 * (x - 5) + sqrt(0.75) * (y - 5) AS ly FROM p), h AS (SELECT *, floor(lx / 10) AS i, floor(ly / 10) AS j, floor(z / 10) AS k FROM l)"""
 _Z = "p AS (SELECT p_partkey, p_size / 25.0::DOUBLE AS x, p_retailprice / 1000 AS y FROM part), q AS (SELECT p_partkey, abs((x - 1) / 0.5 - (y - 1)) AS u, abs((y - 1.5) / 0.25 - (x - 1)) AS v, CASE WHEN x > 1 THEN 1 ELSE -1 END AS s, 2 * y - 3 AS f FROM p)"
 _J = "- ln(0.5 * 0.25)"
 _HUBER_NORM = "ln(0.3 * (sqrt(2 * pi()) * 0.6826894921370859 + 2 * exp(-0.5)))"
@@ -223,6 +279,18 @@ SQL = {
     "solid_distance": _DISTANCE,
     "solid_distance_by_cells": _DISTANCE,
     "mesh_pieces": "SELECT c_custkey AS f, c_nationkey::BIGINT AS piece FROM customer",
+    "rotated_blocks": f"WITH {_TURN} SELECT p_partkey, x, CASE WHEN i BETWEEN 0 AND 3 AND j BETWEEN 0 AND 3 AND k BETWEEN 0 AND 1 THEN i + 4 * j + 16 * k ELSE -1 END::BIGINT AS block_id FROM h",
+    "rotated_centres": """WITH n AS (SELECT p_partkey % 32 AS block_id, count(*) AS n FROM part GROUP BY 1), s AS (SELECT i AS sub, (i % 2) * 5 - 2.5 AS sx, (i // 2 % 2) * 5 - 2.5 AS sy, (i // 4) * 5 - 2.5 AS sz FROM range(0, 8) t(i)),
+        l AS (SELECT block_id, sub, n, (block_id % 4) * 10 + sx AS lx, (block_id // 4 % 4) * 10 + sy AS ly, (block_id // 16) * 10 + sz AS lz FROM n, s)
+        SELECT block_id, sub, n, round(5 + sqrt(0.75) * lx - 0.5 * ly, 6) AS x, round(5 + 0.5 * lx + sqrt(0.75) * ly, 6) AS y, round(5.0::DOUBLE + lz, 6) AS z FROM l""",
+    "fitted_blocks": f"""WITH {_TURN}, e AS (SELECT count(*) AS parts, (floor((max(lx) - min(lx)) / 10) + 1) * (floor((max(ly) - min(ly)) / 10) + 1) * (floor((max(z) - min(z)) / 10) + 1) AS blocks FROM h) SELECT parts, 0 AS outside, blocks::INT AS blocks FROM e""",
+    "block_shares": """WITH s AS (SELECT p_partkey % 32 AS block_id, avg((p_size > 25)::INT) AS s FROM part GROUP BY 1) SELECT block_id, round(s, 6) AS share, s > 0 AND s < 1 AS crossed, least(s, 1 - s) > 0.45 AS split FROM s""",
+    "missing_blocks": """WITH n AS (SELECT p_partkey % 32 AS b, sum(p_size) AS n FROM part GROUP BY 1), t AS (SELECT b FROM n WHERE n > (SELECT avg(n) FROM n))
+        SELECT (i % 4) * 4 AS ox, (i // 4 % 4) * 4 AS oy, (i // 16) * 4 AS oz, 0 AS level, false AS full FROM range(0, 32) r(i) WHERE i NOT IN (SELECT b FROM t)""",
+    "smoothed_mesh": f"""WITH {_V}, {_F}, {_E}, g AS (SELECT DISTINCT u, w FROM e), r AS (SELECT u, w FROM g UNION ALL SELECT w, u FROM g), m AS (SELECT u, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM r JOIN v ON v.v = w GROUP BY u),
+        a AS (SELECT v.v, v.x + 0.5 * (m.x - v.x) AS x, v.y + 0.5 * (m.y - v.y) AS y, v.z + 0.5 * (m.z - v.z) AS z FROM v JOIN m ON u = v.v), n AS (SELECT u, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM r JOIN a ON a.v = w GROUP BY u)
+        SELECT a.v, round(a.x - 0.53 * (n.x - a.x), 6) AS x, round(a.y - 0.53 * (n.y - a.y), 6) AS y, round(a.z - 0.53 * (n.z - a.z), 6) AS z FROM a JOIN n ON u = a.v""",
+    "mesh_kinds": "SELECT 'box' AS name, 'solid' AS kind UNION ALL SELECT 'terrain', 'dtm'",
 }
 SQL = {k: v.replace("round(", "round(3e-10 + ") for k, v in SQL.items()}
 
@@ -230,6 +298,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         variable_codes, variable_metadata, carried_variables, interval_tables, vector_metrics, composition_metrics, multivariate_densities, training_stop, stored_points, stored_lattice, stored_blocks,
-        delimited_table, exchanged_mesh, solid_sides, solid_distance, solid_distance_by_cells, mesh_pieces,
+        delimited_table, exchanged_mesh, solid_sides, solid_distance, solid_distance_by_cells, mesh_pieces, rotated_blocks, rotated_centres, fitted_blocks, block_shares, missing_blocks, smoothed_mesh, mesh_kinds,
     )
 }
