@@ -23,7 +23,7 @@ WORDS, BUCKETS = 3_328, 64
 CONTEXTS = 1 << 13
 #: Slots of a class, classes at most, and clusters of spelling that classes are cut from.
 SLOTS, CLASSES, SPELLINGS = 64, 64, 10
-#: Hashed rows for pairs of preceding words and for words within classes.
+#: Hashed rows for pairs of preceding words and for words within classes, powers of two.
 PAIR_ROWS, WORD_ROWS = 1 << 14, 1 << 16
 #: Rounds of gradient updates; together they take every position of every training text once.
 ROUNDS, BATCH, RATE = 3, 2_048, 0.6
@@ -163,7 +163,7 @@ def contexts(s: np.ndarray, at: np.ndarray | None = None, before: np.ndarray | N
     before = at if before is None else before
     one, two, three = (np.where(before >= k, s[np.maximum(at - k, 0)], START).astype(np.int64) for k in (1, 2, 3))
     width = NEAR + 1
-    pair = ((one * 0x9E3779B1 + two * 0x85EBCA6B) >> 7) % PAIR_ROWS
+    pair = ((one * 0x9E3779B1 + two * 0x85EBCA6B) >> 7) & (PAIR_ROWS - 1)
     return np.stack([one, width + two, 2 * width + three, 3 * width + pair], 1)
 
 
@@ -181,7 +181,7 @@ CLASS_ROWS = 3 * (NEAR + 1) + PAIR_ROWS
 def word_rows(context: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """Rows of the features that tell words of a class apart: class with the word before and with the one
     before that. The class alone needs none: the layout's offsets are the words' shares of it."""
-    return ((context[:, :2] * 0xC2B2AE3D + cls[:, None] * 0x27D4EB2F) >> 9) % WORD_ROWS
+    return ((context[:, :2] * 0xC2B2AE3D + cls[:, None] * 0x27D4EB2F) >> 9) & (WORD_ROWS - 1)
 
 
 def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -191,6 +191,8 @@ def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Rows that occur in a batch at most this often are summed layer by layer, so many of them at once that they stay in a core's cache.
+LAYERS, TILE = 8, 1_024
 #: Logits below this need no shift before they are exponentiated, unless all of a row are far below 0.
 SAFE_LOGIT, SAFE_SUM = 60.0, 1e-25
 
@@ -199,7 +201,7 @@ def _exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | floa
     """exp(z - shift), its row sums and the shift, which is 0 where the logits allow it. Overwrites z."""
     if z.max(initial=0.0) < SAFE_LOGIT:
         e = np.exp(z)
-        total = e.sum(1)
+        total = e @ np.ones(e.shape[1], e.dtype)
         if total.min(initial=1.0) > SAFE_SUM:
             return e, total, 0.0
     shift = z.max(1)
@@ -210,7 +212,7 @@ def _exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | floa
 
 def _log_at(z: np.ndarray, column: np.ndarray) -> np.ndarray:
     """Log softmax of each row at one column. Overwrites z."""
-    hit = z[np.arange(len(z)), column]
+    hit = z.reshape(-1).take(np.arange(0, z.size, z.shape[1]) + column)
     _, total, shift = _exponents(z)
     return hit - shift - np.log(total)
 
@@ -222,29 +224,59 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e
 
 
-def _summed(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows (those that occur most first), how often each occurs, and the sum of the gradients where it does.
-
-    Most rows occur a few times in a batch: their gradients are added layer by layer, and only the
-    few frequent rows are summed one by one, which is several times as fast as `add.reduceat`.
-    """
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows (those that occur most first), how often each occurs, the places of `rows` sorted by them,
+    where each begins there, and for every place which of the distinct rows it holds."""
     flat = rows.ravel()
     if flat.max(initial=0) < 1 << 16:
         flat = flat.astype(np.uint16)  # sorted by radix
     order = np.argsort(flat, kind="stable")
-    flat = flat[order]
+    flat = flat.take(order)
     first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
     times = np.diff(np.append(first, len(flat)))
     by_times = np.argsort(-times, kind="stable")
-    first, times = first[by_times], times[by_times]
+    rank = np.empty(len(first), np.int64)
+    rank[by_times] = np.arange(len(first))
+    back = np.empty(len(flat), np.int64)
+    back[order] = np.repeat(rank, times)
+    first = first.take(by_times)
+    return flat.take(first).astype(np.int64), times.take(by_times), order, first, back.reshape(rows.shape)
+
+
+def _sums(rows: np.ndarray, g: np.ndarray, found: tuple):
+    """The sums of the gradients where each of the distinct rows (`found`) occurs, a slice of them at a time.
+
+    Most rows occur a few times in a batch: their gradients are added layer by layer, and only those of
+    the few frequent rows are laid side by side for `add.reduceat`, which is slow on short runs.
+    """
+    _, times, order, first, _ = found
     at = order >> 1 if rows.shape[1] == 2 else order >> 2 if rows.shape[1] == 4 else order // rows.shape[1]
-    total = g.take(at[first], 0)
-    for k in range(1, 8):
-        many = int(np.searchsorted(-times, -k))  # rows that occur more than k times
-        total[:many] += g.take(at[first[:many] + k], 0)
-    for i in range(int(np.searchsorted(-times, -8))):
-        total[i] += g.take(at[first[i] + 8 : first[i] + times[i]], 0).sum(0)
-    return flat[first].astype(np.int64), times, total
+    frequent = int(np.searchsorted(-times, -LAYERS))  # rows that occur more than LAYERS times
+    if frequent:
+        n = times[:frequent]
+        begin = np.cumsum(n) - n
+        places = at.take(np.repeat(first[:frequent] - begin, n) + np.arange(n.sum()))
+        yield slice(0, frequent), np.add.reduceat(g.take(places, 0), begin, 0)
+    for low in range(frequent, len(times), TILE):
+        z = slice(low, low + TILE)
+        begin, n = first[z], times[z]
+        total = g.take(at.take(begin), 0)
+        for k in range(1, int(n[0])):
+            many = int(np.searchsorted(-n, -k))  # rows that occur more than k times
+            total[:many] += g.take(at.take(begin[:many] + k), 0)
+        yield z, total
+
+
+def _summed(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows (those that occur most first), how often each occurs, and the sum of the gradients where it does."""
+    found = _distinct(rows)
+    return found[0], found[1], np.concatenate([total for _, total in _sums(rows, g, found)])
+
+
+def _put_rows(weights: np.ndarray, which: np.ndarray, rows: np.ndarray) -> None:
+    """weights[which] = rows, each row as one item, which is twice as fast; both are contiguous."""
+    whole = np.dtype((np.void, weights.itemsize * weights.shape[1]))
+    weights.view(whole)[:, 0][which] = rows.view(whole)[:, 0]
 
 
 class Model:
@@ -252,7 +284,10 @@ class Model:
 
     def __init__(self, layout: Layout, w1: np.ndarray | None = None, w2: np.ndarray | None = None, seen1: np.ndarray | None = None, seen2: np.ndarray | None = None):
         self.layout = layout
-        self.w1 = np.zeros((CLASS_ROWS, CLASSES), np.float32) if w1 is None else w1
+        if w1 is None:
+            w1 = np.zeros((CLASS_ROWS, CLASSES), np.float32)
+            w1[: NEAR + 1] = layout.class_off  # every position has one word before, so its row bears the classes' shares
+        self.w1 = w1
         self.w2 = np.zeros((WORD_ROWS, SLOTS), np.float32) if w2 is None else w2
         self.seen1 = np.zeros(CLASS_ROWS, np.float32) if seen1 is None else seen1
         self.seen2 = np.zeros(WORD_ROWS, np.float32) if seen2 is None else seen2
@@ -267,28 +302,32 @@ class Model:
         for at in range(0, len(symbols), BATCH):
             s = symbols[at : at + BATCH].astype(np.int64)
             r = contexts(near, place[at : at + BATCH], before[at : at + BATCH])
-            c, k = self.layout.cls[s], self.layout.slot[s]
+            c, k = self.layout.cls.take(s), self.layout.slot.take(s)
             z = _logits(self.w1, r)
-            z += self.layout.class_off
             y = _logits(self.w2, word_rows(r, c))
-            y += self.layout.slot_off[c]
+            y += self.layout.slot_off.take(c, 0)
             out[at : at + BATCH] = _log_at(z, c) + _log_at(y, k)
         return out
 
     def update(self, rows: np.ndarray, symbols: np.ndarray, rate: float = RATE) -> None:
         """One gradient step over a batch of positions; a row's steps shrink with the square root of its visits."""
-        c, k, n = self.layout.cls[symbols], self.layout.slot[symbols], np.arange(len(symbols))
-        for weights, seen, at, off, hit in ((self.w1, self.seen1, rows, self.layout.class_off, c), (self.w2, self.seen2, word_rows(rows, c), self.layout.slot_off[c], k)):
-            g = _logits(weights, at)
-            g += off
+        c, k = self.layout.cls.take(symbols), self.layout.slot.take(symbols)
+        for weights, seen, at, off, hit in ((self.w1, self.seen1, rows, None, c), (self.w2, self.seen2, word_rows(rows, c), self.layout.slot_off.take(c, 0), k)):
+            found = which, times, _, _, back = _distinct(at)
+            mine = weights.take(which, 0)  # the rows that the batch reads and moves, side by side
+            g = _logits(mine, back)
+            if off is not None:
+                g += off
             g = _softmax(g)
-            g[n, hit] -= 1
-            which, times, total = _summed(at, g)
-            seen[which] += times
-            total *= (rate / (np.sqrt(seen[which]) * np.sqrt(times))).astype(np.float32)[:, None]
-            moved = weights.take(which, 0)
-            moved -= total
-            weights[which] = moved
+            g.reshape(-1)[np.arange(0, g.size, g.shape[1]) + hit] -= 1
+            visits = seen.take(which) + times.astype(np.float32)
+            seen[which] = visits
+            scale = (rate / np.sqrt(visits * times)).astype(np.float32)[:, None]
+            for z, total in _sums(at, g, found):
+                total *= scale[z]
+                moved = mine[z]
+                moved -= total
+                _put_rows(weights, which[z], moved)
 
 
 def _gradients(model, round_: int, rounds: int):
