@@ -22,6 +22,9 @@ BROADCAST_ROWS = 200_000
 #: Rows of text that a Python task holds at once.
 TEXT_ROWS = 1_000
 
+#: Rows that are worth a file of their own where a stage writes narrow rows.
+FILE_ROWS = 20_000
+
 _written: list[tuple] = []
 
 
@@ -64,19 +67,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back.
+def stage(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write `df` as Parquet to the shared folder, to at most `files` files, and read it back.
 
     Cuts the lineage so that a lost executor repeats one step and not the whole plan, and gives
     later steps column pruning and true sizes. The files go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lithic-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_for(rows: int) -> int:
+    """Files that so many narrow rows go to. Hadoop's local file system starts two processes for each file that a task
+    writes, and for a moment such a process counts as large as the JVM that starts it."""
+    return max(1, -(-rows // FILE_ROWS))
+
+
 def release() -> None:
     """Delete the staged files of this driver."""
     while _written:

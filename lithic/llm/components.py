@@ -23,18 +23,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return found.where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """node, root (the least node of its component) for every node of `edges` (a long, b long).
 
     Alternates large-star and small-star rounds until the edges are stars about the roots; the
     number of rounds grows with the logarithm of the nodes. Edges stay distributed throughout and
-    are written to the shared folder after each round. Self-loops and repeats do no harm; nodes
+    are written to the shared folder after each round, to at most `files` files. Self-loops and repeats do no harm; nodes
     that occur only in self-loops are not returned.
     """
     mark = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
-    edges, before = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
+    edges, before = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", files), None
     while True:
-        edges = stage(_star(_star(edges, True), False), "stars")
+        edges = stage(_star(_star(edges, True), False), "stars", files)
         now = tuple(edges.agg(*mark).first())
         if now == before or not now[0]:
             break

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
-from lithic.llm.common import keep_rows, small, stage, table, task
+from lithic.llm.common import BROADCAST_ROWS, files_for, keep_rows, small, stage, table, task
 from lithic.llm.components import connected_components
 
 SEED = 42
@@ -246,12 +246,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, id_co
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     prints = stage(texts.mapInArrow(task(_fingerprints(shingle)), "doc_id long, fp long").withColumn("uid", F.monotonically_increasing_id()), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first")
-    distinct = stage(prints.groupBy("fp").agg(first), "distinct")
-    roots = connected_components(near_edges(distinct, threshold, anchor_rows)).withColumnRenamed("node", "fp")
+    distinct = stage(prints.groupBy("fp").agg(first), "distinct", files_for(prints.count()))
+    files = files_for(rows := distinct.count())
+    roots = connected_components(near_edges(distinct, threshold, anchor_rows), files).withColumnRenamed("node", "fp")
     linked = roots.join(distinct, "fp")
-    linked = linked.join(small(stage(linked.groupBy("root").agg(F.min("first").alias("least")), "least")), "root").select("fp", "least")
+    linked = linked.join(small(stage(linked.groupBy("root").agg(F.min("first").alias("least")), "least", files)), "root").select("fp", "least")
     least = F.coalesce("least", "first")
-    classes = distinct.join(small(stage(linked, "linked")), "fp", "left").select("fp", least["doc_id"].alias("component_id"), least["uid"].alias("kept_uid"))
+    classes = distinct.join(small(stage(linked, "linked", files)), "fp", "left").select("fp", least["doc_id"].alias("component_id"), least["uid"].alias("kept_uid"))
+    classes = F.broadcast(classes) if rows <= BROADCAST_ROWS else classes
     return prints.join(classes, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
