@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithic.functions.core import cut
+from lithic.functions.core import cut, small_side
 from lithic.operators.lattice import Grid
 from lithic.operators.mesh import assign_from_solid, corners, drop_degenerate, weld
 
@@ -123,10 +123,12 @@ def face_distances(points: DataFrame, full: DataFrame, id_col: str = "loc_id") -
 
     Faces are dealt over cubes that their boxes meet; a point meets the faces of its own and the
     adjoining cubes, and those whose answer may lie beyond are searched again with larger cubes.
+    Whichever are fewer, faces or points, are copied to the adjoining cubes. Only faces are ever
+    broadcast, after a check of the copies' number: Spark takes a copied table for as small as it was.
     """
     low, high = ({c: f(*(F.col(f"{k}{c}") for k in "abc")) for c in "xyz"} for f in (F.least, F.greatest))
     reach = F.greatest(*(high[c] - low[c] for c in "xyz"))
-    mean, most = full.agg(F.avg(reach), F.max(reach)).first()
+    mean, most, n = full.agg(F.avg(reach), F.max(reach), F.count("*")).first()
     todo, done = points.where("abs(x) + abs(y) + abs(z) < double('infinity')").select(id_col, *"xyz"), None
     if most is None:
         return todo.select(id_col, F.lit(None).cast("double").alias("distance"))
@@ -140,16 +142,17 @@ def face_distances(points: DataFrame, full: DataFrame, id_col: str = "loc_id") -
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(d)], [id_col, "distance"])
 
     schema = T.StructType([points.schema[id_col], T.StructField("distance", T.DoubleType())])
+    far = 1 if n <= todo.count() else 0
     while True:
-        a, b = todo, full.select(*(f"{k}{c}" for k in "abc" for c in "xyz"))
+        a, b = todo.hint("merge"), full.select(*(f"{k}{c}" for k in "abc" for c in "xyz"))
         for c in "xyz":
             here = F.floor(F.col(c) / side)
-            a = a.withColumn(f"__{c}", F.explode(F.array(here - 1, here, here + 1)))
-            b = b.withColumn(f"__{c}", F.explode(F.sequence(F.floor(low[c] / side), F.floor(high[c] / side))))
-        pairs = a.join(b, [f"__{c}" for c in "xyz"]).drop(*(f"__{c}" for c in "xyz")).mapInArrow(measured, schema)
+            a = a.withColumn(f"__{c}", here if far else F.explode(F.array(here - 1, here, here + 1)))
+            b = b.withColumn(f"__{c}", F.explode(F.sequence(F.floor(low[c] / side) - far, F.floor(high[c] / side) + far)))
+        pairs = a.join(small_side(b), [f"__{c}" for c in "xyz"]).drop(*(f"__{c}" for c in "xyz")).mapInArrow(measured, schema)
         sure = cut(pairs.groupBy(id_col).agg(F.min("distance").alias("distance")).where(F.col("distance") <= side))
         done = sure if done is None else done.union(sure)
-        todo = cut(todo.join(sure.select(id_col), id_col, "left_anti"))
+        todo = cut(todo.join(sure.select(id_col).hint("merge"), id_col, "left_anti"))
         if todo.isEmpty():
             return done
         side *= 2
@@ -162,7 +165,7 @@ def signed_distance(points: DataFrame, vertex: DataFrame, face: DataFrame, id_co
     sided = assign_from_solid(points, vertex, face, "__side", id_col=id_col)
     if rows.limit(broadcast_faces + 1).count() > broadcast_faces:
         sign = F.when(F.col("__side") == "inside", -1.0).otherwise(1.0)
-        return sided.join(face_distances(points, full, id_col), id_col, "left").withColumn("distance", sign * F.col("distance")).drop("__side")
+        return sided.join(face_distances(points, full, id_col).hint("merge"), id_col, "left").withColumn("distance", sign * F.col("distance")).drop("__side")
     sent = points.sparkSession.sparkContext.broadcast(rows.toPandas().to_numpy(float).reshape(-1, 3, 3))
 
     def run(batches):

@@ -178,7 +178,7 @@ def solid_distance(spark, sf_dir):
 
 
 def solid_distance_by_cells(spark, sf_dir):
-    """The same without sending faces to every task."""
+    """The same, faces dealt over cubes."""
     return _rounded(contour.signed_distance(_inside(spark, sf_dir), *_box(spark), broadcast_faces=1).select("loc_id", "distance"), "distance")
 
 
