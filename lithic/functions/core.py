@@ -15,6 +15,9 @@ TOLERANCE = 1e-6
 #: Rows up to which a side of a join is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 
+#: Rows that a task gets of a table dealt over as many tasks as it needs.
+TASK_ROWS = 250_000
+
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN becomes NULL in every floating-point column, so that aggregates skip it."""
@@ -54,6 +57,15 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def dealt(df: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
+    """`df` dealt over `keys` into as many parts as it has times `rows` rows, and no fewer than there are cores.
+
+    A fixed number of parts would let one task hold ever more as tables grow, and small files are read by few tasks.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / rows))
+    return df.repartition(parts, *keys)
+
+
 def order_statistics(df: DataFrame, column: str, ranks: list[int], bins: int = 1024) -> dict[int, float]:
     """Values at 1-based ranks among those that are neither null nor NaN; ranks beyond them are left out.
 

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithic.functions.core import cut, small_side
+from lithic.functions.core import BROADCAST_ROWS, cut, dealt, small_side
+
+#: Right points that a cell of the first search for the nearest holds on average, and those gathered in one row.
+CROWD, CHUNK = 8, 4096
 
 
 def cell_counts(points: DataFrame, columns: list[str], cell: float | list[float], origins: int = 4, id_col: str = "loc_id") -> DataFrame:
@@ -115,29 +118,47 @@ def variogram_score(points: DataFrame, columns: list[str], truth: str, sims: str
 def nearest(left: DataFrame, right: DataFrame, columns: list[str], cell: float, left_id: str = "loc_id", right_id: str = "loc_id") -> DataFrame:
     """Each left point's nearest right point: left id, right id (the least of several as near), distance.
 
-    Cells of side `cell` are searched first; points whose answer may lie outside the neighbours are
-    searched again with larger cells, until none is left. Every round is an equi-join. Points with a
-    coordinate that is null or not finite have no distance and no row; without right points there are none.
+    Right points of one place count once. Cells of side `cell`, or finer ones where right points crowd,
+    are searched first, then larger ones for the points whose answer may lie outside the neighbours,
+    until none is left. A cell's neighbourhood is gathered once, so that each left point meets one row.
+    Points with a coordinate that is null or not finite have no distance and no row; without right points there are none.
     """
     finite = lambda df: df.where(" AND ".join(f"abs(`{c}`) < double('infinity')" for c in columns))  # noqa: E731  also false for null and NaN
-    todo, done = finite(left).select(F.col(left_id).alias("l_id"), *(F.col(c).alias(f"l_{c}") for c in columns)), None
-    r = finite(right).select(F.col(right_id).alias("r_id"), *(F.col(c).alias(f"r_{c}") for c in columns))
-    if r.isEmpty():
-        todo = todo.where("false")
+    names = [f"l_{c}" for c in columns]
+    todo = dealt(finite(left).select(F.col(left_id).alias("l_id"), *(F.col(c).alias(f"l_{c}") for c in columns)), "l_id")
+    r = cut(finite(right).groupBy(*(F.col(c).alias(f"r_{c}") for c in columns)).agg(F.min(right_id).alias("r_id")))
+    n, largest = r.agg(F.count("*"), F.max(F.greatest(*(F.abs(f"r_{c}").cast("double") for c in columns), F.lit(0.0)))).first()
+    if not n:
+        return todo.where("false").select("l_id", F.lit(None).cast(r.schema["r_id"].dataType).alias("r_id"), F.lit(None).cast("double").alias("distance"))
+    keys = [f"k{i}" for i in range(len(columns))]
     offsets = F.array(*(F.struct(*(F.lit(v).cast("long").alias(f"o{i}") for i, v in enumerate(o))) for o in itertools.product((-1, 0, 1), repeat=len(columns))))
-    side, rounds = cell, 0
+
+    def crowd(side: float) -> tuple[float, int]:
+        """Right points in the cell of one of them: mean and most."""
+        cells = r.groupBy(*(F.floor(F.col(f"r_{c}") / side) for c in columns)).agg(F.count("*").alias("n"))
+        return cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n"), F.max("n")).first()
+
+    side, rounds, done = cell, 0, None
+    while (found := crowd(side))[0] > CROWD and side / 4 > largest * 2.0**-50:
+        side /= 4
     while True:
-        a = todo.withColumn("m", F.explode(offsets)).withColumns({f"k{i}": F.floor(F.col(f"l_{c}") / side).cast("long") + F.col(f"m.o{i}") for i, c in enumerate(columns)}).drop("m")
-        b = r.withColumns({f"k{i}": F.floor(F.col(f"r_{c}") / side).cast("long") for i, c in enumerate(columns)})
-        h = F.sqrt(sum(((F.col(f"l_{c}") - F.col(f"r_{c}")) ** 2 for c in columns), F.lit(0.0)))
-        best = a.join(b, [f"k{i}" for i in range(len(columns))]).withColumn("distance", h).groupBy("l_id").agg(F.min(F.struct("distance", "r_id")).alias("best"))
-        sure = cut(best.where(F.col("best.distance") <= side).select("l_id", "best.r_id", "best.distance"))
-        done = sure if done is None else done.union(sure)
-        todo = cut(todo.join(sure.select("l_id"), "l_id", "left_anti"))
+        chunks = math.ceil(found[1] / CHUNK)
+        b = r.withColumn("m", F.explode(offsets)).withColumns({k: F.floor(F.col(f"r_{c}") / side).cast("long") + F.col(f"m.o{i}") for i, (k, c) in enumerate(zip(keys, columns))})
+        b = b.groupBy(*keys, F.pmod(F.xxhash64(*(f"r_{c}" for c in columns)), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("r_id", *(f"r_{c}" for c in columns))).alias("near"))
+        b = F.broadcast(b) if n * 3 ** len(columns) <= BROADCAST_ROWS else b.hint("merge")
+        a = todo.withColumns({k: F.floor(F.col(f"l_{c}") / side).cast("long") for k, c in zip(keys, columns)})
+        h = lambda p: F.sqrt(sum(((F.col(f"l_{c}") - p[f"r_{c}"]) ** 2 for c in columns), F.lit(0.0)))
+        best = a.join(b, keys, "left").select("l_id", *names, F.array_min(F.transform("near", lambda p: F.struct(h(p).alias("distance"), p["r_id"].alias("r_id")))).alias("best"))
+        best = cut(best.groupBy("l_id", *names).agg(F.min("best").alias("best")) if chunks > 1 else best)
+        sure = F.coalesce(F.col("best.distance") <= side, F.lit(False))
+        some = best.where(sure).select("l_id", "best")
+        done = some if done is None else done.union(some)
+        todo = best.where(~sure).select("l_id", *names)
         if todo.isEmpty():
-            return done
+            return done.groupBy("l_id").agg(F.min("best").alias("best")).select("l_id", "best.r_id", "best.distance")
         rounds += 1
         side *= 2 if rounds < 6 else 8
+        found = crowd(side)
 
 
 def snap_distinct(sources: list[DataFrame], columns: list[str], tolerance: float = 0.0) -> DataFrame:

@@ -1,9 +1,11 @@
 """Tables that a step copies are not broadcast for being small before, and what one task holds stays bounded."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from lithic.operators import contour
+from lithic.operators import contour, spatial
 
 
 @pytest.fixture
@@ -29,3 +31,31 @@ def test_points_are_not_broadcast_for_distances(spark, plans, tmp_path):
     plan = plans[0].split("+- == Initial Plan ==")[0]
     side = plan[plan.index("BroadcastExchange") :] if "BroadcastExchange" in plan else ""
     assert "parquet" not in side.split("FileScan")[0] and "FileScan" not in side
+
+
+def test_right_points_crowd_in_few_places(spark):
+    left = spark.range(3000).select((F.col("id") % 2900).alias("loc_id"), (F.col("id") % 97 / 10.0).alias("x"), (F.col("id") % 2 * 1.0).alias("y"))
+    right = spark.range(20_000).select((20_000 - F.col("id")).alias("loc_id"), (F.col("id") % 10 / 7.0).alias("x"), F.when(F.col("id") % 2 == 0, -0.0).otherwise(0.0).alias("y"))
+    line = spark.range(5000).select((30_000 + F.col("id")).alias("loc_id"), (5 + F.col("id") / 5000).alias("x"), F.lit(0.25).alias("y"))
+    got = {r.l_id: (r.r_id, r.distance) for r in spatial.nearest(left, right.union(line), ["x", "y"], 50.0).collect()}
+    places: dict = {}
+    for r in right.union(line).collect():
+        places[(r.x, abs(r.y))] = min(places.get((r.x, abs(r.y)), 1 << 60), r.loc_id)
+    want: dict = {}
+    for p in left.collect():
+        want[p.loc_id] = min([*([want[p.loc_id]] if p.loc_id in want else []), *((math.sqrt((p.x - x) ** 2 + (p.y - y) ** 2), k) for (x, y), k in places.items())])
+    assert got.keys() == want.keys() and all(got[k] == (i, d) or (got[k][0] == i and abs(got[k][1] - d) < 1e-12) for k, (d, i) in want.items())
+
+
+def test_left_points_meet_few_right_ones_however_many_there_are(spark, monkeypatch):
+    met, real = [], spatial.F.broadcast
+
+    def noted(df):
+        if "near" in df.columns:
+            met.append(df.agg(F.max(F.size("near"))).first()[0])
+        return real(df)
+
+    monkeypatch.setattr(spatial.F, "broadcast", noted)
+    line = spark.range(4000).select(F.col("id").alias("loc_id"), (F.col("id") / 40.0).alias("x"))
+    assert spatial.nearest(line, line.union(line), ["x"], 50.0).where("l_id = r_id AND distance = 0").count() == 4000
+    assert len(met) == 1 and met[0] <= 3 * spatial.CROWD + 3
