@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lithic.functions.core import dealt
 from lithic.operators import intervals as I  # noqa: E741
 from lithic.operators.desurvey import asof_last
 
@@ -23,7 +24,7 @@ def lineitem_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hole, f, t, src, grade, density, lith, bench."""
     w = Window.partitionBy("l_orderkey").orderBy(*ORDER)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = read(spark, sf_dir, "lineitem")
+    rows = dealt(read(spark, sf_dir, "lineitem"), "l_orderkey")
     rows = rows.select("*", F.sum("l_quantity").over(upto).alias("t"), F.row_number().over(w).cast("long").alias("src"))
     return rows.select(
         F.col("l_orderkey").alias("hole"), (F.col("t") - F.col("l_quantity")).alias("f"), "t", "src", "l_linenumber",

@@ -5,7 +5,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lithic.functions import core
 from lithic.operators import contour, spatial
+from lithic.plans import drillholes
 
 
 @pytest.fixture
@@ -59,3 +61,9 @@ def test_left_points_meet_few_right_ones_however_many_there_are(spark, monkeypat
     line = spark.range(4000).select(F.col("id").alias("loc_id"), (F.col("id") / 40.0).alias("x"))
     assert spatial.nearest(line, line.union(line), ["x"], 50.0).where("l_id = r_id AND distance = 0").count() == 4000
     assert len(met) == 1 and met[0] <= 3 * spatial.CROWD + 3
+
+
+def test_intervals_are_dealt_by_their_number(spark):
+    assert core.dealt(spark.range(1000), "id", rows=10).rdd.getNumPartitions() == 100
+    plan = drillholes.lineitem_intervals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
