@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithic.functions.core import BROADCAST_ROWS
 from lithic.operators.connect import connected
 
 XYZ = ("x", "y", "z")
@@ -19,8 +20,9 @@ def _corner(v: DataFrame, name: str) -> DataFrame:
 
 
 def corners(vertex: DataFrame, face: DataFrame) -> DataFrame:
-    """Faces with the coordinates of their corners: f, a, b, c, ax .. cz."""
-    out = face
+    """Faces with the coordinates of their corners: f, a, b, c, ax .. cz. Vertices are broadcast only if they are few (checked)."""
+    few = vertex.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    out, vertex = face, vertex if few else vertex.hint("merge")
     for k in "abc":
         out = out.join(_corner(vertex, k), k)
     return out

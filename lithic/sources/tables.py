@@ -45,6 +45,9 @@ def read_sample(spark: SparkSession, kind: str, path: str, **changes) -> DataFra
     return read_delimited(spark, path, **(LAYOUTS[kind] | changes))
 
 
+#: Faces in one file of drawing entities: some megabytes of text.
+FILE_FACES = 20_000
+
 KINDS = {"grid": Grid, "blockset": BlockSet}
 
 
@@ -82,7 +85,7 @@ def export_mesh_csv(vertex: DataFrame, face: DataFrame, points_path: str, faces_
 
 
 def write_dxf(vertex: DataFrame, face: DataFrame, path: str, offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> None:
-    """Faces as 3DFACE entities of an ASCII file; each face is one row of text, so files of any size are written in parallel parts in face order."""
+    """Faces as 3DFACE entities of an ASCII file; each face is one row of text, so files of any size are written in parallel parts in face order, each of at most `FILE_FACES` faces."""
     from lithic.operators.mesh import corners
 
     full = corners(vertex, face)
@@ -94,35 +97,35 @@ def write_dxf(vertex: DataFrame, face: DataFrame, path: str, offset: tuple[float
     spark = vertex.sparkSession
     head = spark.range(1).select(F.lit(None).cast("long").alias("__k"), F.lit("0\nSECTION\n2\nENTITIES").alias("value"))
     tail = spark.range(1).select(F.lit((1 << 63) - 1).cast("long").alias("__k"), F.lit("0\nENDSEC\n0\nEOF").alias("value"))
-    head.unionByName(body).unionByName(tail).orderBy(F.col("__k").asc_nulls_first()).select("value").write.mode("overwrite").text(path)
+    head.unionByName(body).unionByName(tail).orderBy(F.col("__k").asc_nulls_first()).select("value").write.mode("overwrite").option("maxRecordsPerFile", FILE_FACES).text(path)
 
 
 def read_dxf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """3DFACE entities of ASCII files as welded vertices and faces; degenerate faces are dropped.
 
-    An entity lies on consecutive lines, so each file is parsed in one piece, files in parallel.
+    An entity lies on consecutive lines, so each file is read in one piece, files in parallel. Texts are cut
+    before entities where they are read; Python sees entities one by one and never a whole file.
     """
     from lithic.operators.mesh import drop_degenerate, weld
 
+    def corners_of(text: str) -> list[list[float]] | None:
+        lines, entity = [x.strip() for x in text.splitlines()], {}
+        for code, value in zip(lines[::2], lines[1::2]):
+            if code == "0":
+                break
+            if code.isdigit() and 10 <= int(code) <= 33:
+                entity[int(code)] = float(value)
+        return [[entity.get(10 * (j + 1) + i, 0.0) for j in range(3)] for i in range(4)] if entity else None
+
     def parse(batches):
         for b in batches:
-            found = []
-            for text in b.column("value").to_pylist():
-                lines = [x.strip() for x in text.splitlines()]
-                entity: dict[int, float] | None = None
-                for code, value in zip(lines[::2], lines[1::2]):
-                    if code == "0":
-                        if entity:
-                            found.append(entity)
-                        entity = {} if value == "3DFACE" else None
-                    elif entity is not None and code.isdigit() and 10 <= int(code) <= 33:
-                        entity[int(code)] = float(value)
-                if entity:
-                    found.append(entity)
-            rows = [[[e.get(10 * (j + 1) + i, 0.0) for j in range(3)] for i in range(4)] for e in found]
+            rows = [c for text in b.column("value") if (c := corners_of(text.as_py())) is not None]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.list_(pa.float64())))], ["corners"])
 
-    raw = spark.read.text(path, wholetext=True).mapInArrow(parse, "corners array<array<double>>")
+    start = r"(?<=[\r\n])[ \t]*0[ \t]*(?:\r\n|\r|\n)[ \t]*3DFACE[ \t]*(?:\r\n|\r|\n)"
+    texts = spark.read.text(path, wholetext=True).select(F.split(F.concat(F.lit("\n"), "value"), start).alias("t"))
+    entities = texts.select(F.explode(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))).alias("value"))
+    raw = entities.mapInArrow(parse, "corners array<array<double>>")
     quads = raw.withColumn("q", F.monotonically_increasing_id())
     last = F.when(F.size(F.array_distinct(F.slice("corners", 3, 2))) < 2, F.array(F.array(F.lit(0), F.lit(1), F.lit(2)))).otherwise(F.array(F.array(F.lit(0), F.lit(1), F.lit(2)), F.array(F.lit(0), F.lit(2), F.lit(3))))
     tri = quads.select("q", "corners", F.posexplode(last).alias("i", "t")).select((F.col("q") * 2 + F.col("i")).alias("f"), *(F.element_at("corners", F.col("t")[j] + 1).alias(k) for j, k in enumerate("abc")))

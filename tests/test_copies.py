@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lithic.functions import core
 from lithic.operators import contour, spatial
 from lithic.plans import drillholes
+from lithic.sources import tables
 
 
 @pytest.fixture
@@ -67,3 +68,12 @@ def test_intervals_are_dealt_by_their_number(spark):
     assert core.dealt(spark.range(1000), "id", rows=10).rdd.getNumPartitions() == 100
     plan = drillholes.lineitem_intervals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_drawings_are_split_and_read_by_entity(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(tables, "FILE_FACES", 10)
+    p = spark.range(50).coalesce(1)
+    v = p.select(F.explode(F.array(*(F.struct((F.col("id") * 3 + i).alias("v"), (F.col("id") * 10.0 + x).alias("x"), F.lit(float(y)).alias("y"), F.lit(1.0).alias("z")) for i, (x, y) in enumerate(((0, 0), (4, 0), (0, 3)))))).alias("c")).select("c.*")
+    tables.write_dxf(v, p.select(F.col("id").alias("f"), *((F.col("id") * 3 + i).alias(k) for i, k in enumerate("abc"))), f"{tmp_path}/a")
+    assert max(len(x.read_text().split("3DFACE")) - 1 for x in (tmp_path / "a").glob("part-*")) <= 10
+    assert tables.read_dxf(spark, f"{tmp_path}/a")[1].count() == 50
