@@ -60,7 +60,8 @@ def near_pairs(points: DataFrame, columns: list[str], reach: float, id_col: str
     """Pairs of points (a_*, b_*, a's id below b's) at most `reach` apart, with their lag `h`.
 
     Points are keyed by cells of side `reach` and one side is copied to neighbouring cells, so the
-    self-join is an equi-join and never a cross join. Only half of the neighbours are visited.
+    self-join is an equi-join and never a cross join. Only half of the neighbours are visited. Neither
+    side is broadcast: Spark takes the copied one for as small as it was.
     """
     key = [F.floor(F.col(c) / reach).cast("long") for c in columns]
     base = points.select(id_col, *columns, *carry)
@@ -69,7 +70,7 @@ def near_pairs(points: DataFrame, columns: list[str], reach: float, id_col: str
     moves = F.array(*(F.struct(*(F.lit(v).cast("long").alias(f"o{i}") for i, v in enumerate(o)), F.lit(not any(o)).alias("same")) for o in half))
     b = base.select(*(F.col(c).alias(f"b_{c}") for c in base.columns), *(k.alias(f"q{i}") for i, k in enumerate(key)), F.explode(moves).alias("m"))
     b = b.select(*(f"b_{c}" for c in base.columns), "m.same", *((F.col(f"q{i}") - F.col(f"m.o{i}")).alias(f"k{i}") for i in range(len(columns))))
-    pairs = a.join(b, [f"k{i}" for i in range(len(columns))]).where(~F.col("same") | (F.col(f"a_{id_col}") < F.col(f"b_{id_col}")))
+    pairs = a.hint("merge").join(b, [f"k{i}" for i in range(len(columns))]).where(~F.col("same") | (F.col(f"a_{id_col}") < F.col(f"b_{id_col}")))
     h = F.sqrt(sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in columns), F.lit(0.0)))
     return pairs.withColumn("h", h).where(F.col("h") <= reach).drop("same", *(f"k{i}" for i in range(len(columns))))
 

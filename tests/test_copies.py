@@ -77,3 +77,9 @@ def test_drawings_are_split_and_read_by_entity(spark, monkeypatch, tmp_path):
     tables.write_dxf(v, p.select(F.col("id").alias("f"), *((F.col("id") * 3 + i).alias(k) for i, k in enumerate("abc"))), f"{tmp_path}/a")
     assert max(len(x.read_text().split("3DFACE")) - 1 for x in (tmp_path / "a").glob("part-*")) <= 10
     assert tables.read_dxf(spark, f"{tmp_path}/a")[1].count() == 50
+
+
+def test_neither_side_of_near_pairs_is_broadcast(spark, tmp_path):
+    spark.range(400).select(F.col("id").alias("loc_id"), (F.col("id") % 20.0).alias("x")).write.parquet(f"{tmp_path}/p")
+    pairs = spatial.near_pairs(spark.read.parquet(f"{tmp_path}/p"), ["x"], 1.0)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
